@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, media, mixing
+from corpusloom.llm import bpe, chat, jaccard, media, mixing, substring
 from corpusloom.llm.common import sha256, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,15 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan_mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -46,7 +55,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_bpe": op8_bpe,
     "op10_media_columns": op10_media_columns,
 }
