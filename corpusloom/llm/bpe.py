@@ -247,15 +247,26 @@ def decode(tokens: DataFrame, path: str, rows_at_once: int = 256, ids_at_once: i
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) from (doc_id, ids, decoded)."""
+def round_trip(docs: DataFrame, path: str, rows_at_once: int = 256, ids_at_once: int = 4096) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, decoded again and digested.
+
+    Both machines run in one Python worker, so ids and decoded texts never leave it; `encode` and `decode` return them.
+    """
 
     def run(batches):
+        enc, dec = _encoder(path), Decoder(_table(path))
         for batch in batches:
-            rows = []
-            for ids, text in zip(batch.column("ids").to_pylist(), batch.column("decoded").cast(pa.binary()).to_pylist(), strict=True):
-                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                rows = []
+                for text in part.column("text").to_pylist():
+                    ids = enc(text or "")
+                    seen = hashlib.sha256()
+                    for i in range(0, len(ids), ids_at_once):
+                        seen.update(dec.feed(ids[i : i + ids_at_once]).encode())
+                    seen.update(dec.finish().encode())
+                    rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), seen.hexdigest()))
+                n, a, b = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

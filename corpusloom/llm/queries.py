@@ -44,9 +44,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
-    return bpe.digests(decoded)
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
