@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, jaccard, media, mixing, substring
+from corpusloom.llm import bpe, chat, embeddings, jaccard, media, mixing, quality, substring
 from corpusloom.llm.common import sha256, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -43,6 +47,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
@@ -55,7 +66,9 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
     "op10_media_columns": op10_media_columns,
 }
