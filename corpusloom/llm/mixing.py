@@ -22,7 +22,9 @@ INTERVAL_ROWS = 4096
 
 
 def _key(doc_id: Column) -> Column:
-    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("mix"))
+    """A hash-random key in [0, 2**60): the first 15 hex digits of the id's MD5."""
+    digits = F.substring(F.md5(F.concat(F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15)
+    return F.conv(digits, 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -62,7 +64,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     stats = stats.withColumn("rest", F.col("budget") - F.col("passes") * F.col("source_size"))
     stats = stats.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(interval_rows))).cast("long"))
 
-    unit = (F.col("key") / F.lit(2.0**64)) + F.lit(0.5)  # in [0, 1], monotone in key
+    unit = F.col("key") / F.lit(2.0**60)  # in [0, 1), monotone in key
     s = stats.alias("s")
     placed = sized.alias("d").join(s, F.col("d.source").eqNullSafe(F.col("s.source")))
     placed = placed.select("d.doc_id", "d.source", "d.size", "d.key", "s.rest", F.least(F.floor(unit * F.col("s.parts")), F.col("s.parts") - 1).alias("part"))
@@ -87,3 +89,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     partial = F.when(F.col("b.rest") <= 0, F.lit(0)).when(here < there, F.col("d.size")).when(here == there, F.col("b.cut_words")).otherwise(F.lit(0))
     taken = F.col("b.passes") * F.col("d.size") + F.coalesce(partial, F.lit(0))
     return rows.select("d.doc_id", "d.source", "d.size", F.col("b.source_size"), F.col("b.target"), taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **plan) -> DataFrame:
+    """The mixed rows: each document as often as whole passes take it, and its first words where a pass ends inside it.
+
+    All columns are kept; `text` is cut and `n_chars`, where there is one, follows it. Documents of no words are left out.
+    """
+    taken = plan_mix(docs, **plan).groupBy("doc_id", "source").agg(F.min("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
+    d, t = docs.alias("d"), taken.alias("t")
+    joined = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")))
+    rows = joined.select("d.*", "_taken", "_size").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
+    left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
+    words = F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), left.cast("int"))
+    cut = left < F.col("_size")
+    rows = rows.withColumn("text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(docs.columns)

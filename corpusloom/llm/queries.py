@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, embeddings, jaccard, media, mixing, quality, substring
+from corpusloom.llm import bpe, chat, embeddings, html, jaccard, media, mixing, quality, substring, warc
 from corpusloom.llm.common import sha256, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -30,7 +38,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
@@ -55,7 +63,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +75,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
@@ -70,7 +83,8 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
+    "op9_html_extraction": op9_html_extraction,
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql()}

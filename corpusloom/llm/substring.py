@@ -29,13 +29,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.words import as_bytes, hash_words, mix, rolling, slices
+from corpusloom.llm.words import as_bytes, common_runs, hash_words, member, mix, rolling, slices
 
 WINDOW = 13
 ANCHOR = 5
 SIDE = WINDOW - ANCHOR
-SAMPLE_DOCS = 2000
-COMMON_SHARE = 0.01
 _LAST = np.uint64(1 << 63)
 
 
@@ -111,29 +109,6 @@ def matched_spans(statistics: list[int], least: int) -> list[tuple[int, int]]:
     return spans
 
 
-def common_anchors(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, share: float = COMMON_SHARE) -> np.ndarray:
-    """Five-word runs that at least `share` of about `sample_docs` documents hold; their number is bounded by the sample."""
-    every = max(1, docs.count() // sample_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(every)) == 0)
-
-    def run(batches):
-        for part in slices(batches):
-            h, doc = hash_words(as_bytes(part.column("text")))
-            g = rolling(h, ANCHOR)
-            g = g[doc[: len(g)] == doc[ANCHOR - 1 :]] if len(g) else g
-            d = doc[: max(0, len(h) - ANCHOR + 1)]
-            d = d[doc[: len(d)] == doc[ANCHOR - 1 :]] if len(d) else d
-            if len(g):
-                order = np.lexsort((g, d))
-                g, d = g[order], d[order]
-                new = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64))], ["g"])
-
-    counts = sample.select("text").mapInArrow(run, "g long").groupBy("g").count()
-    least = max(4, int(share * sample_docs))
-    return np.sort(np.array([r[0] for r in counts.where(F.col("count") >= least).select("g").collect()], np.int64).view(np.uint64))
-
-
 def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
     """(h, doc_id, k, pos, n): anchors at word pos (n = 0), or windows from pos on that are decided already (n of them)."""
 
@@ -147,9 +122,7 @@ def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
                 continue
             g = rolling(h, ANCHOR)
             rank = mix(g) >> np.uint64(1)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, g), len(common) - 1)
-                rank = np.where(common[at] == g, rank | _LAST, rank)
+            rank = np.where(member(common, g), rank | _LAST, rank)
             best, off = rank[:m].copy(), np.zeros(m, np.int64)
             for j in range(1, SIDE + 1):
                 less = rank[j : j + m] < best
@@ -176,7 +149,7 @@ def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
             base = np.searchsorted(doc, d)
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (g[spot].view(np.int64), ids[d], keys[d], spot - base, np.zeros(len(spot), np.int64))], ["h", "doc_id", "k", "pos", "n"])
 
-    return keyed.mapInArrow(run, "h long, doc_id long, k long, pos long, n long")
+    return keyed.select("doc_id", "k", "text").mapInArrow(run, "h long, doc_id long, k long, pos long, n long")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
@@ -246,43 +219,64 @@ def _spans(contexts: DataFrame) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, k long, start long, size long")
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """One row per row of docs: doc_id, row_key, n_words, n_removed, kept_sha256, spans, and text where asked for.
-
-    `kept_sha256` digests the kept words joined by one space. `text` is the input where nothing went, else the kept
-    words with single spaces; `spans` lists the removed (start, size) in words.
-    """
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    anchors = _anchors(keyed, common_anchors(docs.select("doc_id", "text")))
+def find_repeats(docs: DataFrame) -> DataFrame:
+    """docs with `k` (hash of doc_id and text) and `spans`: the repeated (start, size) in words, null where there are none."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text", "k", "spans")]
+    whole = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text", *more)
+    keyed = whole.select("doc_id", "k", "text")
+    anchors = _anchors(keyed, common_runs(docs.select("doc_id", "text"), ANCHOR))
     spans = _spans(_contexts(keyed, _shared(anchors)))
     per_doc = spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    joined = keyed.join(per_doc, ["doc_id", "k"], "left").select("doc_id", "k", "text", "spans")
-    schema = "doc_id long, row_key long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,size:long>>"
+    return whole.join(per_doc, ["doc_id", "k"], "left").select("doc_id", "k", "text", *more, "spans")
+
+
+def _kept(text: bytes, spans: list | None) -> tuple[list[bytes], list[dict], int]:
+    """(kept words, merged spans, number of words) of one text."""
+    words = text.split()
+    merged: list[list[int]] = []
+    for a, b in sorted((s["start"], s["start"] + s["size"]) for s in spans or ()):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    at, kept = 0, []
+    for a, b in merged:
+        kept += words[at:a]
+        at = b
+    return kept + words[at:] if merged else words, [{"start": a, "size": b - a} for a, b in merged], len(words)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, spans (start, size in words) and kept_sha256, the digest of the
+    kept words joined by one space."""
 
     def run(batches):
         for part in slices(batches):
             rows = []
             for text, found in zip(as_bytes(part.column("text")), part.column("spans").to_pylist(), strict=True):
-                words = text.split()
-                merged: list[list[int]] = []
-                for s in sorted((s["start"], s["start"] + s["size"]) for s in found or ()):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append([*s])
-                at, kept = 0, []
-                for a, b in merged:
-                    kept += words[at:a]
-                    at = b
-                kept = kept + words[at:] if merged else words
-                line = b" ".join(kept)
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest(), [{"start": a, "size": b - a} for a, b in merged], line if merged else text))
-            n, gone, digest, cut, left = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            arrays = [part.column("doc_id"), part.column("k"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))]
-            names = ["doc_id", "row_key", "n_words", "n_removed", "kept_sha256", "spans"]
-            if with_text:
-                arrays.append(pa.array(left, pa.binary()).cast(pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return joined.mapInArrow(run, schema + ", text string" * with_text)
+                kept, spans, n = _kept(text, found)
+                rows.append((n, n - len(kept), spans, hashlib.sha256(b" ".join(kept)).hexdigest()))
+            n, gone, spans, digest = zip(*rows, strict=True)
+            span = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept_sha256"])
+
+    return find_repeats(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,size:long>>, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text, lang, source, n_chars) with their repeats cut out: texts that lose words become the kept
+    words joined by one space, others stay as they are; a document whose words all go is dropped."""
+    found = find_repeats(docs)
+
+    def run(batches):
+        for part in slices(batches):
+            texts, sizes, stay = [], [], []
+            for text, found, n in zip(as_bytes(part.column("text")), part.column("spans").to_pylist(), part.column("n_chars").to_pylist(), strict=True):
+                kept, spans, _ = _kept(text, found) if found else ([], [], 0)
+                texts.append(b" ".join(kept).decode() if spans else text.decode())
+                sizes.append(len(texts[-1]) if spans else n)
+                stay.append(bool(kept) or not spans)
+            out = [part.column("doc_id"), pa.array(texts, pa.string()), part.column("lang"), part.column("source"), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text", "lang", "source", "n_chars"]).filter(pa.array(stay))
+
+    return found.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")

@@ -7,7 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Documents that `common_runs` looks at, and the share of them that makes a run common.
+SAMPLE_DOCS = 2000
+COMMON_SHARE = 0.01
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -84,3 +89,40 @@ def slices(batches, most_bytes: int = 2 << 20, column: str = "text") -> Iterator
 
 def as_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def runs_of(texts: list[bytes], k: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of its text) of each distinct run of k consecutive words of a text, ordered by text and hash."""
+    h, doc = hash_words(texts, lower)
+    g = rolling(h, k)
+    inside = doc[: len(g)] == doc[k - 1 :] if len(g) else np.empty(0, bool)
+    g, d = g[inside], doc[: len(g)][inside]
+    order = np.lexsort((g, d))
+    g, d = g[order], d[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])] if len(g) else np.empty(0, bool)
+    return g[new], d[new]
+
+
+def common_runs(docs: DataFrame, k: int, lower: bool = False, sample_docs: int = SAMPLE_DOCS, share: float = COMMON_SHARE) -> np.ndarray:
+    """Runs of k words that at least `share` of about `sample_docs` documents hold, sorted.
+
+    The sample is by hash, so the list is bounded by its documents' words divided by share * sample_docs. Callers use
+    the list to spread their work; results must not depend on it.
+    """
+    every = max(1, docs.count() // sample_docs)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(every)) == 0).select("text")
+
+    def run(batches):
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(runs_of(as_bytes(part.column("text")), k, lower)[0].view(np.int64))], ["g"])
+
+    counts = sample.mapInArrow(run, "g long").groupBy("g").count()
+    found = counts.where(F.col("count") >= max(4, int(share * sample_docs))).select("g").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted values."""
+    if not len(sorted_values) or not len(x):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
