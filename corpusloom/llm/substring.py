@@ -6,7 +6,8 @@ so shards are made of what can match, and a document visits only these:
 
 1. Every window has an anchor, the five words inside it of the smallest hash; equal windows have equal anchors. Rows
    (anchor, document) meet by anchor, and anchors within one document alone are dropped.
-2. Documents cut out the context of each shared anchor: its words and eight to either side.
+2. Documents cut out the context of each shared anchor: its words and eight to either side. A context that its task has sent
+   from a smaller document is decided.
 3. A shard holds the contexts of its anchors. In order of doc_id, each context is streamed through the automaton of all
    contexts of smaller documents (its matching statistics), then appended to it. Where the match reaches 13 words, the
    window's words go. All copies of a window meet in the shard of its anchor, so no match is lost.
@@ -35,6 +36,8 @@ WINDOW = 13
 ANCHOR = 5
 SIDE = WINDOW - ANCHOR
 _LAST = np.uint64(1 << 63)
+#: Contexts that a task remembers to have sent; copies of these are decided on the spot.
+MEMO = 200_000
 
 
 class SuffixAutomaton:
@@ -109,6 +112,11 @@ def matched_spans(statistics: list[int], least: int) -> list[tuple[int, int]]:
     return spans
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """Partition keys of rows that are decided: by document, evenly."""
+    return mix(ids.view(np.uint64)).view(np.int64)
+
+
 def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
     """(h, doc_id, k, pos, n): anchors at word pos (n = 0), or windows from pos on that are decided already (n of them)."""
 
@@ -143,7 +151,7 @@ def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
                     start, size = done[cut], np.diff(np.r_[np.flatnonzero(cut), len(done)])
                     base = np.searchsorted(doc, doc[start])
                     d = doc[start]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (mix(keys[d].view(np.uint64)).view(np.int64), ids[d], keys[d], start - base, size)], ["h", "doc_id", "k", "pos", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (_spread(ids[d]), ids[d], keys[d], start - base, size)], ["h", "doc_id", "k", "pos", "n"])
             spot = np.unique(undecided + off[undecided])
             d = doc[spot]
             base = np.searchsorted(doc, d)
@@ -166,14 +174,25 @@ def _contexts(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     joined = keyed.join(per_doc, ["doc_id", "k"], "left").select("doc_id", "k", "text", "spots")
 
     def run(batches):
+        sent: dict[bytes, int] = {}  # contexts that this task has sent, and their smallest doc_id; bounded
         for part in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
-            for doc_id, k, text, spots in zip(*(part.column(c).to_pylist() for c in ("doc_id", "k")), as_bytes(part.column("text")), part.column("spots").to_pylist(), strict=True):
+            ids = part.column("doc_id").to_pylist()
+            by_doc = _spread(np.array([0 if i is None else i for i in ids], np.int64)).tolist()
+            for doc_id, own, k, text, spots in zip(ids, by_doc, part.column("k").to_pylist(), as_bytes(part.column("text")), part.column("spots").to_pylist(), strict=True):
                 words = text.split() if spots else ()
                 for s in spots or ():
-                    start = s["pos"] if s["n"] else max(0, s["pos"] - SIDE)
-                    ctx = b"" if s["n"] else b" ".join(words[start : s["pos"] + WINDOW])
-                    for column, v in zip(out, (s["h"], doc_id, k, start, s["n"], ctx), strict=True):
+                    h, start, n, ctx = s["h"], s["pos"], s["n"], b""
+                    if not n:
+                        start = max(0, start - SIDE)
+                        near = words[start : s["pos"] + WINDOW]
+                        ctx = b" ".join(near)
+                        first = sent.get(ctx)
+                        if first is not None and first < doc_id:
+                            h, n, ctx = own, len(near) - WINDOW + 1, b""
+                        elif first is not None or len(sent) < MEMO:
+                            sent[ctx] = doc_id
+                    for column, v in zip(out, (h, doc_id, k, start, n, ctx), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())], ["h", "doc_id", "k", "start", "n", "words"])
 
@@ -220,9 +239,9 @@ def _spans(contexts: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """docs with `k` (hash of doc_id and text) and `spans`: the repeated (start, size) in words, null where there are none."""
+    """docs with `k` (15 bits of the text's hash, which tell rows of one doc_id apart) and `spans`: the repeated (start, size) in words, null where there are none."""
     more = [c for c in docs.columns if c not in ("doc_id", "text", "k", "spans")]
-    whole = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text", *more)
+    whole = docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 15)).alias("k"), "text", *more)
     keyed = whole.select("doc_id", "k", "text")
     anchors = _anchors(keyed, common_runs(docs.select("doc_id", "text"), ANCHOR))
     spans = _spans(_contexts(keyed, _shared(anchors)))
