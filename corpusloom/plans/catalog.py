@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusloom.plans import page_plans, query_plans, search_plans, text_plans  # noqa: F401  (registers its queries)
+from corpusloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
