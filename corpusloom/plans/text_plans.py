@@ -14,6 +14,10 @@ from corpusloom.plans.registry import query
 B = quoted(T.BLANK)
 
 
+#: RE2's \b knows ASCII alone.
+S_TRUNCATED = T.TRUNCATED.replace(r"\b", r"(^|[^\p{L}\p{N}_])", 1)
+
+
 # SQL twins of the expressions in functions.text.
 def s_norm(x: str) -> str:
     return f"trim(regexp_replace(translate({x}, chr(160) || chr(61623) || chr(8226), '   '), {B}, ' ', 'g'))"
@@ -59,7 +63,7 @@ def s_any(x: str, terms) -> str:
 
 
 def s_requirement(x: str, stems=STEMS) -> str:
-    return s_match(f"lower({x})", T.any_word(stems, stem=True))
+    return s_match(f"lower({x})", r"(^|[^\p{L}\p{N}_])(" + "|".join(stems) + ")")
 
 
 def s_heading_text(x: str, patterns=PATTERNS) -> str:
@@ -249,7 +253,7 @@ def capitalize_first(spark, d):
     return table(spark, d, "documents").select("doc_id", T.capitalize_first(line).alias("line"))
 
 
-@query("truncated_endings", f"SELECT conv_id, turn, (s = '' OR {s_match('s', T.TRUNCATED)} OR ends_with(s, 'with a.') OR ends_with(s, 'and .')) AS truncated FROM (SELECT conv_id, turn, lower(trim(text)) AS s FROM conversations)")
+@query("truncated_endings", f"SELECT conv_id, turn, (s = '' OR {s_match('s', S_TRUNCATED)} OR ends_with(s, 'with a.') OR ends_with(s, 'and .')) AS truncated FROM (SELECT conv_id, turn, lower(trim(text)) AS s FROM conversations)")
 def truncated_endings(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.looks_truncated(F.col("text")).alias("truncated"))
 
