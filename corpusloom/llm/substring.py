@@ -6,8 +6,8 @@ so shards are made of what can match, and a document visits only these:
 
 1. Every window has an anchor, the five words inside it of the smallest hash; equal windows have equal anchors. Rows
    (anchor, document) meet by anchor, and anchors within one document alone are dropped.
-2. Documents cut out the context of each shared anchor: its words and eight to either side. A context that its task has sent
-   from a smaller document is decided.
+2. Documents cut out the context of each shared anchor: the words of the windows anchored there. A context that its task has
+   sent from a smaller document is decided.
 3. A shard holds the contexts of its anchors. In order of doc_id, each context is streamed through the automaton of all
    contexts of smaller documents (its matching statistics), then appended to it. Where the match reaches 13 words, the
    window's words go. All copies of a window meet in the shard of its anchor, so no match is lost.
@@ -100,6 +100,17 @@ class SuffixAutomaton:
         return out
 
 
+def merged(spans) -> list[list[int]]:
+    """(start, end) spans joined where they touch or overlap, in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def matched_spans(statistics: list[int], least: int) -> list[tuple[int, int]]:
     """Maximal (start, end) spans covered by matches of at least `least` words."""
     spans: list[tuple[int, int]] = []
@@ -117,8 +128,19 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return mix(ids.view(np.uint64)).view(np.int64)
 
 
+def pack(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (pos.astype(np.int64) << 32) + n.astype(np.int64)
+
+
+def unpack(at: int) -> tuple[int, int]:
+    """(pos, n) of a packed value; n may be negative."""
+    pos = (at + (1 << 31)) >> 32
+    return pos, at - (pos << 32)
+
+
 def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
-    """(h, doc_id, k, pos, n): anchors at word pos (n = 0), or windows from pos on that are decided already (n of them)."""
+    """(h, doc_id, k, at): `at` packs a position and an extent. Anchors: the first of the windows anchored there, and their
+    number, negative; else windows that are decided already. h takes 48 bits: a collision only adds a candidate."""
 
     def run(batches):
         for part in slices(batches):
@@ -151,67 +173,75 @@ def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
                     start, size = done[cut], np.diff(np.r_[np.flatnonzero(cut), len(done)])
                     base = np.searchsorted(doc, doc[start])
                     d = doc[start]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (_spread(ids[d]), ids[d], keys[d], start - base, size)], ["h", "doc_id", "k", "pos", "n"])
-            spot = np.unique(undecided + off[undecided])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (_spread(ids[d]), ids[d], keys[d], pack(start - base, size))], ["h", "doc_id", "k", "at"])
+            spot, first, many = np.unique(undecided + off[undecided], return_index=True, return_counts=True)
+            start, last = undecided[first], undecided[first + many - 1]  # anchors move forward with the windows
             d = doc[spot]
             base = np.searchsorted(doc, d)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (g[spot].view(np.int64), ids[d], keys[d], spot - base, np.zeros(len(spot), np.int64))], ["h", "doc_id", "k", "pos", "n"])
+            rows = ((g[spot] >> np.uint64(16)).view(np.int64), ids[d], keys[d], pack(start - base, start - last - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], ["h", "doc_id", "k", "at"])
 
-    return keyed.select("doc_id", "k", "text").mapInArrow(run, "h long, doc_id long, k long, pos long, n long")
+    return keyed.select("doc_id", "k", "text").mapInArrow(run, "h long, doc_id long, k long, at long")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
     """Anchors that occur in at least two documents, and all that is decided."""
     same = Window.partitionBy("h")
-    marked = anchors.withColumn("d", F.when(F.col("n") == 0, F.col("doc_id")))
+    decided = F.shiftleft("at", 32) > 0
+    marked = anchors.withColumn("d", F.when(~decided, F.col("doc_id")))
     marked = marked.select("*", F.min("d").over(same).alias("lo"), F.max("d").over(same).alias("hi"))
-    return marked.where((F.col("n") > 0) | (F.col("lo") < F.col("hi"))).drop("d", "lo", "hi")
+    return marked.where(decided | (F.col("lo") < F.col("hi"))).drop("d", "lo", "hi")
 
 
 def _contexts(keyed: DataFrame, shared: DataFrame) -> DataFrame:
-    """(h, doc_id, k, start, n, words): the words around each shared anchor, start being the first one's position."""
-    per_doc = shared.groupBy("doc_id", "k").agg(F.collect_list(F.struct("h", "pos", "n")).alias("spots"))
+    """(h, doc_id, k, at, words): the windows of each shared anchor as words from `at` on; words decided here have none."""
+    per_doc = shared.groupBy("doc_id", "k").agg(F.collect_list(F.struct("h", "at")).alias("spots"))
     joined = keyed.join(per_doc, ["doc_id", "k"], "left").select("doc_id", "k", "text", "spots")
 
     def run(batches):
         sent: dict[bytes, int] = {}  # contexts that this task has sent, and their smallest doc_id; bounded
         for part in slices(batches):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             ids = part.column("doc_id").to_pylist()
             by_doc = _spread(np.array([0 if i is None else i for i in ids], np.int64)).tolist()
             for doc_id, own, k, text, spots in zip(ids, by_doc, part.column("k").to_pylist(), as_bytes(part.column("text")), part.column("spots").to_pylist(), strict=True):
                 words = text.split() if spots else ()
+                decided = []
                 for s in spots or ():
-                    h, start, n, ctx = s["h"], s["pos"], s["n"], b""
-                    if not n:
-                        start = max(0, start - SIDE)
-                        near = words[start : s["pos"] + WINDOW]
-                        ctx = b" ".join(near)
+                    start, n = unpack(s["at"])
+                    end = start + abs(n) + WINDOW - 1
+                    if n < 0:
+                        ctx = b" ".join(words[start:end])
                         first = sent.get(ctx)
-                        if first is not None and first < doc_id:
-                            h, n, ctx = own, len(near) - WINDOW + 1, b""
-                        elif first is not None or len(sent) < MEMO:
-                            sent[ctx] = doc_id
-                    for column, v in zip(out, (h, doc_id, k, start, n, ctx), strict=True):
+                        if first is None or first >= doc_id:
+                            if first is not None or len(sent) < MEMO:
+                                sent[ctx] = doc_id
+                            for column, v in zip(out, (s["h"], doc_id, k, start << 32, ctx), strict=True):
+                                column.append(v)
+                            continue
+                    decided.append((start, end))
+                for start, end in merged(decided):
+                    for column, v in zip(out, (own, doc_id, k, (start << 32) + end - start, b""), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())], ["h", "doc_id", "k", "start", "n", "words"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["h", "doc_id", "k", "at", "words"])
 
-    return joined.mapInArrow(run, "h long, doc_id long, k long, start long, n long, words binary")
+    return joined.mapInArrow(run, "h long, doc_id long, k long, at long, words binary")
 
 
 def _spans(contexts: DataFrame) -> DataFrame:
     """(doc_id, k, start, size): word spans to remove."""
-    shards = contexts.repartition("h").sortWithinPartitions("h", "doc_id", "k", "start")
+    shards = contexts.repartition("h").sortWithinPartitions("h", "doc_id", "k", "at")
 
     def run(batches):
         shard = doc = None
         automaton, built, refs, known, waiting = None, 0, [], set(), []
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            columns = (batch.column(c).to_pylist() for c in ("h", "doc_id", "k", "start", "n", "words"))
-            for h, doc_id, k, start, n, ctx in zip(*columns, strict=True):
-                if n:
-                    spans = [(0, n + WINDOW - 1)]
+            columns = (batch.column(c).to_pylist() for c in ("h", "doc_id", "k", "at", "words"))
+            for h, doc_id, k, at, ctx in zip(*columns, strict=True):
+                start, n = unpack(at)
+                if not ctx:
+                    spans = [(0, n)]
                 else:
                     if h != shard:
                         shard, doc, automaton, built, refs, known, waiting = h, doc_id, SuffixAutomaton(), 0, [], set(), []
@@ -220,8 +250,7 @@ def _spans(contexts: DataFrame) -> DataFrame:
                         known.update(waiting)
                         doc, waiting = doc_id, []
                     if ctx in known:  # the automaton holds all of it
-                        size = ctx.count(b" ") + 1
-                        spans = [(0, size)] if size >= WINDOW else []
+                        spans = [(0, ctx.count(b" ") + 1)]
                     else:
                         spans = []
                         if refs:
@@ -252,17 +281,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 def _kept(text: bytes, spans: list | None) -> tuple[list[bytes], list[dict], int]:
     """(kept words, merged spans, number of words) of one text."""
     words = text.split()
-    merged: list[list[int]] = []
-    for a, b in sorted((s["start"], s["start"] + s["size"]) for s in spans or ()):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
+    gone = merged((s["start"], s["start"] + s["size"]) for s in spans or ())
     at, kept = 0, []
-    for a, b in merged:
+    for a, b in gone:
         kept += words[at:a]
         at = b
-    return kept + words[at:] if merged else words, [{"start": a, "size": b - a} for a, b in merged], len(words)
+    return kept + words[at:] if gone else words, [{"start": a, "size": b - a} for a, b in gone], len(words)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
