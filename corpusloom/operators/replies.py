@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from corpusloom.functions import text as T
 from corpusloom.operators.evidence import topic_tokens
@@ -35,7 +36,7 @@ def validate_facts(reply: DataFrame, source: DataFrame) -> DataFrame:
     return source.dropDuplicates(key).join(named, key)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _dump(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
