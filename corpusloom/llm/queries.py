@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, embeddings, html, jaccard, media, mixing, quality, substring, warc
+from corpusloom.llm import bpe, chat, embeddings, html, jaccard, media, mixing, oracles, quality, substring, warc
 from corpusloom.llm.common import sha256, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -87,4 +87,4 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql()}
+ORACLE_SQL = oracles.ORACLE_SQL
