@@ -20,7 +20,11 @@ PROFILES = (
     {"signals": ("ou", "ment"), "authority": {"FDA": 0.12, "ICH": 0.05}, "file": (("doc_1", 0.04),), "text": (("eauai", 0.06),)},
     {"signals": ("ing", "keit"), "authority": {"EU_GMP": 0.08}, "file": (("7", 0.02),), "text": (("thest", 0.03), ("enther", 0.05))},
 )
-SCOPE = F.element_at(F.array(*[F.lit(s) for s in ("MIXED", "FDA", "EMA", "SOPS", "odd")]), (F.col("qid") % 5 + 1).cast("int"))
+
+
+def scope():
+    """A scope per question, an unknown one among them."""
+    return F.element_at(F.array(*[F.lit(s) for s in ("MIXED", "FDA", "EMA", "SOPS", "odd")]), (F.col("qid") % 5 + 1).cast("int"))
 
 
 def chunks(spark, d):
@@ -35,7 +39,7 @@ def build_postings(spark, d):
 
 def asked(spark, d):
     """Questions with their scope; the text searched is the question itself."""
-    return questions(spark, d).select("qid", F.col("question").alias("q_aug"), SCOPE.alias("scope"))
+    return questions(spark, d).select("qid", F.col("question").alias("q_aug"), scope().alias("scope"))
 
 
 def word_terms(text):
