@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 WORDS = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -19,8 +21,12 @@ def word_terms(text: Column, stop: Sequence[str] = ()) -> Column:
     w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), 0)
     if stop:
         w = F.filter(w, lambda x: ~x.isin(*stop))
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, pairs)
+    return let(w, _with_pairs)
+
+
+def _with_pairs(w: Column) -> Column:
+    pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
 def char_terms(text: Column, shortest: int = 3, longest: int = 5) -> Column:
