@@ -38,6 +38,8 @@ SIDE = WINDOW - ANCHOR
 _LAST = np.uint64(1 << 63)
 #: Contexts that a task remembers to have sent; copies of these are decided on the spot.
 MEMO = 200_000
+#: Longest run that one row states.
+MOST = 1 << 20
 
 
 class SuffixAutomaton:
@@ -128,18 +130,25 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return mix(ids.view(np.uint64)).view(np.int64)
 
 
-def pack(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (pos.astype(np.int64) << 32) + n.astype(np.int64)
+def pack(pos, n, k):
+    """A position (28 bits), an extent (-MOST to MOST) and a row's k (15 bits) in one long; positions order the values."""
+    return (pos << 36) + ((n + MOST) << 15) + k
 
 
-def unpack(at: int) -> tuple[int, int]:
-    """(pos, n) of a packed value; n may be negative."""
-    pos = (at + (1 << 31)) >> 32
-    return pos, at - (pos << 32)
+def unpack(at: int) -> tuple[int, int, int]:
+    return at >> 36, (at >> 15 & 0x1FFFFF) - MOST, at & 0x7FFF
+
+
+def _pieces(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, start, size) of runs cut into pieces of at most MOST."""
+    many = -(-size // MOST)
+    of = np.repeat(np.arange(len(size)), many)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    return of, start[of] + nth * MOST, np.minimum(MOST, size[of] - nth * MOST)
 
 
 def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
-    """(h, doc_id, k, at): `at` packs a position and an extent. Anchors: the first of the windows anchored there, and their
+    """(h, doc_id, at): `at` packs a position, an extent and k. Anchors: the first of the windows anchored there, and their
     number, negative; else windows that are decided already. h takes 48 bits: a collision only adds a candidate."""
 
     def run(batches):
@@ -171,44 +180,44 @@ def _anchors(keyed: DataFrame, common: np.ndarray) -> DataFrame:
                 if len(done):
                     cut = np.r_[True, (np.diff(done) != 1) | (np.diff(doc[done]) != 0)]
                     start, size = done[cut], np.diff(np.r_[np.flatnonzero(cut), len(done)])
-                    base = np.searchsorted(doc, doc[start])
                     d = doc[start]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (_spread(ids[d]), ids[d], keys[d], pack(start - base, size))], ["h", "doc_id", "k", "at"])
+                    of, at, part_size = _pieces(start - np.searchsorted(doc, d), size)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (_spread(ids[d])[of], ids[d][of], pack(at, part_size, keys[d][of]))], ["h", "doc_id", "at"])
             spot, first, many = np.unique(undecided + off[undecided], return_index=True, return_counts=True)
             start, last = undecided[first], undecided[first + many - 1]  # anchors move forward with the windows
             d = doc[spot]
             base = np.searchsorted(doc, d)
-            rows = ((g[spot] >> np.uint64(16)).view(np.int64), ids[d], keys[d], pack(start - base, start - last - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], ["h", "doc_id", "k", "at"])
+            rows = ((g[spot] >> np.uint64(16)).view(np.int64), ids[d], pack(start - base, start - last - 1, keys[d]))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], ["h", "doc_id", "at"])
 
-    return keyed.select("doc_id", "k", "text").mapInArrow(run, "h long, doc_id long, k long, at long")
+    return keyed.select("doc_id", "k", "text").mapInArrow(run, "h long, doc_id long, at long")
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
     """Anchors that occur in at least two documents, and all that is decided."""
     same = Window.partitionBy("h")
-    decided = F.shiftleft("at", 32) > 0
+    decided = F.shiftright("at", 15).bitwiseAND(F.lit(0x1FFFFF)) > MOST
     marked = anchors.withColumn("d", F.when(~decided, F.col("doc_id")))
     marked = marked.select("*", F.min("d").over(same).alias("lo"), F.max("d").over(same).alias("hi"))
     return marked.where(decided | (F.col("lo") < F.col("hi"))).drop("d", "lo", "hi")
 
 
 def _contexts(keyed: DataFrame, shared: DataFrame) -> DataFrame:
-    """(h, doc_id, k, at, words): the windows of each shared anchor as words from `at` on; words decided here have none."""
-    per_doc = shared.groupBy("doc_id", "k").agg(F.collect_list(F.struct("h", "at")).alias("spots"))
+    """(h, doc_id, at, words): the windows of each shared anchor as words from `at` on; words decided here have none."""
+    per_doc = shared.withColumn("k", F.col("at").bitwiseAND(F.lit(0x7FFF))).groupBy("doc_id", "k").agg(F.collect_list(F.struct("h", "at")).alias("spots"))
     joined = keyed.join(per_doc, ["doc_id", "k"], "left").select("doc_id", "k", "text", "spots")
 
     def run(batches):
         sent: dict[bytes, int] = {}  # contexts that this task has sent, and their smallest doc_id; bounded
         for part in slices(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             ids = part.column("doc_id").to_pylist()
             by_doc = _spread(np.array([0 if i is None else i for i in ids], np.int64)).tolist()
             for doc_id, own, k, text, spots in zip(ids, by_doc, part.column("k").to_pylist(), as_bytes(part.column("text")), part.column("spots").to_pylist(), strict=True):
                 words = text.split() if spots else ()
                 decided = []
                 for s in spots or ():
-                    start, n = unpack(s["at"])
+                    start, n, _ = unpack(s["at"])
                     end = start + abs(n) + WINDOW - 1
                     if n < 0:
                         ctx = b" ".join(words[start:end])
@@ -216,30 +225,31 @@ def _contexts(keyed: DataFrame, shared: DataFrame) -> DataFrame:
                         if first is None or first >= doc_id:
                             if first is not None or len(sent) < MEMO:
                                 sent[ctx] = doc_id
-                            for column, v in zip(out, (s["h"], doc_id, k, start << 32, ctx), strict=True):
+                            for column, v in zip(out, (s["h"], doc_id, pack(start, 0, k), ctx), strict=True):
                                 column.append(v)
                             continue
                     decided.append((start, end))
                 for start, end in merged(decided):
-                    for column, v in zip(out, (own, doc_id, k, (start << 32) + end - start, b""), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["h", "doc_id", "k", "at", "words"])
+                    for piece in range(start, end, MOST):
+                        for column, v in zip(out, (own, doc_id, pack(piece, min(MOST, end - piece), k), b""), strict=True):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["h", "doc_id", "at", "words"])
 
-    return joined.mapInArrow(run, "h long, doc_id long, k long, at long, words binary")
+    return joined.mapInArrow(run, "h long, doc_id long, at long, words binary")
 
 
 def _spans(contexts: DataFrame) -> DataFrame:
     """(doc_id, k, start, size): word spans to remove."""
-    shards = contexts.repartition("h").sortWithinPartitions("h", "doc_id", "k", "at")
+    shards = contexts.repartition("h").sortWithinPartitions("h", "doc_id", "at")
 
     def run(batches):
         shard = doc = None
         automaton, built, refs, known, waiting = None, 0, [], set(), []
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            columns = (batch.column(c).to_pylist() for c in ("h", "doc_id", "k", "at", "words"))
-            for h, doc_id, k, at, ctx in zip(*columns, strict=True):
-                start, n = unpack(at)
+            columns = (batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "words"))
+            for h, doc_id, at, ctx in zip(*columns, strict=True):
+                start, n, k = unpack(at)
                 if not ctx:
                     spans = [(0, n)]
                 else:
