@@ -47,10 +47,22 @@ def requirement_boost(hits: Column, w: C.Weights = C.DEFAULT) -> Column:
 
 def prior(q: Column, authority: Column, file: Column, text: Column, profiles: Sequence[Mapping], sop_signals=("internal sop", "our sop", "sop", "internal procedure", "work instruction"), toc: str = "table of contents") -> Column:
     """Query-aware priors: boosts of every profile that the question's signals switch on, and small fixed ones."""
-    q, f, t = F.lower(q), F.lower(file), F.lower(text)
+    return switched_prior(switched_on(q, profiles, sop_signals), authority, file, text, profiles, toc)
+
+
+def switched_on(q: Column, profiles: Sequence[Mapping], sop_signals: Sequence[str]) -> Column:
+    """The question's side of the priors: a bit per profile that its signals switch on, the last for the SOP signals."""
+    bits = F.lit(0)
+    for i, signals in enumerate([*(p["signals"] for p in profiles), sop_signals]):
+        bits = bits + F.when(T.contains_any(F.lower(q), signals), 1 << i).otherwise(0)
+    return bits
+
+
+def switched_prior(bits: Column, authority: Column, file: Column, text: Column, profiles: Sequence[Mapping], toc: str = "table of contents") -> Column:
+    """The prior of a chunk for questions with these bits of switched_on."""
+    f, t = F.lower(file), F.lower(text)
     score = F.lit(0.0)
-    for p in profiles:
-        on = T.contains_any(q, p["signals"])
+    for i, p in enumerate(profiles):
         part = F.lit(0.0)
         for a, boost in p.get("authority", {}).items():
             part = part + F.when(authority == a, boost).otherwise(0.0)
@@ -58,8 +70,8 @@ def prior(q: Column, authority: Column, file: Column, text: Column, profiles: Se
             part = part + F.when(f.contains(pattern), boost).otherwise(0.0)
         for pattern, boost in p.get("text", ()):
             part = part + F.when(t.contains(pattern), boost).otherwise(0.0)
-        score = score + F.when(on, part).otherwise(0.0)
-    score = score + F.when(T.contains_any(q, sop_signals) & (authority == "SOP"), 0.22).otherwise(0.0)
+        score = score + F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, part).otherwise(0.0)
+    score = score + F.when((bits.bitwiseAND(F.lit(1 << len(profiles))) != 0) & (authority == "SOP"), 0.22).otherwise(0.0)
     score = score - F.when(f.contains("aide-memoire") | t.contains("aide-memoire"), 0.06).otherwise(0.0)
     score = score - F.when(f.contains("manual-"), 0.04).otherwise(0.0) - F.when(t.contains(toc), 0.06).otherwise(0.0)
     return score - F.when(t.rlike(T.DIAGRAM), 0.10).otherwise(0.0) - F.when(F.length(t) < 80, 0.03).otherwise(0.0)
@@ -86,6 +98,28 @@ def score_pairs(pairs: DataFrame, word: DataFrame, char: DataFrame, overlap: Dat
     return x.withColumn("boost", requirement_boost(F.col("hits"), w)).withColumn("final", F.col("base") + F.col("boost"))
 
 
+def score_reaching(questions: DataFrame, chunks: DataFrame, word: DataFrame, char: DataFrame, overlap: DataFrame, least: float, prior_of_bits: Column, hits: Column, broad: Column, w: C.Weights = C.DEFAULT) -> DataFrame:
+    """score_pairs of every question (qid, bits ...) with every chunk (KEY, authority, text) whose base reaches `least`.
+
+    Pairs in none of the similarities have their prior alone, which the bits and the chunk decide: those that reach `least` by
+    it join the others. A pair goes on when its similarities and the largest prior of its bits reach `least`.
+    """
+    kinds = questions.select("bits").distinct()
+    priors = chunks.crossJoin(F.broadcast(kinds)).select("bits", *KEY, prior_of_bits.alias("prior"))
+    asked = F.broadcast(questions.select("qid", "bits").join(priors.groupBy("bits").agg(F.max("prior").alias("_most")), "bits"))
+    parts = {"sim_word": word.withColumnRenamed("sim", "sim_word"), "sim_char": char.withColumnRenamed("sim", "sim_char"), "overlap": overlap}
+    alone = priors.where(F.col("prior") >= least).join(F.broadcast(questions.select("qid", "bits")), "bits").select("qid", *KEY, *[F.lit(0.0).alias(c) for c in parts])
+    for name, part in parts.items():
+        alone = alone.unionByName(part.select("qid", *KEY, *[F.col(c) if c == name else F.lit(0.0).alias(c) for c in parts]))
+    x = alone.groupBy("qid", *KEY).agg(*[F.sum(c).alias(c) for c in parts])
+    blend = w.word * F.col("sim_word") + w.char * F.col("sim_char") + w.overlap * F.col("overlap")
+    x = x.join(asked, "qid").where(blend + F.col("_most") >= least - 1e-9).drop("_most")
+    x = x.join(priors, ["bits", *KEY]).withColumn("base", blend + F.col("prior")).where(F.col("base") >= least).drop("bits", "prior")
+    x = x.join(F.broadcast(questions.drop("bits")), "qid").join(chunks.select(*KEY, "authority", "text"), KEY)
+    x = x.withColumn("hits", F.when(broad, hits).otherwise(F.lit(0)))
+    return x.withColumn("boost", requirement_boost(F.col("hits"), w)).withColumn("final", F.col("base") + F.col("boost"))
+
+
 def ranking(by: Sequence[str]):
     """Final score, then base score, then the key; scores count to twelve digits."""
     return Window.partitionBy(*by).orderBy(F.desc(F.round("final", 12)), F.desc(F.round("base", 12)), *KEY)
@@ -141,6 +175,17 @@ def empty_stats(scored: DataFrame, by: Sequence[str], admitted: Column, allowed:
     )
 
 
+def empty_totals(questions: DataFrame, per: DataFrame, eligible: DataFrame, admitted: Column) -> DataFrame:
+    """empty_stats over all chunks from counts: per (authority, n, n_allowed) and eligible (qid, eligible)."""
+    n, a = F.col("n"), F.col("n_allowed")
+    x = per.crossJoin(F.broadcast(questions)).groupBy("qid").agg(
+        F.sum("n").alias("total"), F.sum(F.when(~admitted, n).otherwise(0)).alias("scope_removed"),
+        F.sum(F.when(admitted, n - a).otherwise(0)).alias("docs_removed"), F.sum(F.when(admitted, a).otherwise(0)).alias("_left"),
+    )
+    x = x.join(eligible, "qid", "left").withColumn("eligible", F.coalesce("eligible", F.lit(0).cast("long")))
+    return x.select("qid", "total", "scope_removed", "docs_removed", (F.col("_left") - F.col("eligible")).alias("similarity_removed"), "eligible")
+
+
 def merge_variants(found: DataFrame, cap: int = 80) -> DataFrame:
     """Best row per question and chunk over all variants, the first variant on ties; at most `cap` rows per question."""
     best = Window.partitionBy("qid", *KEY).orderBy(F.desc("final"), "variant_no")

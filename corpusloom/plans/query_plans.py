@@ -184,7 +184,7 @@ def filename_overlap(spark, d):
 
     names = table(spark, d, "pages").select("page_id", F.concat_ws(" ", "url", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).alias("name"))
     found = R.name_overlap(questions(spark, d), names, "qid", "question", "page_id", "name")
-    return found.where("shared > 1").select("qid", "page_id", F.round("overlap", 6).alias("overlap"))
+    return found.select("qid", "page_id", F.round("overlap", 6).alias("overlap"))
 
 
 @query("topic_tokens", f"{_Q} SELECT qid, list_sort(list_filter(list_distinct(regexp_extract_all(s, '[a-z0-9]{{3,}}')), lambda x: NOT list_contains({sql_list(C.TOPIC_STOP)}, x))) AS tokens FROM q")

@@ -20,6 +20,9 @@ PROFILES = (
     {"signals": ("ou", "ment"), "authority": {"FDA": 0.12, "ICH": 0.05}, "file": (("doc_1", 0.04),), "text": (("eauai", 0.06),)},
     {"signals": ("ing", "keit"), "authority": {"EU_GMP": 0.08}, "file": (("7", 0.02),), "text": (("thest", 0.03), ("enther", 0.05))},
 )
+SOP_SIGNALS, TOC = ("thest", "oush"), "reouou"
+#: Queries ask for rows from here on: the fallback's threshold, or what the largest boost lifts to the search's.
+LEAST = min(DEFAULT.fallback_similarity, DEFAULT.min_similarity - DEFAULT.max_boost)
 
 
 def scope():
@@ -96,7 +99,7 @@ def s_prior() -> str:
 
 
 def prior_column():
-    return R.prior(F.col("q_aug"), F.col("authority"), F.col("file"), F.col("text"), PROFILES, sop_signals=("thest", "oush"), toc="reouou")
+    return R.prior(F.col("q_aug"), F.col("authority"), F.col("file"), F.col("text"), PROFILES, sop_signals=SOP_SIGNALS, toc=TOC)
 
 
 def s_hits(x: str) -> str:
@@ -127,18 +130,17 @@ _RANKED = f"{_ALL}, el AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid OR
 
 
 def scored(spark, d):
-    """Question x chunk rows that share a fifth of the question's tokens, with all scores."""
+    """All question x chunk rows whose base score is LEAST or more, with all scores."""
     return stored(spark, d, "scored", build_scored)
 
 
 def build_scored(spark, d):
-    c, q = chunks(spark, d), asked(spark, d)
-    over = R.token_overlap(q, c)
-    pairs = over.where("overlap >= 0.2").select("qid", *R.KEY).join(q, "qid").join(c.select(*R.KEY, "authority", "text"), R.KEY)
+    c, q = chunks(spark, d), asked(spark, d).withColumn("bits", R.switched_on(F.col("q_aug"), PROFILES, SOP_SIGNALS))
     word = I.search_space(c, q, word_terms, R.KEY, ["qid"], "text", "q_aug")
     char = I.search_space(c, q, I.char_terms, R.KEY, ["qid"], "text", "q_aug")
+    prior = R.switched_prior(F.col("bits"), F.col("authority"), F.col("file"), F.col("text"), PROFILES, toc=TOC)
     hits = R.requirement_hits(F.col("text"), SIGNALS)
-    x = R.score_pairs(pairs, word, char, over, ["qid"], prior_column(), hits, broad(F.col("q_aug")))
+    x = R.score_reaching(q, c, word, char, R.token_overlap(q, c), LEAST, prior, hits, broad(F.col("q_aug")))
     return x.withColumn("admitted", R.in_scope(F.col("scope"), F.col("authority")))
 
 
@@ -184,13 +186,13 @@ def index_roundtrip(spark, d):
 @query("cosine_word", f"{_BASE}, {_WORD} SELECT qid, file, chunk_id, round(sim, 6) AS sim FROM w_s WHERE sim > 0.05")
 def cosine_word(spark, d):
     s = I.search_space(chunks(spark, d), asked(spark, d), word_terms, R.KEY, ["qid"], "text", "q_aug")
-    return s.where("sim > 0.05").select("qid", "file", "chunk_id", F.round("sim", 6).alias("sim"))
+    return s.select("qid", "file", "chunk_id", F.round("sim", 6).alias("sim"))
 
 
 @query("cosine_char", f"{_BASE}, {_CHAR} SELECT qid, file, chunk_id, round(sim, 6) AS sim FROM c_s WHERE sim > 0.3")
 def cosine_char(spark, d):
     s = I.search_space(chunks(spark, d), asked(spark, d), I.char_terms, R.KEY, ["qid"], "text", "q_aug")
-    return s.where("sim > 0.3").select("qid", "file", "chunk_id", F.round("sim", 6).alias("sim"))
+    return s.select("qid", "file", "chunk_id", F.round("sim", 6).alias("sim"))
 
 
 @query("token_overlap", f"{_BASE}, {_OVER} SELECT qid, file, chunk_id, round(overlap, 6) AS overlap FROM ov")
@@ -212,7 +214,10 @@ def requirement_hits(spark, d):
 
 @query("requirement_boost", f"{_ALL} SELECT qid, file, chunk_id, hits, round(boost, 6) AS boost FROM fs")
 def requirement_boost(spark, d):
-    return scored(spark, d).select("qid", "file", "chunk_id", "hits", F.round("boost", 6).alias("boost"))
+    c = chunks(spark, d).withColumn("hits", R.requirement_hits(F.col("text"), SIGNALS))
+    pairs = c.crossJoin(F.broadcast(asked(spark, d).select("qid", broad(F.col("q_aug")).alias("broad"))))
+    x = pairs.withColumn("hits", F.when(F.col("broad"), F.col("hits")).otherwise(F.lit(0)))
+    return x.select("qid", "file", "chunk_id", "hits", F.round(R.requirement_boost(F.col("hits")), 6).alias("boost"))
 
 
 @query("scope_filter", f"{_BASE} SELECT qid, authority, count(*) AS n FROM questions, chunks WHERE {_ADMIT} GROUP BY qid, authority")
@@ -223,7 +228,9 @@ def scope_filter(spark, d):
 
 @query("similarity_threshold", f"{_ALL} SELECT qid, count(*) FILTER (WHERE base >= 0.2) AS eligible, count(*) FILTER (WHERE final >= 0.2 AND base < 0.2) AS rescued_by_boost_only, count(*) AS total FROM fs GROUP BY qid")
 def similarity_threshold(spark, d):
-    return scored(spark, d).groupBy("qid").agg(F.count_if(F.col("base") >= 0.2).alias("eligible"), F.count_if((F.col("final") >= 0.2) & (F.col("base") < 0.2)).alias("rescued_by_boost_only"), F.count("*").alias("total"))
+    reached = scored(spark, d).groupBy("qid").agg(F.count_if(F.col("base") >= 0.2).alias("eligible"), F.count_if((F.col("final") >= 0.2) & (F.col("base") < 0.2)).alias("rescued_by_boost_only"))
+    total = chunks(spark, d).agg(F.count("*").alias("total"))
+    return asked(spark, d).select("qid").join(reached, "qid", "left").crossJoin(F.broadcast(total)).fillna(0, ["eligible", "rescued_by_boost_only"])
 
 
 @query("rank_topk", f"{_RANKED} SELECT qid, file, chunk_id, rank, round(final, 6) AS final FROM rk")
@@ -233,7 +240,9 @@ def rank_topk(spark, d):
 
 @query("empty_retrieval_stats", f"{_ALL} SELECT qid, count(*) AS total, count(*) FILTER (WHERE NOT admitted) AS scope_removed, count(*) FILTER (WHERE admitted AND NOT ends_with(file, '3')) AS docs_removed, count(*) FILTER (WHERE admitted AND ends_with(file, '3') AND base < 0.2) AS similarity_removed, count(*) FILTER (WHERE admitted AND ends_with(file, '3') AND base >= 0.2) AS eligible FROM fs GROUP BY qid")
 def empty_retrieval_stats(spark, d):
-    return R.empty_stats(scored(spark, d), ["qid"], F.col("admitted"), F.col("file").endswith("3"), 0.2)
+    per = chunks(spark, d).groupBy("authority").agg(F.count("*").alias("n"), F.count_if(F.col("file").endswith("3")).alias("n_allowed"))
+    eligible = scored(spark, d).where(F.col("admitted") & F.col("file").endswith("3") & (F.col("base") >= 0.2)).groupBy("qid").agg(F.count("*").alias("eligible"))
+    return R.empty_totals(asked(spark, d).select("qid", "scope"), per, eligible, R.in_scope(F.col("scope"), F.col("authority")))
 
 
 @query("allowed_docs_filter", f"{_ALL} SELECT qid, file, chunk_id FROM fs WHERE CAST(substr(file, 5) AS INT) % 5 = qid % 5")
@@ -241,7 +250,7 @@ def allowed_docs_filter(spark, d):
     q = asked(spark, d).select("qid", (F.col("qid") % 5).alias("r"))
     files = chunks(spark, d).select("file").distinct().withColumn("r", F.expr("cast(substring(file, 5) as int) % 5").cast("long"))
     allowed = q.join(files, "r").select("qid", "file")
-    return scored(spark, d).join(allowed, ["qid", "file"], "left_semi").select("qid", "file", "chunk_id")
+    return chunks(spark, d).join(allowed, "file").select("qid", "file", "chunk_id")
 
 
 def selected(spark, d, top_k=8, items=5):
