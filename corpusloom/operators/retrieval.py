@@ -98,24 +98,24 @@ def score_pairs(pairs: DataFrame, word: DataFrame, char: DataFrame, overlap: Dat
     return x.withColumn("boost", requirement_boost(F.col("hits"), w)).withColumn("final", F.col("base") + F.col("boost"))
 
 
-def score_reaching(questions: DataFrame, chunks: DataFrame, word: DataFrame, char: DataFrame, overlap: DataFrame, least: float, prior_of_bits: Column, hits: Column, broad: Column, w: C.Weights = C.DEFAULT) -> DataFrame:
-    """score_pairs of every question (qid, bits ...) with every chunk (KEY, authority, text) whose base reaches `least`.
+def score_reaching(questions: DataFrame, chunks: DataFrame, word: DataFrame, char: DataFrame, overlap: DataFrame, least: float, prior_of_bits: Column, hits: Column, broad: Column, by: Sequence[str] = ("qid",), w: C.Weights = C.DEFAULT) -> DataFrame:
+    """score_pairs of every question (by, bits ...) with every chunk (KEY, authority, text) whose base reaches `least`.
 
     Pairs in none of the similarities have their prior alone, which the bits and the chunk decide: those that reach `least` by
     it join the others. A pair goes on when its similarities and the largest prior of its bits reach `least`.
     """
     kinds = questions.select("bits").distinct()
     priors = chunks.crossJoin(F.broadcast(kinds)).select("bits", *KEY, prior_of_bits.alias("prior"))
-    asked = F.broadcast(questions.select("qid", "bits").join(priors.groupBy("bits").agg(F.max("prior").alias("_most")), "bits"))
+    asked = F.broadcast(questions.select(*by, "bits").join(priors.groupBy("bits").agg(F.max("prior").alias("_most")), "bits"))
     parts = {"sim_word": word.withColumnRenamed("sim", "sim_word"), "sim_char": char.withColumnRenamed("sim", "sim_char"), "overlap": overlap}
-    alone = priors.where(F.col("prior") >= least).join(F.broadcast(questions.select("qid", "bits")), "bits").select("qid", *KEY, *[F.lit(0.0).alias(c) for c in parts])
+    alone = priors.where(F.col("prior") >= least).join(F.broadcast(questions.select(*by, "bits")), "bits").select(*by, *KEY, *[F.lit(0.0).alias(c) for c in parts])
     for name, part in parts.items():
-        alone = alone.unionByName(part.select("qid", *KEY, *[F.col(c) if c == name else F.lit(0.0).alias(c) for c in parts]))
-    x = alone.groupBy("qid", *KEY).agg(*[F.sum(c).alias(c) for c in parts])
+        alone = alone.unionByName(part.select(*by, *KEY, *[F.col(c) if c == name else F.lit(0.0).alias(c) for c in parts]))
+    x = alone.groupBy(*by, *KEY).agg(*[F.sum(c).alias(c) for c in parts])
     blend = w.word * F.col("sim_word") + w.char * F.col("sim_char") + w.overlap * F.col("overlap")
-    x = x.join(asked, "qid").where(blend + F.col("_most") >= least - 1e-9).drop("_most")
+    x = x.join(asked, [*by]).where(blend + F.col("_most") >= least - 1e-9).drop("_most")
     x = x.join(priors, ["bits", *KEY]).withColumn("base", blend + F.col("prior")).where(F.col("base") >= least).drop("bits", "prior")
-    x = x.join(F.broadcast(questions.drop("bits")), "qid").join(chunks.select(*KEY, "authority", "text"), KEY)
+    x = x.join(F.broadcast(questions.drop("bits")), [*by]).join(chunks.select(*KEY, "authority", "text"), KEY)
     x = x.withColumn("hits", F.when(broad, hits).otherwise(F.lit(0)))
     return x.withColumn("boost", requirement_boost(F.col("hits"), w)).withColumn("final", F.col("base") + F.col("boost"))
 

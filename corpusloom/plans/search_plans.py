@@ -11,7 +11,7 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import routing as G
 from corpusloom.plans.fixtures import LEXICON, QUESTIONS_SQL, SIGNALS, STOP_WORDS, questions, quoted, sql_list, stored
 from corpusloom.plans.page_plans import chunk_sql, chunk_table
-from corpusloom.plans.query_plans import APR, BROAD, OOS, VALID, _s_domain, s_normalize, s_word
+from corpusloom.plans.query_plans import ACR, APR, BROAD, OOS, SYN, VALID, _s_domain, s_normalize, s_word
 from corpusloom.plans.registry import query
 from corpusloom.plans.text_plans import s_any, s_collapsed
 
@@ -135,12 +135,16 @@ def scored(spark, d):
 
 
 def build_scored(spark, d):
-    c, q = chunks(spark, d), asked(spark, d).withColumn("bits", R.switched_on(F.col("q_aug"), PROFILES, SOP_SIGNALS))
-    word = I.search_space(c, q, word_terms, R.KEY, ["qid"], "text", "q_aug")
-    char = I.search_space(c, q, I.char_terms, R.KEY, ["qid"], "text", "q_aug")
+    return score_questions(spark, d, asked(spark, d), ["qid"])
+
+
+def score_questions(spark, d, q, by):
+    c, q = chunks(spark, d), q.withColumn("bits", R.switched_on(F.col("q_aug"), PROFILES, SOP_SIGNALS))
+    word = I.search_space(c, q, word_terms, R.KEY, by, "text", "q_aug")
+    char = I.search_space(c, q, I.char_terms, R.KEY, by, "text", "q_aug")
     prior = R.switched_prior(F.col("bits"), F.col("authority"), F.col("file"), F.col("text"), PROFILES, toc=TOC)
     hits = R.requirement_hits(F.col("text"), SIGNALS)
-    x = R.score_reaching(q, c, word, char, R.token_overlap(q, c), LEAST, prior, hits, broad(F.col("q_aug")))
+    x = R.score_reaching(q, c, word, char, R.token_overlap(q, c, by=by), LEAST, prior, hits, broad(F.col("q_aug")), by)
     return x.withColumn("admitted", R.in_scope(F.col("scope"), F.col("authority")))
 
 
@@ -290,19 +294,36 @@ def route_docs(spark, d):
     sim = I.search_space(c, q, word_terms, R.KEY, ["qid"], "text", "q_aug").groupBy("qid", F.col("file").alias("doc")).agg(F.max("sim").alias("sim"))
     files = c.select(F.col("file").alias("doc")).distinct().withColumn("r", F.expr("cast(substring(doc, 5) as int) % 97").cast("long"))
     hits = q.select("qid", (F.col("qid") % 97).alias("r")).join(files, "r").select("qid", "doc", F.lit(1.0).alias("hits"))
-    none = sim.select("qid", "doc", F.lit(0.0).alias("overlap")).limit(0)
-    return G.route(sim, none, hits).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
+    names = files.select("doc", F.col("doc").alias("name"))
+    overlap = G.name_overlap(q, names, "qid", "q_aug", "doc", "name").select("qid", "doc", "overlap")
+    return G.route(sim, overlap, hits).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
-# Orchestration: two variants per question, the second with the best chunk's authority favoured.
+# Orchestration: every variant of a question is searched; the SQL rescales the question's own rows instead.
+VARIANT = ["qid", "variant_no"]
 _POOL = f"{_RANKED}, vr AS (SELECT *, 0 AS variant_no FROM rk UNION ALL SELECT * REPLACE (final * 0.97 + hits * 0.01 AS final), 1 AS variant_no FROM el WHERE rank <= 12), mv AS (SELECT *, row_number() OVER (PARTITION BY qid, file, pdf_index, chunk_id ORDER BY final DESC, variant_no) AS k FROM vr), pool AS (SELECT * FROM (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY qid ORDER BY round(final, 12) DESC, file, pdf_index, chunk_id) AS pool_rank FROM mv WHERE k = 1) WHERE pool_rank <= 10)"
 
 
+def asked_variants(spark, d):
+    """(qid, variant_no, q_aug, scope): every variant of every question, in the order of query_variants."""
+    q = F.col("q_aug")
+    found = Q.variants(q, ("of", "and", "the"), SYN, ACR, broad(q))
+    return asked(spark, d).select("qid", "scope", F.posexplode(found).alias("variant_no", "q_aug"))
+
+
+def variant_scored(spark, d):
+    return stored(spark, d, "variant_scored", lambda spark, d: score_questions(spark, d, asked_variants(spark, d), VARIANT))
+
+
+def pool_of(spark, d, found):
+    """What each variant's search selects of its best rows, merged."""
+    r = R.rank(found.where("admitted"), VARIANT, DEFAULT.pipeline_top_k, DEFAULT.min_similarity)
+    chosen = R.mmr(r, stored(spark, d, "postings", build_postings), VARIANT, DEFAULT.max_context, DEFAULT.mmr_lambda)
+    return R.merge_variants(r.join(chosen, [*VARIANT, *R.KEY]), DEFAULT.pool)
+
+
 def pool(spark, d):
-    r = ranked(spark, d, 12)
-    first = r.where("rank <= 8").withColumn("variant_no", F.lit(0))
-    second = r.withColumn("final", F.col("final") * 0.97 + F.col("hits") * 0.01).withColumn("variant_no", F.lit(1))
-    return R.merge_variants(first.unionByName(second), 10)
+    return stored(spark, d, "pool", lambda spark, d: pool_of(spark, d, variant_scored(spark, d)))
 
 
 @query("merge_variants", f"{_POOL} SELECT qid, file, chunk_id, variant_no, round(final, 6) AS final, CAST(pool_rank AS INT) AS pool_rank FROM pool")
@@ -319,9 +340,10 @@ def domains(spark, d):
 
 @query("relaxed_retry", f"{_POOL}, {_DOM}, thin AS (SELECT qid FROM dm LEFT JOIN (SELECT qid, count(*) AS n FROM pool WHERE ends_with(file, '1') GROUP BY qid) USING (qid) WHERE coalesce(n, 0) < 3 AND domain IN ('computerized_systems', 'data_integrity', 'deviations')), un AS (SELECT qid, file, pdf_index, chunk_id, final FROM pool WHERE ends_with(file, '1') UNION SELECT qid, file, pdf_index, chunk_id, final FROM pool WHERE qid IN (SELECT qid FROM thin)) SELECT qid, file, chunk_id, round(final, 6) AS final FROM un")
 def relaxed_retry(spark, d):
-    p = pool(spark, d).select("qid", *R.KEY, "final", "variant_no")
+    cols = ["qid", *R.KEY, "final", "variant_no"]
+    allowed = pool_of(spark, d, variant_scored(spark, d).where(F.col("file").endswith("1")))
     keys = ("computerized_systems", "data_integrity", "deviations")
-    return R.relaxed_retry(p.where(F.col("file").endswith("1")), p, domains(spark, d), keys).select("qid", "file", "chunk_id", F.round("final", 6).alias("final"))
+    return R.relaxed_retry(allowed.select(cols), pool(spark, d).select(cols), domains(spark, d), keys).select("qid", "file", "chunk_id", F.round("final", 6).alias("final"))
 
 
 def _s_lex(kind: str, relaxed=R.C.RELAXED_DOMAINS) -> str:

@@ -31,3 +31,18 @@ def test_pairs_carried_by_their_prior_alone_are_found(spark):
     prior = R.switched_prior(F.col("bits"), F.col("authority"), F.col("file"), F.col("text"), ())
     out = R.score_reaching(q, c, word, char, R.token_overlap(q, c), 0.2, prior, F.lit(0), F.lit(False)).collect()
     assert [(r.qid, r.file, round(r.base, 6)) for r in out] == [(1, "f", 0.22)]
+
+
+def test_every_variant_is_searched_and_allowed_documents_are_ranked_alone(spark, small):
+    v = S.asked_variants(spark, small)
+    assert v.where("variant_no > 0").count() > 0
+    best = {}
+    allowed = {}
+    for r in S.variant_scored(spark, small).where("admitted and base >= 0.2").collect():
+        for into in (best, allowed) if r.file.endswith("1") else (best,):
+            into.setdefault((r.qid, r.variant_no), []).append((-round(r.final, 12), -round(r.base, 12), r.file, r.pdf_index, r.chunk_id))
+    top = lambda x, k: {(q, *row[2:]) for (q, _), rows in x.items() for row in sorted(rows)[:k]}
+    got = {(r.qid, r.file, r.pdf_index, r.chunk_id) for r in S.pool(spark, small).collect()}
+    assert top(best, 1) <= got <= top(best, 12)
+    got = {(r.qid, r.file, r.chunk_id) for r in QUERIES["relaxed_retry"](spark, small).collect()}
+    assert {(q, f, c) for q, f, _, c in top(allowed, 1)} <= got
