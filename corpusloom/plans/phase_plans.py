@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import config as C
+from corpusloom.config import DEFAULT
 from corpusloom.functions import query as Q
 from corpusloom.functions import text as T
 from corpusloom.operators import evidence as E
+from corpusloom.operators import retrieval as R
 from corpusloom.operators import synthesis as S
 from corpusloom.plans.fixtures import BOILER, LEXICON, PATTERNS, QUESTIONS_SQL, STEMS, questions, sql_list, stored
-from corpusloom.plans.page_plans import chunk_table
 from corpusloom.plans.query_plans import s_count, s_normalize
 from corpusloom.plans.registry import query
-from corpusloom.plans.search_plans import CH, asked
+from corpusloom.plans.search_plans import CH, asked, domains, pool, pool_of, variant_scored
 from corpusloom.plans.text_plans import S_TRUNCATED, s_any, s_clean, s_collapsed, s_complete, s_match, s_requirement, s_tokens
 
 LEX = LEXICON["equipment_qualification"]
@@ -21,20 +22,23 @@ PRIMARY, SECONDARY, NEGATIVE = ("enther", "eauai"), ("thest", "ing", "ment", "ke
 
 
 def facts(spark, d):
-    """A question's facts: the chunks that share most of its tokens, scored by that share."""
+    """A question's facts: the balanced chunks of its searches, scored by their final score."""
     return stored(spark, d, "facts", build_facts)
 
 
 def build_facts(spark, d):
-    from pyspark.sql import Window
-
-    from corpusloom.operators import retrieval as R
-
-    c = chunk_table(spark, d, 1000, 220)
-    over = R.token_overlap(asked(spark, d), c)
-    x = over.join(c.select(*R.KEY, "text"), R.KEY).withColumn("score", F.round("overlap", 6))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), *R.KEY))).where("k <= 12")
-    return x.join(questions(spark, d), "qid").select("qid", "question", F.col("file").alias("pdf"), "pdf_index", "chunk_id", F.col("text").alias("quote"), "score")
+    """The whole of phase A: variants, domain filter, mixed-scope retry, fallback and authority balance."""
+    q = asked(spark, d).select("qid", "q_aug")
+    every = variant_scored(spark, d)
+    narrowed = lambda p: R.domain_filter(p.join(domains(spark, d), "qid"), LEXICON).drop("domain", "level")
+    mixed = narrowed(pool_of(spark, d, every.withColumn("admitted", F.lit(True))))
+    cols = ["qid", *R.KEY, "authority", "base", "final", F.col("hits").cast("int").alias("hits"), "text"]
+    x = R.scope_retry(narrowed(pool(spark, d)), mixed, q).select(cols)
+    top = R.rank(every, ["qid"], 1, DEFAULT.fallback_similarity).drop("q_aug").join(q, "qid")
+    top = top.where(R.fallback_match(F.col("q_aug"), F.concat("file", F.substring("text", 1, 60)))).select(cols)
+    x = x.unionByName(top.join(x.select("qid").distinct(), "qid", "left_anti").select(x.columns))
+    kept = R.balance(x, DEFAULT.max_context).join(questions(spark, d), "qid")
+    return kept.select("qid", "question", F.col("file").alias("pdf"), "pdf_index", "chunk_id", F.col("text").alias("quote"), F.round("final", 6).alias("score"))
 
 
 def _toks(x: str) -> str:
@@ -224,7 +228,7 @@ def format_facts(spark, d):
 @query("answer")
 def answer(spark, d):
     """The whole chain from gated evidence: facts, gate, sentences, candidates, lines, answer and its citations."""
-    kept = gated(spark, d)
+    kept = gated(spark, d).drop("pos")
     f = S.select_facts(kept, found(spark, d), STEMS).withColumn("domain", F.lit(None).cast("string"))
     lines = S.choose_lines(S.candidates(f, found(spark, d)))
     cited = S.dedupe_citations(lines, "qid", "n", 5).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("citation", *E.KEY))).alias("citations"))

@@ -46,3 +46,13 @@ def test_every_variant_is_searched_and_allowed_documents_are_ranked_alone(spark,
     assert top(best, 1) <= got <= top(best, 12)
     got = {(r.qid, r.file, r.chunk_id) for r in QUERIES["relaxed_retry"](spark, small).collect()}
     assert {(q, f, c) for q, f, _, c in top(allowed, 1)} <= got
+
+
+def test_facts_are_searched_with_their_final_scores(spark, small):
+    from corpusloom.plans.phase_plans import facts
+
+    final = {(r.qid, r.file, r.pdf_index, r.chunk_id): round(r.final, 6) for r in S.pool(spark, small).collect()}
+    found = {(r.qid, r.pdf, r.pdf_index, r.chunk_id): r.score for r in facts(spark, small).collect()}
+    assert {k[0] for k in final} <= {k[0] for k in found}
+    assert all(final[k] == v for k, v in found.items() if k in final) and set(found) & set(final)
+    assert QUERIES["answer"](spark, small).count() == S.asked(spark, small).count()
