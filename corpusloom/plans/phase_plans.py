@@ -99,8 +99,7 @@ def requirement_filter(spark, d):
 
 @query("phase_b_empty_summary", f"{_FACTS}, lf AS (SELECT DISTINCT qid FROM facts WHERE qid % 3 = 0) SELECT qid, count(*) AS facts, count(*) FILTER (WHERE {_NOISY}) AS noisy, count(*) FILTER (WHERE NOT {_REL}) AS irrelevant, count(*) FILTER (WHERE {_BOIL}) AS boilerplate, count(*) FILTER (WHERE NOT {_REQ}) AS no_requirement FROM facts WHERE qid NOT IN (SELECT qid FROM lf) GROUP BY qid")
 def phase_b_empty_summary(spark, d):
-    f = facts(spark, d)
-    return E.empty_summary(f, f.where("qid % 3 = 0"), BOILER, STEMS)  # questions divisible by three stand for the answered ones
+    return E.empty_summary(facts(spark, d), gated(spark, d), BOILER, STEMS)
 
 
 # Sentences. The tables hold none of the acronyms that the default list spells in capitals, so the SQL leaves that rule out.

@@ -206,9 +206,10 @@ def token_overlap(spark, d):
 
 @query("query_prior", f"{_BASE}, qs AS (SELECT qid, question FROM questions WHERE qid % 4 = 0) SELECT qid, file, chunk_id, round({s_prior()}, 6) AS prior FROM qs, chunks")
 def query_prior(spark, d):
-    few = asked(spark, d).where("qid % 4 = 0")  # priors hold for every pair, so the question side is a stated quarter, broadcast
-    pairs = chunks(spark, d).crossJoin(F.broadcast(few))
-    return pairs.select("qid", "file", "chunk_id", F.round(prior_column(), 6).alias("prior"))
+    q = asked(spark, d).select("qid", R.switched_on(F.col("q_aug"), PROFILES, SOP_SIGNALS).alias("bits"))
+    prior = R.switched_prior(F.col("bits"), F.col("authority"), F.col("file"), F.col("text"), PROFILES, toc=TOC)
+    of_bits = chunks(spark, d).crossJoin(F.broadcast(q.select("bits").distinct())).select("bits", "file", "chunk_id", F.round(prior, 6).alias("prior"))
+    return of_bits.join(F.broadcast(q), "bits").select("qid", "file", "chunk_id", "prior")
 
 
 @query("requirement_hits", f"{_BASE} SELECT file, chunk_id, {s_hits('text')} AS hits FROM chunks")

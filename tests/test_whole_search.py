@@ -56,3 +56,16 @@ def test_facts_are_searched_with_their_final_scores(spark, small):
     assert {k[0] for k in final} <= {k[0] for k in found}
     assert all(final[k] == v for k, v in found.items() if k in final) and set(found) & set(final)
     assert QUERIES["answer"](spark, small).count() == S.asked(spark, small).count()
+
+
+def test_no_question_or_document_is_left_out_by_its_number(spark, small):
+    c = S.chunks(spark, small)
+    assert QUERIES["query_prior"](spark, small).count() == c.count() * S.asked(spark, small).count()
+    pairs = c.crossJoin(S.asked(spark, small)).groupBy("qid").agg(F.round(F.sum(S.prior_column()), 3).alias("s"))
+    got = QUERIES["query_prior"](spark, small).groupBy("qid").agg(F.round(F.sum("prior"), 3).alias("s"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in pairs.collect()}
+    from corpusloom.plans.page_plans import chunk_table
+
+    every = chunk_table(spark, small)
+    assert QUERIES["index_integrity"](spark, small).first().total_chunks == every.count()
+    assert QUERIES["zero_chunk_docs"](spark, small).join(every, "file", "left_semi").count() == 0
