@@ -138,7 +138,7 @@ SELECT f.doc_id, f.key, f.df, n.pages FROM f JOIN n USING (doc_id) WHERE df >= g
 
 @query("repeated_lines", _REPEAT)
 def repeated_lines(spark, d):
-    keyed = lines(spark, d).withColumn("key", F.substring(T.frequency_key(F.col("line")), 1, 2))
+    keyed = lines(spark, d).withColumn("key", T.frequency_key(F.col("line")))
     return P.repeated_lines(keyed, "doc_id", "page_no", "key")
 
 
