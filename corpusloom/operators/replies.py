@@ -40,7 +40,11 @@ def validate_facts(reply: DataFrame, source: DataFrame) -> DataFrame:
 def _dump(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() > t for x, y, t in zip(a, b, limit, strict=True)])
+    def over(x: str, y: str, t: float) -> bool:
+        m = SequenceMatcher(None, x, y)  # the quick ratios, by lengths and by letters, are upper bounds
+        return m.real_quick_ratio() > t and m.quick_ratio() > t and m.ratio() > t
+
+    return pd.Series([over(x, y, t) for x, y, t in zip(a, b, limit, strict=True)], dtype=bool)
 
 
 def is_quote_dump(a: Column, b: Column, limit: float = 0.80) -> Column:

@@ -20,7 +20,7 @@ ver AS (SELECT res.id, CASE WHEN list_contains({sql_list(V.VERDICTS)}, verdict)
 
 def results(spark, d):
     return documents(spark, d).selectExpr(
-        "concat('ev', doc_id) as id", "lang as domain", "substring(text, 1, 60) as question", "cast(n_chars % 17 as int) as n_total", "cast(n_chars % 6 as int) as n_domain",
+        "concat('ev', doc_id) as id", "lang as domain", "text as question", "cast(n_chars % 17 as int) as n_total", "cast(n_chars % 6 as int) as n_domain",
         "n_chars % 3 = 0 as domain_filter_used", "case when n_chars % 5 = 0 then null else authority end as domain_key",
     )
 
@@ -217,7 +217,7 @@ def quote_dump(spark, d):
 
     # Each turn against the one before it in its conversation.
     prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    x = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 400).alias("a"), F.substring(prev, 1, 400).alias("b")).where("b is not null")
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"), prev.alias("b")).where("b is not null")
     return x.select("conv_id", "turn", L.is_quote_dump(F.col("a"), F.col("b")).alias("dump"))
 
 
