@@ -11,8 +11,13 @@ title have an empty one; repeated responses give repeated records.
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.llm.common import sha256
 
@@ -27,18 +32,27 @@ BREAK = r"[ \n]*\n[ \n]*"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANG = r"(?is)<html\b[^>]*\blang=\"([^\"]*)\""
 LINK = r"(?i)<a\b[^>]*\bhref="
+#: The references that the SQL knows.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
-def _decoded(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+@F.pandas_udf(StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    """Character references by the whole HTML5 table, once; a no-break space from a reference becomes a blank."""
+
+    def one(m: re.Match) -> str:
+        out = html.unescape(m[0])
+        return out.replace("\xa0", " ")
+
+    return pd.Series([REFERENCE.sub(one, t) if t and "&" in t else t for t in text], dtype=object)
 
 
-def plain_text(html: Column) -> Column:
+def plain_text(page: Column) -> Column:
     """Visible text, one line per block, white space collapsed."""
-    text = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), "[\\n]+", " ")
+    text = F.regexp_replace(F.regexp_replace(page, HIDDEN, ""), "[\\n]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
     return F.btrim(F.regexp_replace(F.regexp_replace(_decoded(text), BLANK, " "), BREAK, "\n"), F.lit(" \n"))
 
