@@ -8,18 +8,23 @@ shingles. The chain is
 1. documents of equal sets become one representative;
 2. rows whose key another document has are given their representative's group counts, a point of an R-tree's space: the sum
    of coordinate minima of two points bounds the overlap of their sets from above. Within a key, documents that the bound
-   allows to link, directly or through others, are connected: a spanning forest of them goes on;
-3. the components of those forests are clusters; nothing outside a cluster can link with it. A cluster is dealt to blocks
-   by hash, and pairs of blocks are compared: an R-tree holds a block's points, boxes and points are cut off by the
-   bound, and pairs that pass are verified on their whole sets. Pairs that links already connect are skipped, so a
-   block pair yields a spanning forest of its links, never all of them;
-4. components of those links, with every document in its representative's.
+   allows to link, directly or through others, are tied to the smallest of them. Keys of more than HOT documents tie all of
+   theirs to the smallest without points, so no task holds such a group;
+3. the components of those ties are clusters; nothing outside a cluster can link with it. A cluster that fits one block is
+   compared in one task: an R-tree holds its points, boxes and points are cut off by the bound, and pairs that pass are
+   verified on their whole sets, unless links already connect them;
+4. larger clusters are compared with probes: about PROBES documents by hash are sent to each block of the cluster, which links
+   its documents with them. Documents of the cluster's largest component need no further comparison with each other; of
+   the rest, new probes are drawn while they at least halve, and at last all of the rest are compared with every block. So copies
+   of one text cost rows in proportion to their number;
+5. components of those links, with every document in its representative's.
 
 Shingles that a bounded sample shows to be common are left out of the groups (two sets differ no more without them), which
 keeps a popular line from bringing unlike documents together; verification is on whole sets.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own component; below three words the
-whole sequence is the only shingle; a null doc_id gets a null component; repeated rows give repeated results.
+whole sequence is the only shingle; a null doc_id gets a null component; rows of one doc_id share the component that any of their
+texts reaches; repeated rows give repeated results; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import fresh, materialize
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.words import as_bytes, common_runs, hash_words, member, mix, rolling, runs_of, slices
 
 #: A point has a power of two of groups, about one per four shingles, between these.
 LEAST_GROUPS, MOST_GROUPS = 16, 8192
-BLOCK = 128
+#: Documents and bytes of sets that one task compares at once, and documents of a key that it groups by the bound.
+BLOCK, BLOCK_BYTES = 512, 64 << 20
+HOT = 2048
+#: Documents of a large cluster that all others are compared with in a round.
+PROBES = 64
 LEAF = 8
 
 
@@ -203,29 +212,43 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def link_forest(sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest, as index pairs, of the links among `sets`; with `across`, of links between sides 0 and 1 only."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    points = common_points([group_counts(s) for s in sets])
-    home = np.flatnonzero(side == 1) if across else np.arange(len(sets))
-    tree = CountTree(points[home], sizes[home])
-    up = list(range(len(sets)))
+class Union:
+    """Disjoint sets of integers, each known by its smallest member."""
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (above := up.get(x, x)) != x:
+            up[x] = up.get(above, above)
+            x = above
         return x
 
-    links = []
-    for q in np.flatnonzero(side == 0) if across else range(len(sets)):
-        for r in home[tree.search(points[q], int(sizes[q]), percent)]:
-            if r == q or (not across and r > q):
-                continue
-            a, b = root(int(q)), root(int(r))
-            if a != b and overlap(sets[q], sets[r]) >= needed(int(sizes[q]), int(sizes[r]), percent):
-                up[a] = b
-                links.append((int(q), int(r)))
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def link_forest(probes: list[tuple[int, int, np.ndarray]], others: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Spanning forest, as pairs of ids, of the links of probes with each other and with others: rows (id, component, set).
+
+    Rows of one component are taken as connected, and only links that connect more are looked for.
+    """
+    if not probes or len(probes) + len(others) < 2:
+        return []
+    rows = probes + others
+    sizes = np.array([len(s) for _, _, s in rows], np.int64)
+    points = common_points([group_counts(s) for _, _, s in rows])
+    tree = CountTree(points[: len(probes)], sizes[: len(probes)])
+    union, links = Union(), []
+    for q, (doc, component, shingles) in enumerate(rows):
+        for r in tree.search(points[q], int(sizes[q]), percent):
+            other, its, other_set = rows[r]
+            if union.root(component) != union.root(its) and overlap(shingles, other_set) >= needed(len(shingles), len(other_set), percent):
+                union.join(component, its)
+                links.append((doc, other))
     return links
 
 
@@ -257,12 +280,18 @@ def _clusters(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
     same = Window.partitionBy("key")
     keyed = _keys(docs, words, percent, common)
     h = F.xxhash64("doc_id")
-    group = [F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"), F.sum(F.shiftright(h, 32)).over(same).alias("s"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(same).alias("t")]
+    group = [
+        F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"), F.count("*").over(same).alias("many"),
+        F.sum(F.shiftright(h, 32)).over(same).alias("s"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(same).alias("t"),
+    ]
     shared = materialize(keyed.select("*", *group).where("lo < hi"))
     # Keys with the same documents (same ends, same sums of both halves of their hashes) say the same: one of them goes on.
     once = shared.groupBy("lo", "hi", "s", "t").agg(F.min("key").alias("key")).select("key")
+    shared = shared.join(once, "key", "left_semi").select("key", "doc_id", "lo", "many")
     known = members.where("rep is not null").select("doc_id", "rep", "n_shingles", "point")
-    dealt = shared.select("key", "doc_id").join(once, "key", "left_semi").join(known, "doc_id").select("key", "rep", F.col("n_shingles").cast("int").alias("n"), "point")
+    hot = shared.where(F.col("many") > HOT).join(known.select("doc_id", "rep"), "doc_id")
+    ties = hot.select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).union(hot.select("rep", "doc_id")).where("a < b").distinct()
+    dealt = shared.where(F.col("many") <= HOT).join(known, "doc_id").select("key", "rep", F.col("n_shingles").cast("int").alias("n"), "point")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "rep")
 
     def run(batches):
@@ -272,7 +301,10 @@ def _clusters(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
             ids = list(group)
             points = common_points([read_point(p, n) for n, p in group.values()])
             sizes = np.array([n for n, _ in group.values()], np.int64)
-            return [(ids[a], ids[b]) for a, b in allowed_forest(points, sizes, percent)]
+            union = Union()
+            for a, b in allowed_forest(points, sizes, percent):
+                union.join(ids[a], ids[b])
+            return [(low, x) for x in ids if (low := union.root(x)) != x]
 
         key, group = None, {}
         for batch in batches:
@@ -285,45 +317,91 @@ def _clusters(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
             yield _pairs(out)
         yield _pairs(settle(group))
 
-    pairs = dealt.mapInArrow(run, "a long, b long").distinct()
-    return connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    pairs = dealt.mapInArrow(run, "a long, b long").distinct().union(ties)
+    found = connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    return found.join(members.where("rep = doc_id").select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
 
 
-def _links(docs: DataFrame, clusters: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """(a, b): links that span each component of each pair of blocks."""
-    sizes = materialize(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")))
-    placed = clusters.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.col("blocks")).cast("int"))
-    joined = docs.select("doc_id", "text").join(placed, "doc_id").select("doc_id", "cluster", "blocks", "mine", "text")
+def _sets(docs: DataFrame, placed: DataFrame, words: int) -> DataFrame:
+    """Rows of placed (doc_id, cluster, blocks) with their document's set as bytes."""
+    joined = docs.select("doc_id", "text").join(placed, "doc_id").select("doc_id", "cluster", "blocks", "text")
 
     def cut(batches):
         for part in slices(batches):
             sets = shingle_sets(as_bytes(part.column("text")), words)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "cluster", "blocks", "mine")), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cluster", "blocks", "mine", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "cluster", "blocks")), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cluster", "blocks", "shingles"])
 
-    sets = joined.mapInArrow(cut, "doc_id long, cluster long, blocks int, mine int, shingles binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "shingles")
+    return joined.mapInArrow(cut, "doc_id long, cluster long, blocks int, shingles binary")
 
-    def compare(batches):
-        def settle(group):
-            ids = [g[0] for g in group]
-            side = np.array([g[1] for g in group])
-            links = link_forest([np.frombuffer(g[2], np.uint64) for g in group], side, across, percent) if len(group) > 1 else []
-            return [(ids[a], ids[b]) for a, b in links]
 
-        key, group, across = None, [], False
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of each group (cluster, chunk, block) of rows (probe, doc_id, component, shingles), probes with all rows."""
+
+    def run(batches):
+        key, sides = None, ([], [])
         for batch in batches:
             out = []
-            for cluster, i, j, mine, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "mine", "doc_id", "shingles")), strict=True):
-                if (cluster, i, j) != key:
-                    out += settle(group)
-                    key, group, across = (cluster, i, j), [], i != j
-                group.append((doc_id, int(mine != i), raw))
+            for *k, probe, doc_id, component, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "chunk", "block", "probe", "doc_id", "component", "shingles")), strict=True):
+                if k != key:
+                    out += link_forest(*sides, percent)
+                    key, sides = k, ([], [])
+                sides[0 if probe else 1].append((doc_id, component, np.frombuffer(raw, np.uint64)))
             yield _pairs(out)
-        yield _pairs(settle(group))
+        yield _pairs(link_forest(*sides, percent))
 
-    ordered = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    return ordered.mapInArrow(compare, "a long, b long")
+    columns = ["cluster", "chunk", "block", "probe", "doc_id", "component", "shingles"]
+    dealt = rows.select(columns).repartition("cluster", "chunk", "block").sortWithinPartitions("cluster", "chunk", "block", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _links(docs: DataFrame, clusters: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """(a, b): links that span each component of the clusters (doc_id, cluster, n_shingles)."""
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES))).cast("int")
+    sizes = materialize(clusters.groupBy("cluster").agg(blocks.alias("blocks")))
+    sets = materialize(_sets(docs, clusters.join(sizes, "cluster").select("doc_id", "cluster", "blocks"), words))
+    small = sets.where("blocks = 1").select("cluster", F.lit(0).alias("chunk"), F.lit(0).alias("block"), F.lit(True).alias("probe"), "doc_id", F.col("doc_id").alias("component"), "shingles")
+    links = materialize(_compare(small, percent))
+    if sizes.where("blocks > 1").isEmpty():
+        return links
+    return links.union(_large_links(sets.where("blocks > 1"), percent, block))
+
+
+def _large_links(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): links that span the components of clusters of several blocks."""
+    h = F.xxhash64("doc_id", F.lit(6))
+    rest = sets.select("doc_id", "cluster").distinct()
+    totals = materialize(sets.groupBy("cluster").agg(F.count("*").alias("total"), F.first("blocks").alias("blocks")))
+    state = rest.withColumn("component", F.col("doc_id"))
+    before, found = totals.select("cluster", F.lit(None).cast("long").alias("before")), []
+    while True:
+        left = rest.groupBy("cluster").agg(F.count("*").alias("left")).join(totals, "cluster").join(before, "cluster")
+        last = (F.col("left") <= block) | F.coalesce(2 * F.col("left") > F.col("before"), F.lit(False))
+        chunks = F.when(last, F.ceil(F.col("left") * F.col("blocks") / F.col("total"))).otherwise(1).cast("int")
+        share = F.when(last, 1.0).otherwise(F.least(F.lit(PROBES), F.col("total") / F.col("blocks")) / F.col("left"))
+        left = materialize(left.select("cluster", "left", last.alias("last"), chunks.alias("chunks"), share.alias("share")))
+        if left.isEmpty():
+            return _union(found)
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 32)) < F.col("share") * (1 << 32)
+        probes = rest.join(left, "cluster").where(drawn).select("doc_id", F.pmod(h, F.col("chunks")).cast("int").alias("chunk"))
+        at = sets.join(state.select("doc_id", "component"), "doc_id")
+        asked = at.join(probes, "doc_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+        others = at.join(left.select("cluster", "chunks"), "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        others = others.withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
+        links = materialize(_compare(asked.unionByName(others), percent))
+        found.append(links)
+        reached = connected_components(links.union(state.select("doc_id", "component"))).withColumnRenamed("node", "doc_id")
+        state = materialize(state.select("doc_id", "cluster").join(reached, "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component")))
+        before = materialize(left.where("not last").select("cluster", F.col("left").alias("before")))
+        parts = state.join(before, "cluster", "left_semi").groupBy("cluster", "component").agg(F.count("*").alias("n"))
+        main = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+        rest = materialize(state.join(materialize(main), "cluster").where("component <> main").select("doc_id", "cluster"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -333,8 +411,9 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_duplicate_components(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     scanned = materialize(_scan(docs, words))
-    reps = scanned.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = materialize(scanned.join(reps, "digest", "left").select("doc_id", "n_shingles", "rep", "point"))
+    copied = materialize(scanned.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    rep = F.when(F.col("digest").isNotNull(), F.coalesce("first", "doc_id"))
+    members = materialize(scanned.join(copied, "digest", "left").select("doc_id", "n_shingles", rep.alias("rep"), "point"))
     clusters = materialize(_clusters(docs, members, words, percent))
     copies = members.where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = connected_components(_links(docs, clusters, words, percent, block).union(copies))
@@ -349,5 +428,6 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     found = near_duplicate_components(docs, words, percent).where("component_id < doc_id").select("doc_id").distinct()
     left = docs.join(found, "doc_id", "left_anti").select(docs.columns)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("_nth", nth).where("_nth = 1 or doc_id is null").drop("_nth")
+    nth = fresh(docs, "nth")
+    numbered = left.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return numbered.where((F.col(nth) == 1) | F.col("doc_id").isNull()).drop(nth)

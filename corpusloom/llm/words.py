@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: A fixed pseudo-random value for each byte, so that the polynomial hash has no structured collisions.
+#: Words up to this length are hashed by a polynomial modulo 2**64, which long structured words could make collide.
+SHORT = 32
+#: A fixed pseudo-random value for each byte.
 _TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,6 +61,9 @@ def hash_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     sums[0] = 0
     np.cumsum(_TABLE[_LOWER[raw] if lower else raw] * up, out=sums[1:])
     h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > SHORT):
+        word = raw[starts[i] : ends[i]]
+        h[i] = xxhash.xxh3_64_intdigest((_LOWER[word] if lower else word).tobytes())
     first = np.cumsum([0, *(len(t) + 1 for t in texts)][:-1]) if texts else np.empty(0, np.int64)
     return h, np.searchsorted(first, starts, side="right") - 1
 

@@ -8,6 +8,7 @@ import string
 import pytest
 
 from corpusloom.llm import bpe, html, jaccard, media, mixing, quality, substring, warc
+from corpusloom.llm.words import hash_words
 
 DOCS = "doc_id long, text string, k string, spans int"  # extra columns with names that the operators use themselves
 
@@ -111,10 +112,49 @@ def test_group_bound_never_cuts_a_link():
         points = jaccard.common_points([jaccard.group_counts(a), jaccard.group_counts(b)])
         assert np.minimum(*points).sum() >= both
         linked = 100 * both >= 90 * (len(a) + len(b) - both)
-        found = bool(jaccard.link_forest([a, b], np.array([0, 1]), True, 90))
+        found = bool(jaccard.link_forest([(1, 1, a)], [(2, 2, b)], 90))
         assert found == linked
 
 
+def test_large_group_of_near_copies_is_linked_by_few_rows(spark):
+    """Copies of two templates with their own edits, in blocks of 16: components as by brute force, edges in proportion to documents."""
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("aeinrst") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for base in (rng.choices(vocab, k=90), rng.choices(vocab, k=70)):
+        for _ in range(150):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "EDIT" + str(rng.randrange(10**6))
+            rows.append((len(rows), " ".join(w)))
+    sets = {i: frozenset(zip(*[t.lower().split()[q:] for q in range(3)])) for i, t in rows}
+    union = jaccard.Union()
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                union.join(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard.near_duplicate_components(docs, 3, 90, block=16).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: union.root(i) for i in sets}
+    assert len(set(union.root(i) for i in sets)) > 2
+    hot, jaccard.HOT = jaccard.HOT, 8
+    try:
+        again = jaccard.near_duplicate_components(docs, 3, 90, block=16).collect()
+    finally:
+        jaccard.HOT = hot
+    assert sorted(again) == sorted(out)
+    clusters = spark.createDataFrame([(i, 0, len(s)) for i, s in sets.items()], "doc_id long, cluster long, n_shingles long")
+    assert jaccard._links(docs, clusters, 3, 90, 16).count() <= 3 * len(sets)
+
+
+def test_long_structured_words_do_not_collide():
+    """Two words of the Thue-Morse sequence and its complement, which any polynomial modulo 2**64 confuses."""
+    a = bytes(97 + bin(i).count("1") % 2 for i in range(4096))
+    b = bytes(97 + (bin(i).count("1") + 1) % 2 for i in range(4096))
+    h, doc = hash_words([a, b, a.upper()], lower=True)
+    assert h[0] != h[1] and h[0] == h[2] and doc.tolist() == [0, 1, 2]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice(["a", "b", "b", "b", None]), 1) for i in range(300)]
