@@ -92,10 +92,10 @@ def common_points(points: list[np.ndarray]) -> np.ndarray:
     return np.stack([p.reshape(-1, groups).sum(0, dtype=np.int32) for p in points])
 
 
-def size_classes(n: int, percent: int = 90) -> list[tuple[int, int, int]]:
-    """(class, groups, spare groups) under which a set of n shingles is keyed: every class that a partner of at least its size may be in.
+def size_classes(n: int, percent: int = 90) -> list[tuple[int, int]]:
+    """(class, groups) under which a set of n shingles is keyed: every class that a partner of at least its size may be in.
 
-    Class c holds the sizes from 1.5**c on, below 1.5**(c + 1); sets of one class differ in at most a ninth of its largest size.
+    Class c holds the sizes from 1.5**c on, below 1.5**(c + 1).
     """
     most = n * 100 // percent
     c = 0
@@ -103,19 +103,20 @@ def size_classes(n: int, percent: int = 90) -> list[tuple[int, int, int]]:
         c += 1
     out = []
     while _start(c) <= most:
-        differ = (_start(c + 1) - 1) * (100 - percent) // percent
-        out.append((c, differ + 1 + spare_groups(differ), spare_groups(differ)))
+        out.append((c, differences(c, percent) + 1 + spare_groups(c, percent)))
         c += 1
     return out
 
 
-def spare_groups(differ: int) -> int:
-    """Groups beyond the pigeonhole's, so that empty groups (equal for many documents) needn't be keyed.
+def differences(c: int, percent: int) -> int:
+    """Shingles in which a set of class c may differ from a smaller one at most."""
+    return (_start(c + 1) - 1) * (100 - percent) // percent
 
-    With s spare groups, at least s + 1 groups of a pair are equal. A set with at most s empty groups keys none of them:
-    of the equal groups, at most s are empty, so one that both sets key is left. Sets with more key them all.
-    """
-    return 1 + differ // 16
+
+def spare_groups(c: int, percent: int) -> int:
+    """Groups beyond the pigeonhole's. With s of them, at least s + 1 groups of a linked pair are equal, so that each document may leave
+    out the s of its keys that most documents have: the rarest key of those that the pair shares is never among them."""
+    return 1 + differences(c, percent) // 4
 
 
 def _start(c: int) -> int:
@@ -136,32 +137,46 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _keys(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(key, doc_id): a row per group; sets too small to differ are left to their digests, copies in a slice to the first."""
+    """(key, c, doc_id): a row per group and class; sets too small to differ are left to their digests, copies in a slice to the first."""
 
     def run(batches):
         for part in slices(batches):
             seen: set[bytes] = set()
-            keys, ids = [], []
+            keys, classes, ids = [], [], []
             for doc_id, s in zip(part.column("doc_id").to_pylist(), shingle_sets(as_bytes(part.column("text")), words), strict=True):
                 if doc_id is None or not len(s) or (raw := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                     continue
                 seen.add(raw)
                 rare = s[~member(common, s)]
                 spread = mix(rare)
-                for c, groups, spare in size_classes(len(s), percent):
-                    if groups < 2 + spare:
+                for c, groups in size_classes(len(s), percent):
+                    if not differences(c, percent):
                         continue
                     content = np.zeros(groups, np.uint64)
                     np.add.at(content, (rare % np.uint64(groups)).astype(np.int64), spread)
-                    key = mix(content + np.uint64(c * 1_000_003) + mix(np.arange(groups, dtype=np.uint64)))
-                    full = content != 0
-                    key = (key[full] if groups - full.sum() <= spare else key) >> np.uint64(16)  # a collision only adds a candidate
-                    keys.append(key)
-                    ids.append(np.full(len(key), doc_id, np.int64))
+                    keys.append(mix(content + np.uint64(c * 1_000_003) + mix(np.arange(groups, dtype=np.uint64))) >> np.uint64(16))  # a collision only adds a candidate
+                    classes.append(np.full(groups, c, np.int8))
+                    ids.append(np.full(groups, doc_id, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(ids))], ["key", "c", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, c tinyint, doc_id long")
+
+
+def _shared(keyed: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id): keys that bring documents together, less the spare ones of each document and class that most documents have.
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+    Keys that the same documents have (same ends, same sums of both halves of their hashes) say the same and become one.
+    """
+    same = Window.partitionBy("key")
+    h = F.xxhash64("doc_id")
+    lo, hi = F.min("doc_id").over(same), F.max("doc_id").over(same)
+    who = F.xxhash64(lo, hi, F.sum(F.shiftright(h, 32)).over(same), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(same))
+    met = keyed.select("doc_id", "c", who.alias("key"), F.count("*").over(same).alias("many"), (lo < hi).alias("met")).where("met")
+    mine = met.repartition("doc_id").groupBy("doc_id", "c", "key").agg(F.count("*").alias("n"), F.first("many").alias("many"))
+    so_far = Window.partitionBy("doc_id", "c").orderBy(F.desc("many"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spare = F.element_at(F.array(*[F.lit(spare_groups(c, percent)) for c in range(64)]), F.col("c") + 1)
+    return mine.select("key", "doc_id", F.sum("n").over(so_far).alias("nth"), spare.alias("spare")).where("nth > spare").select("key", "doc_id")
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -277,21 +292,14 @@ def allowed_forest(points: np.ndarray, sizes: np.ndarray, percent: int) -> list[
 def _clusters(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, cluster) of the representatives that the bound may let link with another."""
     common = common_runs(docs.select("doc_id", "text"), words, lower=True)
-    same = Window.partitionBy("key")
-    keyed = _keys(docs, words, percent, common)
-    h = F.xxhash64("doc_id")
-    group = [
-        F.min("doc_id").over(same).alias("lo"), F.max("doc_id").over(same).alias("hi"), F.count("*").over(same).alias("many"),
-        F.sum(F.shiftright(h, 32)).over(same).alias("s"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(same).alias("t"),
-    ]
-    shared = materialize(keyed.select("*", *group).where("lo < hi"))
-    # Keys with the same documents (same ends, same sums of both halves of their hashes) say the same: one of them goes on.
-    once = shared.groupBy("lo", "hi", "s", "t").agg(F.min("key").alias("key")).select("key")
-    shared = shared.join(once, "key", "left_semi").select("key", "doc_id", "lo", "many")
+    shared = materialize(_shared(_keys(docs, words, percent, common), percent))
     known = members.where("rep is not null").select("doc_id", "rep", "n_shingles", "point")
-    hot = shared.where(F.col("many") > HOT).join(known.select("doc_id", "rep"), "doc_id")
-    ties = hot.select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).union(hot.select("rep", "doc_id")).where("a < b").distinct()
-    dealt = shared.where(F.col("many") <= HOT).join(known, "doc_id").select("key", "rep", F.col("n_shingles").cast("int").alias("n"), "point")
+    reps = materialize(shared.join(known.select("doc_id", "rep"), "doc_id").select("key", "rep").distinct())
+    sizes = reps.groupBy("key").agg(F.min("rep").alias("lo"), F.count("*").alias("many")).where("many > 1")
+    sized = materialize(reps.join(sizes, "key"))
+    ties = sized.where((F.col("many") > HOT) & (F.col("lo") < F.col("rep"))).select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+    point = known.where("doc_id = rep").select("rep", F.col("n_shingles").cast("int").alias("n"), "point").dropDuplicates(["rep"])
+    dealt = sized.where(F.col("many") <= HOT).select("key", "rep").join(point, "rep").select("key", "rep", "n", "point")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "rep")
 
     def run(batches):
@@ -317,7 +325,7 @@ def _clusters(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
             yield _pairs(out)
         yield _pairs(settle(group))
 
-    pairs = dealt.mapInArrow(run, "a long, b long").distinct().union(ties)
+    pairs = dealt.mapInArrow(run, "a long, b long").union(ties)
     found = connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     return found.join(members.where("rep = doc_id").select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
 
