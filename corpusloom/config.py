@@ -118,6 +118,7 @@ class Weights:
     route_topic: float = 0.15
     route_hint: float = 0.12
     top_docs: int = 5
+    wide_docs: int = 8
     max_facts: int = 5
     per_doc: int = 2
     sentence_words: int = 30

@@ -54,7 +54,7 @@ def topic_tokens(question: Column) -> Column:
 def requirement_gate(filtered: DataFrame, source: DataFrame, gate: Column, boilerplate=C.BOILERPLATE, stems=C.REQUIREMENT_STEMS, coherence: Column | None = None) -> DataFrame:
     """Facts kept by the requirement rules, with `how`.
 
-    filtered has `pos`; source holds all facts of the questions. Kept: requirement-bearing facts that aren't boilerplate (and are
+    source holds all facts of the questions. Kept: requirement-bearing facts that aren't boilerplate (and are
     coherent, behind the gate). Behind the gate, facts of one document alone get the best such fact of another. Where
     nothing is kept, the best coherent fact (gate) or the best topical fact that isn't boilerplate stands in.
     """
@@ -62,6 +62,7 @@ def requirement_gate(filtered: DataFrame, source: DataFrame, gate: Column, boile
     plain, required = ~T.is_boilerplate(quote, boilerplate, stems), T.has_requirement(quote, stems)
     fits = coherent(F.col("question"), quote) if coherence is None else coherence
     good = plain & required & (~gate | fits)
+    filtered = filtered.select(source.columns)
     kept = filtered.where(good).withColumn("how", F.lit("kept"))
     docs = kept.groupBy("qid").agg(F.countDistinct("pdf").alias("_docs"), F.first("pdf").alias("_pdf"))
     lone = docs.where("_docs = 1").select("qid", "_pdf")

@@ -6,13 +6,15 @@ five-character windows of each blank-padded word). idf = ln((1 + n) / (1 + df))
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import let
 
+#: Rows of a term table (a string and two numbers) that are broadcast; larger ones are joined by sorting.
+BROADCAST_ROWS = 1_000_000
 WORDS = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -47,9 +49,32 @@ def char_terms(text: Column, shortest: int = 3, longest: int = 5) -> Column:
     return F.flatten(F.transform(words, windows))
 
 
+def dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows by key in as many tasks as shuffles have: their texts are small, but what is made of them is not, so none are merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def counts(rows: DataFrame, key: list[str], terms: Column) -> DataFrame:
-    """(key, term, tf)."""
-    return rows.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). Rows are dealt by key first, so that their many terms are counted where they are."""
+    return dealt(rows, key).select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+
+
+def space_counts(rows: DataFrame, key: list[str], spaces: Mapping[str, Callable[[Column], Column]], text: str) -> DataFrame:
+    """(key, space, term, tf) of several spaces at once, each a function of a text column."""
+    each = F.array(*[F.struct(F.lit(name).alias("space"), terms(F.col(text)).alias("terms")) for name, terms in spaces.items()])
+    x = dealt(rows, key).select(*key, F.inline(each)).select(*key, "space", F.explode("terms").alias("term"))
+    return x.groupBy(*key, "space", "term").agg(F.count("*").alias("tf"))
+
+
+def space_vocabulary(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(space, term, df, idf); n_docs has one row, one column n."""
+    df = tf.groupBy("space", "term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(n_docs)).select("space", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def sized(side: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side of `rows` rows: broadcast up to `most`, merged beyond."""
+    return F.broadcast(side) if rows <= most else side.hint("merge")
 
 
 def vocabulary(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -65,12 +90,6 @@ def weights(tf: DataFrame, vocab: DataFrame, key: list[str]) -> DataFrame:
     return raw.select(*key, "term", (F.col("w") / norm).alias("weight"))
 
 
-def norms(tf: DataFrame, vocab: DataFrame, key: list[str]) -> DataFrame:
-    """(key, norm): length of each key's unscaled weights."""
-    raw = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    return raw.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-
 def similarities(queries: DataFrame, documents: DataFrame, q_key: list[str], d_key: list[str]) -> DataFrame:
     """(q_key, d_key, sim): dot products of unit weights over shared terms; pairs without one are absent (0)."""
     q = queries.select(*q_key, "term", F.col("weight").alias("qw"))
@@ -84,10 +103,10 @@ def search_space(chunks: DataFrame, questions: DataFrame, terms, d_key: list[str
     Document weights are computed over all terms and cut to the questions' terms before the join: only shared terms count.
     """
     tf = counts(chunks, d_key, terms(F.col(text)))
-    n = chunks.agg(F.count("*").alias("n"))
-    vocab = vocabulary(tf, n)
+    vocab = vocabulary(tf, chunks.agg(F.count("*").alias("n")))
     q = weights(counts(questions, q_key, terms(F.col(q_text))), vocab, q_key)
-    asked = q.select("term").distinct()
-    near = tf.join(asked, "term", "left_semi").join(vocab.select("term", "idf"), "term")
-    docs = near.join(norms(tf, vocab, d_key), d_key).select(*d_key, "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
+    known = vocab.join(q.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
+    raw = F.col("tf") * F.col("idf")
+    docs = tf.join(known, "term").groupBy(*d_key).agg(F.sqrt(F.sum(raw * raw)).alias("norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", raw.alias("w")))).alias("ts"))
+    docs = docs.select(*d_key, "norm", F.inline("ts")).select(*d_key, "term", (F.col("w") / F.col("norm")).alias("weight"))
     return similarities(q, docs, q_key, d_key)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom import config as C
 from corpusloom.functions import query as Q
 from corpusloom.functions import text as T
+from corpusloom.operators import index as I
 
 KEY = ["file", "pdf_index", "chunk_id"]
 
@@ -58,11 +59,11 @@ def switched_on(q: Column, profiles: Sequence[Mapping], sop_signals: Sequence[st
     return bits
 
 
-def switched_prior(bits: Column, authority: Column, file: Column, text: Column, profiles: Sequence[Mapping], toc: str = "table of contents") -> Column:
-    """The prior of a chunk for questions with these bits of switched_on."""
+def prior_parts(authority: Column, file: Column, text: Column, profiles: Sequence[Mapping], toc: str = "table of contents") -> Column:
+    """The chunk's side of the priors: what each bit of switched_on adds, and at the end what every question gets."""
     f, t = F.lower(file), F.lower(text)
-    score = F.lit(0.0)
-    for i, p in enumerate(profiles):
+    parts = []
+    for p in profiles:
         part = F.lit(0.0)
         for a, boost in p.get("authority", {}).items():
             part = part + F.when(authority == a, boost).otherwise(0.0)
@@ -70,11 +71,21 @@ def switched_prior(bits: Column, authority: Column, file: Column, text: Column,
             part = part + F.when(f.contains(pattern), boost).otherwise(0.0)
         for pattern, boost in p.get("text", ()):
             part = part + F.when(t.contains(pattern), boost).otherwise(0.0)
-        score = score + F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, part).otherwise(0.0)
-    score = score + F.when((bits.bitwiseAND(F.lit(1 << len(profiles))) != 0) & (authority == "SOP"), 0.22).otherwise(0.0)
-    score = score - F.when(f.contains("aide-memoire") | t.contains("aide-memoire"), 0.06).otherwise(0.0)
-    score = score - F.when(f.contains("manual-"), 0.04).otherwise(0.0) - F.when(t.contains(toc), 0.06).otherwise(0.0)
-    return score - F.when(t.rlike(T.DIAGRAM), 0.10).otherwise(0.0) - F.when(F.length(t) < 80, 0.03).otherwise(0.0)
+        parts.append(part)
+    parts.append(F.when(authority == "SOP", 0.22).otherwise(0.0))
+    always = -F.when(f.contains("aide-memoire") | t.contains("aide-memoire"), 0.06).otherwise(0.0)
+    always = always - F.when(f.contains("manual-"), 0.04).otherwise(0.0) - F.when(t.contains(toc), 0.06).otherwise(0.0)
+    always = always - F.when(t.rlike(T.DIAGRAM), 0.10).otherwise(0.0) - F.when(F.length(t) < 80, 0.03).otherwise(0.0)
+    return F.array(*parts, always)
+
+
+def switched_prior(bits: Column, authority: Column, file: Column, text: Column, profiles: Sequence[Mapping], toc: str = "table of contents") -> Column:
+    """The prior of a chunk for questions with these bits of switched_on."""
+    parts = prior_parts(authority, file, text, profiles, toc)
+    score = parts[len(profiles) + 1]
+    for i in range(len(profiles) + 1):
+        score = score + F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, parts[i]).otherwise(0.0)
+    return score
 
 
 def in_scope(scope: Column, authority: Column, scopes: Mapping[str, Sequence[str]] = C.SCOPES) -> Column:
@@ -98,26 +109,100 @@ def score_pairs(pairs: DataFrame, word: DataFrame, char: DataFrame, overlap: Dat
     return x.withColumn("boost", requirement_boost(F.col("hits"), w)).withColumn("final", F.col("base") + F.col("boost"))
 
 
-def score_reaching(questions: DataFrame, chunks: DataFrame, word: DataFrame, char: DataFrame, overlap: DataFrame, least: float, prior_of_bits: Column, hits: Column, broad: Column, by: Sequence[str] = ("qid",), w: C.Weights = C.DEFAULT) -> DataFrame:
-    """score_pairs of every question (by, bits ...) with every chunk (KEY, authority, text) whose base reaches `least`.
+def score_reaching(
+    questions: DataFrame, chunks: DataFrame, spaces: Mapping, vocab: DataFrame, least: float, parts: Column, hits: Column, broad: Column, by: Sequence[str] = ("qid",), w: C.Weights = C.DEFAULT,
+    block: int = 1024,
+) -> DataFrame:
+    """Rows (questions' columns, KEY, authority, sim_word, sim_char, overlap, base, hits, boost, final) of every question with every chunk whose base
+    score reaches `least`.
 
-    Pairs in none of the similarities have their prior alone, which the bits and the chunk decide: those that reach `least` by
-    it join the others. A pair goes on when its similarities and the largest prior of its bits reach `least`.
+    questions (by, q_aug, bits ...) are a stated set: blocks of them are collected with their term weights and sent to all chunks. spaces has the
+    term functions of `word` and `char`, vocab their (space, term, idf). A chunk's terms are weighted in one pass without a shuffle of
+    terms, cut to those asked for, and its scores with a block of questions are one sparse product, so no pair below `least` leaves its task.
     """
-    kinds = questions.select("bits").distinct()
-    priors = chunks.crossJoin(F.broadcast(kinds)).select("bits", *KEY, prior_of_bits.alias("prior"))
-    asked = F.broadcast(questions.select(*by, "bits").join(priors.groupBy("bits").agg(F.max("prior").alias("_most")), "bits"))
-    parts = {"sim_word": word.withColumnRenamed("sim", "sim_word"), "sim_char": char.withColumnRenamed("sim", "sim_char"), "overlap": overlap}
-    alone = priors.where(F.col("prior") >= least).join(F.broadcast(questions.select(*by, "bits")), "bits").select(*by, *KEY, *[F.lit(0.0).alias(c) for c in parts])
-    for name, part in parts.items():
-        alone = alone.unionByName(part.select(*by, *KEY, *[F.col(c) if c == name else F.lit(0.0).alias(c) for c in parts]))
-    x = alone.groupBy(*by, *KEY).agg(*[F.sum(c).alias(c) for c in parts])
-    blend = w.word * F.col("sim_word") + w.char * F.col("sim_char") + w.overlap * F.col("overlap")
-    x = x.join(asked, [*by]).where(blend + F.col("_most") >= least - 1e-9).drop("_most")
-    x = x.join(priors, ["bits", *KEY]).withColumn("base", blend + F.col("prior")).where(F.col("base") >= least).drop("bits", "prior")
-    x = x.join(F.broadcast(questions.drop("bits")), [*by]).join(chunks.select(*KEY, "authority", "text"), KEY)
-    x = x.withColumn("hits", F.when(broad, hits).otherwise(F.lit(0)))
-    return x.withColumn("boost", requirement_boost(F.col("hits"), w)).withColumn("final", F.col("base") + F.col("boost"))
+    asks = questions.withColumn("_tokens", search_tokens(F.col("q_aug"))).withColumn("_broad", broad).orderBy(*by)
+    asked = [r.asDict() for r in asks.toLocalIterator()]
+    weighted = I.space_counts(questions, [*by], spaces, "q_aug").join(vocab, ["space", "term"]).select(*by, "space", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "space")))
+    terms = weighted.select(*by, "space", "term", (F.col("w") / norm).alias("w")).toLocalIterator()
+    at = {tuple(a[c] for c in by): i for i, a in enumerate(asked)}
+    ids: dict[tuple[str, str], int] = {}
+    rows = [(ids.setdefault((r["space"], r["term"]), len(ids)), at[tuple(r[c] for c in by)], r["w"]) for r in terms]
+    rows += [(ids.setdefault(("token", t), len(ids)), i, 1.0 / len(a["_tokens"])) for i, a in enumerate(asked) for t in a["_tokens"]]
+
+    session = chunks.sparkSession
+    named = session.createDataFrame([(s, t, i) for (s, t), i in ids.items() if s != "token"], "space string, term string, tid int")
+    known = vocab.join(I.sized(named, len(ids)), ["space", "term"], "left").select("space", "term", "idf", "tid")
+    tf = I.space_counts(chunks.select(*KEY, "text"), KEY, spaces, "text").join(I.sized(known, vocab.count()), ["space", "term"])
+    raw = F.col("tf") * F.col("idf")
+    length = lambda space: F.sqrt(F.sum(F.when(F.col("space") == space, raw * raw)))
+    found = tf.groupBy(*KEY).agg(length("word").alias("word"), length("char").alias("char"), F.collect_list(F.when(F.col("tid").isNotNull(), F.struct("tid", raw.alias("w")))).alias("terms"))
+    tokens = F.array_intersect(search_tokens(F.col("text")), F.array(*[F.lit(t) for s, t in ids if s == "token"]).cast("array<string>"))
+    side = chunks.select(*KEY, "authority", parts.alias("parts"), hits.cast("int").alias("hits"), tokens.alias("tokens"))
+    x = side.join(found, KEY, "left")
+    kinds = np.array([("word", "char", "token").index(s) for s, _ in ids], np.int64)
+    tid, ask, weight = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    of_token = {t: i for (s, t), i in ids.items() if s == "token"}
+    out = None
+    for start in range(0, len(asked), block):
+        some = asked[start : start + block]
+        mine = (ask >= start) & (ask < start + block)
+        order = np.flatnonzero(mine)[np.argsort(tid[mine], kind="stable")]
+        ends = np.searchsorted(tid[order], np.arange(len(ids) + 1))
+        bits = np.array([[a["bits"] >> i & 1 for a in some] for i in range(32)], float)
+        scorer = _scorer(kinds, ends, ask[order] - start, weight[order], bits, np.array([bool(a["_broad"]) for a in some]), of_token, least, w)
+        key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*KEY, "authority").schema)
+        scored = x.mapInArrow(scorer, f"_ask int, {key}, sim_word double, sim_char double, overlap double, base double, hits int, boost double, final double")
+        names = session.createDataFrame([(i, *(a[c] for c in questions.columns)) for i, a in enumerate(some)], "_ask int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in questions.schema))
+        part = scored.join(F.broadcast(names), "_ask").drop("_ask", "bits")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scorer(kinds, ends, ask, weight, bits, broad, of_token, least, w: C.Weights):
+    """Arrow function: scores of chunks with one block of questions, whose postings are ask and weight between a term's ends."""
+    import pyarrow as pa
+
+    asks = len(broad)
+
+    def products(rows: int, row: np.ndarray, term: np.ndarray, value: np.ndarray, kind: int) -> np.ndarray:
+        many = ends[term + 1] - ends[term]
+        of = np.repeat(np.arange(len(term)), many)
+        at = ends[term][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        use = kinds[term[of]] == kind
+        of, at = of[use], at[use]
+        return np.bincount(row[of] * asks + ask[at], weights=value[of] * weight[at], minlength=rows * asks).astype(float).reshape(rows, asks)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                n = part.num_rows
+                row, term, value = [], [], []
+                for i, found in enumerate(part.column("terms").to_pylist()):
+                    for t in found or ():
+                        row.append(i)
+                        term.append(t["tid"])
+                        value.append(t["w"])
+                row, term, value = np.array(row, np.int64), np.array(term, np.int64), np.array(value, float)
+                sims = []
+                for kind, name in enumerate(("word", "char")):
+                    length = np.array([x or 1.0 for x in part.column(name).to_pylist()])
+                    sims.append(products(n, row, term, value, kind) / length[:, None])
+                pairs = [(i, of_token[t]) for i, found in enumerate(part.column("tokens").to_pylist()) for t in found]
+                row, term = (np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+                overlap = products(n, row, term, np.ones(len(term)), 2)
+                parts = np.array(part.column("parts").to_pylist(), float)
+                prior = parts[:, :-1] @ bits[: parts.shape[1] - 1] + parts[:, -1:]
+                base = w.word * sims[0] + w.char * sims[1] + w.overlap * overlap + prior
+                i, j = np.nonzero(base >= least)
+                hits = np.where(broad[j], part.column("hits").to_numpy(zero_copy_only=False)[i], 0).astype(np.int32)
+                boost = np.where(hits > 0, np.minimum(w.max_boost, hits * w.boost_per_hit), 0.0)
+                key = [part.column(c).take(pa.array(i)) for c in (*KEY, "authority")]
+                numbers = [sims[0][i, j], sims[1][i, j], overlap[i, j], base[i, j], hits, boost, base[i, j] + boost]
+                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), *key, *map(pa.array, numbers)], ["_ask", *KEY, "authority", "sim_word", "sim_char", "overlap", "base", "hits", "boost", "final"])
+
+    return run
 
 
 def ranking(by: Sequence[str]):
@@ -166,38 +251,38 @@ def mmr(ranked: DataFrame, postings: DataFrame, by: Sequence[str], items: int, l
     return rows.groupBy(*by).applyInPandas(choose, schema)
 
 
-def empty_stats(scored: DataFrame, by: Sequence[str], admitted: Column, allowed: Column, least: float) -> DataFrame:
-    """Counts per question of what scope, documents and similarity removed; questions with no eligible chunk are kept."""
-    a, d = admitted, admitted & allowed
-    return scored.groupBy(*by).agg(
-        F.count("*").alias("total"), F.count_if(~a).alias("scope_removed"), F.count_if(a & ~allowed).alias("docs_removed"),
-        F.count_if(d & (F.col("base") < least)).alias("similarity_removed"), F.count_if(d & (F.col("base") >= least)).alias("eligible"),
-    )
-
+def empty_totals(questions: DataFrame, per: DataFrame, routed: DataFrame, restricted: DataFrame, eligible: DataFrame, admitted: Column) -> DataFrame:
+    """Counts per question of what scope, documents and similarity removed of all chunks.
 
-def empty_totals(questions: DataFrame, per: DataFrame, eligible: DataFrame, admitted: Column) -> DataFrame:
-    """empty_stats over all chunks from counts: per (authority, n, n_allowed) and eligible (qid, eligible)."""
-    n, a = F.col("n"), F.col("n_allowed")
-    x = per.crossJoin(F.broadcast(questions)).groupBy("qid").agg(
-        F.sum("n").alias("total"), F.sum(F.when(~admitted, n).otherwise(0)).alias("scope_removed"),
-        F.sum(F.when(admitted, n - a).otherwise(0)).alias("docs_removed"), F.sum(F.when(admitted, a).otherwise(0)).alias("_left"),
-    )
-    x = x.join(eligible, "qid", "left").withColumn("eligible", F.coalesce("eligible", F.lit(0).cast("long")))
-    return x.select("qid", "total", "scope_removed", "docs_removed", (F.col("_left") - F.col("eligible")).alias("similarity_removed"), "eligible")
+    per (authority, n) counts chunks, routed (qid, n_allowed) the admitted ones of allowed documents, restricted (qid) names the questions
+    that have such documents (others allow all), eligible (qid, eligible) what reached the threshold.
+    """
+    n = F.col("n")
+    x = per.crossJoin(F.broadcast(questions)).groupBy("qid").agg(F.sum("n").alias("total"), F.sum(F.when(~admitted, n).otherwise(0)).alias("scope_removed"))
+    x = x.join(routed, "qid", "left").join(restricted.withColumn("_r", F.lit(True)), "qid", "left").join(eligible, "qid", "left")
+    left = F.col("total") - F.col("scope_removed")
+    kept = F.when(F.col("_r"), F.coalesce("n_allowed", F.lit(0))).otherwise(left)
+    found = F.coalesce("eligible", F.lit(0).cast("long"))
+    return x.select("qid", "total", "scope_removed", (left - kept).alias("docs_removed"), (kept - found).alias("similarity_removed"), found.alias("eligible"))
 
 
 def merge_variants(found: DataFrame, cap: int = 80) -> DataFrame:
     """Best row per question and chunk over all variants, the first variant on ties; at most `cap` rows per question."""
-    best = Window.partitionBy("qid", *KEY).orderBy(F.desc("final"), "variant_no")
+    best = Window.partitionBy("qid", *KEY).orderBy(F.desc(F.round("final", 12)), "variant_no")
     x = found.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
     return x.withColumn("pool_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("final", 12)), *KEY))).where(F.col("pool_rank") <= cap)
 
 
+def thin(pool: DataFrame, domains: DataFrame, keys: Sequence[str], least: int = 3) -> DataFrame:
+    """(qid) of the questions of such a domain with fewer than `least` rows."""
+    sizes = pool.groupBy("qid").agg(F.count("*").alias("_n"))
+    return domains.join(sizes, "qid", "left").where((F.coalesce("_n", F.lit(0)) < least) & F.col("domain").isin(*keys)).select("qid")
+
+
 def relaxed_retry(restricted: DataFrame, unrestricted: DataFrame, domains: DataFrame, keys: Sequence[str] = ("computerized_systems", "data_integrity"), least: int = 3, cap: int = 80) -> DataFrame:
     """Pools of restricted search; where a question of such a domain has fewer than `least` rows, unrestricted ones join in."""
-    sizes = restricted.groupBy("qid").agg(F.count("*").alias("_n"))
-    thin = domains.join(sizes, "qid", "left").where((F.coalesce("_n", F.lit(0)) < least) & F.col("domain").isin(*keys)).select("qid")
-    extra = unrestricted.join(thin, "qid", "left_semi").withColumn("variant_no", F.col("variant_no") + 1000)
+    thin_ones = thin(restricted, domains, keys, least)
+    extra = unrestricted.join(thin_ones, "qid", "left_semi").withColumn("variant_no", F.col("variant_no") + 1000)
     return merge_variants(restricted.drop("pool_rank").unionByName(extra.drop("pool_rank"), allowMissingColumns=True), cap)
 
 
@@ -229,6 +314,15 @@ def fallback_match(question: Column, file: Column) -> Column:
     return F.exists(F.concat(words, Q.doc_hints(question)), lambda k: name.contains(k))
 
 
+def slots(pool: DataFrame, w: C.Weights = C.DEFAULT) -> DataFrame:
+    """(qid, authority, slots, eligible): rows that an authority may seat, and whether its leader reaches the floor."""
+    order = [F.desc(F.round("final", 12)), *KEY]
+    mine, every = Window.partitionBy("qid", "authority").orderBy(*order), Window.partitionBy("qid").orderBy(*order)
+    bar = F.round(F.greatest(F.lit(w.min_similarity), F.first("base").over(every) - w.floor_delta), 12)
+    x = pool.withColumn("_slot", F.row_number().over(mine)).withColumn("_lead", F.round(F.first("base").over(mine), 12)).withColumn("_bar", bar)
+    return x.groupBy("qid", "authority").agg(F.count_if(F.col("_slot") <= w.per_authority).alias("slots"), F.first(F.col("_lead") >= F.col("_bar")).alias("eligible"))
+
+
 def balance(pool: DataFrame, target: int = 8, w: C.Weights = C.DEFAULT) -> DataFrame:
     """Rows of pool (qid, KEY, authority, base, final, hits) kept: up to per_authority rows of each authority whose leader
     reaches the floor, slot by slot; then refilled to `target`, with near-equal base scores ordered by requirement hits.
@@ -241,7 +335,7 @@ def balance(pool: DataFrame, target: int = 8, w: C.Weights = C.DEFAULT) -> DataF
     schema = pool.schema
 
     def compare(a, b):
-        if abs(a.base - b.base) <= gap and a.hits != b.hits:
+        if round(abs(a.base - b.base), 12) <= gap and a.hits != b.hits:
             return -1 if a.hits > b.hits else 1
         for x, y in ((b.final, a.final), (b.base, a.base), ((a.file, a.pdf_index, a.chunk_id), (b.file, b.pdf_index, b.chunk_id))):
             if x != y:
@@ -249,12 +343,13 @@ def balance(pool: DataFrame, target: int = 8, w: C.Weights = C.DEFAULT) -> DataF
         return 0
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(base=group["base"].round(12), final=group["final"].round(12))
         g = group.assign(_s=-group["final"]).sort_values(["_s", *KEY]).drop(columns="_s").reset_index(drop=True)
         rows = list(g.itertuples())
         by: dict[str, list] = {}
         for r in rows:
             by.setdefault(r.authority, []).append(r)
-        bar = max(least, rows[0].base - floor)
+        bar = round(max(least, rows[0].base - floor), 12)
         order = sorted((a for a in by if by[a][0].base >= bar), key=lambda a: (-by[a][0].base, a))
         if len(order) < 2:
             return g.head(target)

@@ -36,18 +36,40 @@ def name_overlap(questions: DataFrame, names: DataFrame, q_key: str, q_text: str
     return shared.join(n, q_key).select(q_key, d_key, "shared", (F.col("shared") / F.col("n")).alias("overlap"))
 
 
-def route(similarity: DataFrame, overlap: DataFrame, topic_hits: DataFrame, w: C.Weights = C.DEFAULT) -> DataFrame:
+def topic_hits(questions: DataFrame, paths: DataFrame, topics: Mapping[str, tuple] = C.TOPICS) -> DataFrame:
+    """(qid, doc, hits): how many path rules of a question's topics match a document; questions (qid, q), paths (doc, path).
+
+    Rules are a short fixed list, so each document meets them once, and questions meet documents by rule."""
+    rules = [(t, p) for t, (_, own) in topics.items() for p in own]
+    known = F.broadcast(questions.sparkSession.createDataFrame(rules or [("", "")], "topic string, rule string"))
+    named = paths.join(known, path_matches(F.col("path"), F.col("rule"))).select("doc", "topic", "rule")
+    return match_topics(questions, topics).select("qid", "topic").join(named, "topic").groupBy("qid", "doc").agg(F.count("*").cast("double").alias("hits"))
+
+
+def route(similarity: DataFrame, overlap: DataFrame, topic_hits: DataFrame, wide: DataFrame | None = None, hints: DataFrame | None = None, w: C.Weights = C.DEFAULT) -> DataFrame:
     """(qid, doc, score, rank): the best documents per question.
 
-    Candidates are the top documents by similarity (qid, doc, sim) together with those that topic rules name (qid, doc, hits);
-    the blended score adds name overlap (qid, doc, overlap). Ranks end at the first score that isn't positive, after one.
+    Candidates are the top documents by similarity (qid, doc, sim: the best over the question's forms) together with those that topic
+    rules name (qid, doc, hits); the blended score adds name overlap (qid, doc, overlap). Questions in `wide` (qid) take more
+    documents and add a bonus for each hint (doc, n) in a document's name. Ranks end at the first score that isn't positive, after one.
     """
-    best = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc")
-    top = similarity.where("sim > 0").withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= w.top_docs).select("qid", "doc")
+    most = F.lit(w.top_docs)
+    if wide is not None:
+        flag = wide.select("qid").distinct().withColumn("_wide", F.lit(True))
+        similarity, topic_hits = similarity.join(flag, "qid", "left"), topic_hits.join(flag.drop("_wide"), "qid", "left")
+        most = F.when(F.col("_wide"), w.wide_docs).otherwise(w.top_docs)
+    best = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 12)), "doc")
+    top = similarity.where("sim > 0").withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= most).select("qid", "doc")
     pool = top.union(topic_hits.select("qid", "doc")).distinct()
-    for part in (similarity, overlap, topic_hits):
+    for part in (similarity.select("qid", "doc", "sim"), overlap, topic_hits):
         pool = pool.join(part, ["qid", "doc"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    pool = pool.withColumn("score", w.route_tfidf * zero("sim") + w.route_name * zero("overlap") + w.route_topic * zero("hits"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "doc"))
-    return pool.withColumn("rank", rank).where((F.col("rank") <= w.top_docs) & ((F.col("score") > 0) | (F.col("rank") == 1))).select("qid", "doc", "score", "rank")
+    score = w.route_tfidf * zero("sim") + w.route_name * zero("overlap") + w.route_topic * zero("hits")
+    if wide is not None:
+        pool = pool.join(flag, "qid", "left")
+        if hints is not None:
+            pool = pool.join(hints.select("doc", "n"), "doc", "left")
+            score = score + F.when(F.col("_wide"), w.route_hint * F.coalesce("n", F.lit(0))).otherwise(0.0)
+    pool = pool.withColumn("score", score)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), F.lower("doc")))
+    return pool.withColumn("rank", rank).where((F.col("rank") <= most) & ((F.col("score") > 0) | (F.col("rank") == 1))).select("qid", "doc", "score", "rank")

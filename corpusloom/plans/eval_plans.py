@@ -6,13 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation as V
+from corpusloom.operators import retrieval as R
+from corpusloom.operators import synthesis as S
 from corpusloom.operators.synthesis import REFUSAL
 from corpusloom.plans.fixtures import DOCS_SQL, QUESTIONS_SQL, documents, questions, sql_list, table
-from corpusloom.plans.phase_plans import _ANSWER, answers
+from corpusloom.plans.phase_plans import _ANSWER, answers, lines_chosen
 from corpusloom.plans.registry import query
+from corpusloom.plans.search_plans import _BALANCE, _SLOTS, balanced, gathered
 
 # Results of cases: every document is one; its label gives the verdict.
-_RES = f"""WITH {DOCS_SQL}, res AS (SELECT 'ev' || doc_id AS id, lang AS domain, left(text, 60) AS question, CAST(n_chars % 17 AS INT) AS n_total, CAST(n_chars % 6 AS INT) AS n_domain, n_chars % 3 = 0 AS domain_filter_used, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE authority END AS domain_key FROM docs),
+_RES = f"""WITH {DOCS_SQL}, res AS (SELECT 'ev' || doc_id AS id, lang AS domain, text AS question, CAST(n_chars % 17 AS INT) AS n_total, CAST(n_chars % 6 AS INT) AS n_domain, n_chars % 3 = 0 AS domain_filter_used, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE authority END AS domain_key FROM docs),
 old AS (SELECT 'ev' || doc_id AS id, CASE WHEN toxic = 1 THEN 'incorrect' WHEN doc_id % 11 = 0 THEN 'bogus' WHEN quality = 1 THEN 'strong_correct' ELSE 'partial' END AS verdict, CASE WHEN toxic = 1 THEN 'Hallucination seen' ELSE 'fine' END AS notes, doc_id AS row FROM labels UNION ALL SELECT 'ev' || doc_id, 'partial', 'second look', 1000000 + doc_id FROM labels WHERE doc_id % 4 = 1),
 lst AS (SELECT id, arg_max(verdict, row) AS verdict, arg_max(notes, row) AS notes FROM old GROUP BY id),
 ver AS (SELECT res.id, CASE WHEN list_contains({sql_list(V.VERDICTS)}, verdict) THEN verdict ELSE 'unknown' END AS verdict, coalesce(notes, '') AS notes FROM res LEFT JOIN lst USING (id))"""
@@ -144,9 +147,10 @@ def term_checks(spark, d):
     return x.select("id", F.array_join(V.term_reasons(F.col("answer"), F.col("must_include"), F.col("must_not_include")), ";").alias("reasons"))
 
 
-@query("eval_metrics", f"{_CASES} SELECT count(*) AS cases, count(*) FILTER (WHERE len(reasons) = 0) / CAST(count(*) AS DOUBLE) AS pass_rate, count(*) FILTER (WHERE id % 6 = 1) / CAST(count(*) AS DOUBLE) AS fallback_rate, count(*) FILTER (WHERE id % 6 = 1 AND NOT expected_not_found) / CAST(count(*) FILTER (WHERE NOT expected_not_found) AS DOUBLE) AS fallback_answerable, count(*) FILTER (WHERE refused) AS refusals, count(*) FILTER (WHERE id % 6 = 1 AND NOT expected_not_found) / CAST(count(*) FILTER (WHERE NOT expected_not_found) AS DOUBLE) > 0.15 AS ci_fail FROM ev")
+@query("eval_metrics", f"{_CASES} SELECT count(*) AS cases, count(*) FILTER (WHERE len(reasons) = 0) / CAST(count(*) AS DOUBLE) AS pass_rate, count(*) FILTER (WHERE fallback) / CAST(count(*) AS DOUBLE) AS fallback_rate, count(*) FILTER (WHERE fallback AND NOT expected_not_found) / CAST(count(*) FILTER (WHERE NOT expected_not_found) AS DOUBLE) AS fallback_answerable, count(*) FILTER (WHERE refused) AS refusals, count(*) FILTER (WHERE fallback AND NOT expected_not_found) / CAST(count(*) FILTER (WHERE NOT expected_not_found) AS DOUBLE) > 0.15 AS ci_fail FROM (SELECT *, id IN (SELECT qid FROM bi WHERE fallback) AS fallback FROM ev)")
 def eval_metrics(spark, d):
-    return V.metrics(evaluated(spark, d).withColumn("fallback", F.col("id") % 6 == 1))
+    used = gathered(spark, d).where("fallback").select(F.col("qid").alias("id")).distinct().withColumn("fallback", F.lit(True))
+    return V.metrics(evaluated(spark, d).join(used, "id", "left").withColumn("fallback", F.coalesce("fallback", F.lit(False))))
 
 
 @query("failure_artifacts", f"{_CASES} SELECT id, 'failed_' || regexp_replace(CAST(id AS VARCHAR) || ' / q', '[^A-Za-z0-9._-]+', '_', 'g') AS file, len(reasons) AS n_reasons, reasons[1] AS first_reason FROM ev WHERE len(reasons) > 0")
@@ -158,20 +162,27 @@ def failure_artifacts(spark, d):
     return art.select("id", name.alias("file"), F.size(kept).alias("n_reasons"), kept[0].alias("first_reason"))
 
 
-@query("balance_gate", f"""WITH {QUESTIONS_SQL}, b AS (SELECT qid, ['EU_GMP', 'FDA'] AS required, CASE WHEN qid % 3 = 0 THEN ['FDA'] ELSE ['FDA', 'EU_GMP', 'ICH'] END AS eligible, CASE WHEN qid % 2 = 0 THEN ['FDA'] ELSE ['FDA', 'EU_GMP'] END AS kept FROM questions)
+@query("balance_gate", f"""{_BALANCE}, sl AS ({_SLOTS}), b AS (SELECT qid, ['EU_GMP', 'FDA'] AS required, coalesce((SELECT list(authority) FROM sl WHERE sl.qid = questions.qid AND eligible), []) AS eligible, coalesce((SELECT list(DISTINCT authority) FROM bal WHERE bal.qid = questions.qid), []) AS kept FROM questions)
 SELECT qid, CASE WHEN len(list_filter(required, lambda r: NOT list_contains(eligible, r))) = 0 AND len(list_filter(required, lambda r: NOT list_contains(kept, r))) > 0 THEN 'phase_a_balance_missing:' || array_to_string(list_sort(list_filter(required, lambda r: NOT list_contains(kept, r))), ',') END AS reason FROM b""")
 def balance_gate(spark, d):
-    x = questions(spark, d).selectExpr("qid", "array('EU_GMP', 'FDA') as required", "case when qid % 3 = 0 then array('FDA') else array('FDA', 'EU_GMP', 'ICH') end as eligible", "case when qid % 2 = 0 then array('FDA') else array('FDA', 'EU_GMP') end as kept")
-    return x.select("qid", V.balance_reason(F.col("required"), F.col("eligible"), F.col("kept")).alias("reason"))
+    """Each question's eligible authorities and those kept, against the two that a case requires."""
+    able = R.slots(gathered(spark, d)).where("eligible").groupBy("qid").agg(F.collect_set("authority").alias("eligible"))
+    kept = balanced(spark, d).groupBy("qid").agg(F.collect_set("authority").alias("kept"))
+    none = F.array().cast("array<string>")
+    x = questions(spark, d).select("qid").join(able, "qid", "left").join(kept, "qid", "left")
+    return x.select("qid", V.balance_reason(F.array(F.lit("EU_GMP"), F.lit("FDA")), F.coalesce("eligible", none), F.coalesce("kept", none)).alias("reason"))
 
 
 def outputs(spark, d):
-    """Rendered output files of all questions."""
-    text = F.concat("answer", F.lit("\n\nCitations:\n- a.pdf | p1 | p0_c1\n- b.pdf | p2 | p1_c"), F.col("qid").cast("string"))
-    return answers(spark, d).select("qid", text.alias("text"))
+    """Rendered output files of all questions, with the citations of their answers."""
+    cited = S.dedupe_citations(lines_chosen(spark, d), "qid", "n", 5)
+    row = F.struct("citation", F.format_string("- %s | p%s | %s", "pdf", (F.col("pdf_index") + 1).cast("string"), "chunk_id").alias("c"))
+    lists = cited.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list(row))["c"], "\n").alias("c"))
+    text = F.concat("answer", F.lit("\n\nCitations:\n"), F.coalesce("c", F.lit("")))
+    return answers(spark, d).join(lists, "qid", "left").select("qid", text.alias("text"))
 
 
-_OUT = f"{_ANSWER}, outf AS (SELECT qid, answer || chr(10) || chr(10) || 'Citations:' || chr(10) || '- a.pdf | p1 | p0_c1' || chr(10) || '- b.pdf | p2 | p1_c' || qid AS text FROM ans)"
+_OUT = f"{_ANSWER}, cd AS (SELECT *, row_number() OVER (PARTITION BY qid, pdf, pdf_index, chunk_id ORDER BY n) AS dd FROM chosen), cc AS (SELECT qid, string_agg('- ' || pdf || ' | p' || (pdf_index + 1) || ' | ' || chunk_id, chr(10) ORDER BY n) AS c FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n) AS nth FROM cd WHERE dd = 1) WHERE nth <= 5 GROUP BY qid), outf AS (SELECT qid, answer || chr(10) || chr(10) || 'Citations:' || chr(10) || coalesce(c, '') AS text FROM ans LEFT JOIN cc USING (qid))"
 
 
 @query("render_output_file", f"{_OUT} SELECT qid, text FROM outf")

@@ -155,7 +155,7 @@ def chunk_id_audit(spark, d):
     return K.audit_ids(raw_chunks(spark, d)).groupBy("consistent").agg(F.count("*").alias("n"))
 
 
-_INTEGRITY = f"""WITH RECURSIVE {chunk_sql()}, ex AS (SELECT file, authority, doc_id FROM docs), n AS (SELECT ex.file, ex.authority, count(c.chunk_id) FILTER (WHERE c.doc_id % 9 <> 4) AS n FROM ex LEFT JOIN chunks c ON c.doc_id = ex.doc_id GROUP BY ex.file, ex.authority)"""
+_INTEGRITY = f"""WITH RECURSIVE {chunk_sql()}, ex AS (SELECT file, authority, doc_id FROM docs), n AS (SELECT ex.file, ex.authority, count(c.chunk_id) AS n FROM ex LEFT JOIN chunks c ON c.doc_id = ex.doc_id GROUP BY ex.file, ex.authority)"""
 
 
 def chunk_counts(spark, d):

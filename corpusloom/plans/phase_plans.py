@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import config as C
-from corpusloom.config import DEFAULT
 from corpusloom.functions import query as Q
 from corpusloom.functions import text as T
 from corpusloom.operators import evidence as E
-from corpusloom.operators import retrieval as R
 from corpusloom.operators import synthesis as S
-from corpusloom.plans.fixtures import BOILER, LEXICON, PATTERNS, QUESTIONS_SQL, STEMS, questions, sql_list, stored
-from corpusloom.plans.query_plans import s_count, s_normalize
+from corpusloom.plans.fixtures import BOILER, LEXICON, PATTERNS, STEMS, questions, sql_list, stored
+from corpusloom.plans.query_plans import VALID, s_count, s_normalize
 from corpusloom.plans.registry import query
-from corpusloom.plans.search_plans import CH, asked, domains, pool, pool_of, variant_scored
+from corpusloom.plans.search_plans import _BALANCE, balanced, domains, gathered, with_text
 from corpusloom.plans.text_plans import S_TRUNCATED, s_any, s_clean, s_collapsed, s_complete, s_match, s_requirement, s_tokens
 
-LEX = LEXICON["equipment_qualification"]
 PRIMARY, SECONDARY, NEGATIVE = ("enther", "eauai"), ("thest", "ing", "ment", "keit"), ("ndea",)
 
 
@@ -27,28 +24,11 @@ def facts(spark, d):
 
 
 def build_facts(spark, d):
-    """The whole of phase A: variants, domain filter, mixed-scope retry, fallback and authority balance."""
-    q = asked(spark, d).select("qid", "q_aug")
-    every = variant_scored(spark, d)
-    narrowed = lambda p: R.domain_filter(p.join(domains(spark, d), "qid"), LEXICON).drop("domain", "level")
-    mixed = narrowed(pool_of(spark, d, every.withColumn("admitted", F.lit(True))))
-    cols = ["qid", *R.KEY, "authority", "base", "final", F.col("hits").cast("int").alias("hits"), "text"]
-    x = R.scope_retry(narrowed(pool(spark, d)), mixed, q).select(cols)
-    top = R.rank(every, ["qid"], 1, DEFAULT.fallback_similarity).drop("q_aug").join(q, "qid")
-    top = top.where(R.fallback_match(F.col("q_aug"), F.concat("file", F.substring("text", 1, 60)))).select(cols)
-    x = x.unionByName(top.join(x.select("qid").distinct(), "qid", "left_anti").select(x.columns))
-    kept = R.balance(x, DEFAULT.max_context).join(questions(spark, d), "qid")
+    kept = with_text(spark, d, balanced(spark, d)).join(questions(spark, d), "qid")
     return kept.select("qid", "question", F.col("file").alias("pdf"), "pdf_index", "chunk_id", F.col("text").alias("quote"), F.round("final", 6).alias("score"))
 
 
-def _toks(x: str) -> str:
-    return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z]{{3,}}')), lambda t: NOT list_contains({sql_list(C.SEARCH_STOP)}, t))"
-
-
-_FACTS = f"""WITH RECURSIVE {CH}, {QUESTIONS_SQL}, qk AS (SELECT qid, unnest({_toks('question')}) AS token, len({_toks('question')}) AS n FROM questions), ckk AS (SELECT file, pdf_index, chunk_id, unnest({_toks('text')}) AS token FROM chunks),
-ov AS (SELECT qid, file, pdf_index, chunk_id, round(CAST(count(*) AS DOUBLE) / any_value(n), 6) AS score FROM qk JOIN ckk USING (token) GROUP BY ALL),
-ovk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file, pdf_index, chunk_id) AS k FROM ov),
-facts AS (SELECT qid, question, file AS pdf, pdf_index, chunk_id, text AS quote, score FROM ovk JOIN chunks USING (file, pdf_index, chunk_id) JOIN questions USING (qid) WHERE k <= 12)"""
+_FACTS = f"{_BALANCE}, facts AS MATERIALIZED (SELECT qid, question, file AS pdf, pdf_index, chunk_id, text AS quote, round(final, 6) AS score FROM bal JOIN (SELECT file, pdf_index, chunk_id, text FROM chunks) USING (file, pdf_index, chunk_id) JOIN questions USING (qid))"
 _ORD = "score DESC, pdf, pdf_index, chunk_id"
 _REL = f"(len({s_tokens('quote')}) > 0 AND (len(list_intersect({s_tokens('question')}, {s_tokens('quote')})) >= 2 OR (len(list_intersect({s_tokens('question')}, {s_tokens('quote')})) >= 1 AND score >= 0.28) OR (contains(lower(question), 'risk management') AND contains(lower(quote), 'risk management')) OR (contains(lower(question), 'data integrity') AND {s_any('lower(quote)', ('data integrity', 'alcoa'))})))"
 _NOISY = f"(lower({s_clean('quote')}) = '' OR {s_match(f'lower({s_clean("quote")})', T.DIAGRAM)} OR length({s_clean('quote')}) < 35)"
@@ -80,16 +60,22 @@ def topic_coherence(spark, d):
 
 _TOPIC = f"list_filter(list_distinct(regexp_extract_all({s_normalize('question')}, '[a-z0-9]{{3,}}')), lambda x: NOT list_contains({sql_list(C.TOPIC_STOP)}, x))"
 _WORDS = f"string_split(regexp_replace({s_collapsed('quote')}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ')"
-_GATE = f"""{_LOCAL}, kp AS (SELECT qid, pdf, pdf_index, chunk_id, score FROM loc WHERE NOT {_BOIL} AND {_REQ} AND (qid % 2 = 1 OR {_COH})),
+_ACTIVE = s_any(s_normalize("question"), VALID)
+_GATE = f"""{_LOCAL}, kp AS (SELECT qid, pdf, pdf_index, chunk_id, score FROM loc WHERE NOT {_BOIL} AND {_REQ} AND (NOT {_ACTIVE} OR {_COH})),
 lone AS (SELECT qid, any_value(pdf) AS only_pdf FROM kp GROUP BY qid HAVING count(DISTINCT pdf) = 1),
-oth AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY qid ORDER BY {_ORD}) AS k FROM facts f JOIN lone USING (qid) WHERE pdf <> only_pdf AND qid % 2 = 0 AND NOT {_BOIL} AND {_REQ} AND {_COH}) WHERE k = 1),
-spa AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY qid ORDER BY {_ORD}) AS k FROM facts f WHERE qid NOT IN (SELECT qid FROM kp) AND CASE WHEN qid % 2 = 0 THEN NOT {_BOIL} AND {_REQ} AND {_COH} ELSE NOT {_BOIL} AND (len({_TOPIC}) = 0 OR len(list_intersect({_TOPIC}, {_WORDS})) > 0) END) WHERE k = 1),
+oth AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY qid ORDER BY {_ORD}) AS k FROM facts f JOIN lone USING (qid) WHERE pdf <> only_pdf AND {_ACTIVE} AND NOT {_BOIL} AND {_REQ} AND {_COH}) WHERE k = 1),
+spa AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY qid ORDER BY {_ORD}) AS k FROM facts f WHERE qid NOT IN (SELECT qid FROM kp) AND CASE WHEN {_ACTIVE} THEN NOT {_BOIL} AND {_REQ} AND {_COH} ELSE NOT {_BOIL} AND (len({_TOPIC}) = 0 OR len(list_intersect({_TOPIC}, {_WORDS})) > 0) END) WHERE k = 1),
 gt AS (SELECT qid, pdf, pdf_index, chunk_id, score, 'kept' AS how FROM kp UNION ALL SELECT qid, pdf, pdf_index, chunk_id, score, 'second source' FROM oth UNION ALL SELECT qid, pdf, pdf_index, chunk_id, score, 'stand-in' FROM spa)"""
 
 
+def active():
+    """Whether the stricter gate holds: the question names what validation questions do."""
+    return T.contains_any(T.normalize_query(F.col("question")), VALID)
+
+
 def gated(spark, d):
     f = facts(spark, d)
-    return E.requirement_gate(E.local_filter(f), f, F.col("qid") % 2 == 0, BOILER, STEMS, coherence())
+    return E.requirement_gate(E.local_filter(f), f, active(), BOILER, STEMS, coherence())
 
 
 @query("requirement_filter", f"{_GATE} SELECT qid, pdf, chunk_id, how FROM gt")
@@ -97,7 +83,7 @@ def requirement_filter(spark, d):
     return gated(spark, d).select("qid", "pdf", "chunk_id", "how")
 
 
-@query("phase_b_empty_summary", f"{_FACTS}, lf AS (SELECT DISTINCT qid FROM facts WHERE qid % 3 = 0) SELECT qid, count(*) AS facts, count(*) FILTER (WHERE {_NOISY}) AS noisy, count(*) FILTER (WHERE NOT {_REL}) AS irrelevant, count(*) FILTER (WHERE {_BOIL}) AS boilerplate, count(*) FILTER (WHERE NOT {_REQ}) AS no_requirement FROM facts WHERE qid NOT IN (SELECT qid FROM lf) GROUP BY qid")
+@query("phase_b_empty_summary", f"{_GATE} SELECT qid, count(*) AS facts, count(*) FILTER (WHERE {_NOISY}) AS noisy, count(*) FILTER (WHERE NOT {_REL}) AS irrelevant, count(*) FILTER (WHERE {_BOIL}) AS boilerplate, count(*) FILTER (WHERE NOT {_REQ}) AS no_requirement FROM facts WHERE qid NOT IN (SELECT qid FROM gt) GROUP BY qid")
 def phase_b_empty_summary(spark, d):
     return E.empty_summary(facts(spark, d), gated(spark, d), BOILER, STEMS)
 
@@ -138,14 +124,27 @@ def extract_sentences(spark, d):
     return found(spark, d).select("qid", "pdf", "chunk_id", "pos", "sentence", "required")
 
 
-def s_pass(x: str, lex=LEX) -> str:
+def s_pass(x: str) -> str:
     s = s_collapsed(x)
+    each = " ".join(f"WHEN '{name}' THEN {_s_pass(s, lex)}" for name, lex in LEXICON.items())
+    return f"coalesce(CASE domain {each} END, false)"
+
+
+def _s_pass(s: str, lex) -> str:
     return f"({s} <> '' AND {s_count(s, lex.negative)} = 0 AND ({s_count(s, lex.strong)} >= {lex.min_strong} OR {s_count(s, lex.secondary)} >= {lex.min_secondary}))"
 
 
-@query("domain_sentence_filter", f"{_SENTS} SELECT qid, pdf, chunk_id, pos, {s_pass('sentence')} AS passes FROM sent")
+def passes(sentence):
+    """Whether a sentence passes the lexicon of its question's domain."""
+    ok = F.lit(False)
+    for name, lex in LEXICON.items():
+        ok = ok | ((F.col("domain") == name) & Q.passes(sentence, lex))
+    return F.coalesce(ok, F.lit(False))
+
+
+@query("domain_sentence_filter", f"{_SENTS} SELECT qid, pdf, chunk_id, pos, {s_pass('sentence')} AS passes FROM sent JOIN dm USING (qid)")
 def domain_sentence_filter(spark, d):
-    return found(spark, d).select("qid", "pdf", "chunk_id", "pos", Q.passes(F.col("sentence"), LEX).alias("passes"))
+    return found(spark, d).join(domains(spark, d), "qid").select("qid", "pdf", "chunk_id", "pos", passes(F.col("sentence")).alias("passes"))
 
 
 _SEL = f"""{_SENTS}, sf0 AS (SELECT f.*, {_REQ} AS rq FROM facts f WHERE NOT {_NOISY} AND EXISTS (SELECT 1 FROM sent s WHERE s.qid = f.qid AND s.pdf = f.pdf AND s.pdf_index = f.pdf_index AND s.chunk_id = f.chunk_id)),
@@ -161,7 +160,7 @@ def select_facts(spark, d):
     return chosen_facts(spark, d).select("qid", "pdf", "chunk_id", "fact_pos")
 
 
-_CAND = f"""{_SEL}, cn0 AS (SELECT sf.qid, sf.pdf, sf.pdf_index, sf.chunk_id, sf.score, fact_pos, pos, sentence, required, CASE WHEN sf.qid % 2 = 0 THEN 'd' END AS domain, count(*) OVER () AS z FROM sf JOIN sent USING (qid, pdf, pdf_index, chunk_id) WHERE pos <= CASE WHEN (SELECT count(*) FROM sf x WHERE x.qid = sf.qid) > 1 THEN 2 ELSE 3 END),
+_CAND = f"""{_SEL}, cn0 AS (SELECT sf.qid, sf.pdf, sf.pdf_index, sf.chunk_id, sf.score, fact_pos, pos, sentence, required, (SELECT domain FROM dm WHERE dm.qid = sf.qid) AS domain, count(*) OVER () AS z FROM sf JOIN sent USING (qid, pdf, pdf_index, chunk_id) WHERE pos <= CASE WHEN (SELECT count(*) FROM sf x WHERE x.qid = sf.qid) > 1 THEN 2 ELSE 3 END),
 cn1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fact_pos, pos) AS i FROM cn0), cn2 AS (SELECT *, min(CASE WHEN required AND i >= 5 THEN i END) OVER (PARTITION BY qid) AS stop, min(i) OVER (PARTITION BY qid, fact_pos) AS f1 FROM cn1),
 cn3 AS (SELECT *, required AND domain IS NOT NULL AND {s_pass('sentence')} AS dom FROM cn2 WHERE (stop IS NULL OR i <= stop) AND f1 <= 5),
 cn4 AS (SELECT *, count(*) FILTER (WHERE required) OVER (PARTITION BY qid) AS n_required, count(*) FILTER (WHERE dom) OVER (PARTITION BY qid) AS n_domain FROM cn3),
@@ -170,8 +169,7 @@ cand AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER
 
 
 def cands(spark, d):
-    f = chosen_facts(spark, d).withColumn("domain", F.when(F.col("qid") % 2 == 0, "d"))
-    return S.candidates(f, found(spark, d), lambda s: Q.passes(s, LEX))
+    return S.candidates(chosen_facts(spark, d).join(domains(spark, d), "qid"), found(spark, d), passes)
 
 
 @query("sentence_candidates", f"{_CAND} SELECT qid, pdf, chunk_id, cand, line, n_required, n_domain, domain_used FROM cand")
@@ -217,19 +215,33 @@ def dedupe_citations(spark, d):
     return S.dedupe_citations(lines_chosen(spark, d), "qid", "n", 5).select("qid", "pdf", "chunk_id", "citation")
 
 
-@query("format_facts", f"{_FACTS} SELECT qid, string_agg('- ' || left({s_clean('quote')}, 40) || ' (' || pdf || ' | ' || (pdf_index + 1) || ' | ' || chunk_id || ') score=' || printf('%.4f', score), chr(10) ORDER BY {_ORD}) AS facts FROM facts GROUP BY qid")
+@query("format_facts", f"{_FACTS} SELECT qid, string_agg('- ' || {s_clean('quote')} || ' (' || pdf || ' | ' || (pdf_index + 1) || ' | ' || chunk_id || ') score=' || printf('%.4f', CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE)), chr(10) ORDER BY {_ORD}) AS facts FROM facts GROUP BY qid")
 def format_facts(spark, d):
-    line = F.format_string("- %s (%s | %s | %s) score=%.4f", F.substring(T.clean_text(F.col("quote")), 1, 40), "pdf", (F.col("pdf_index") + 1).cast("string"), "chunk_id", "score")
+    line = F.format_string("- %s (%s | %s | %s) score=%.4f", T.clean_text(F.col("quote")), "pdf", (F.col("pdf_index") + 1).cast("string"), "chunk_id", "score")
     rows = facts(spark, d).select("qid", F.struct(*[(-F.col("score")).alias("s"), *[F.col(k) for k in E.KEY]], line.alias("line")).alias("r"))
     return rows.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("r"))["line"], "\n").alias("facts"))
 
 
-@query("answer")
-def answer(spark, d):
-    """The whole chain from gated evidence: facts, gate, sentences, candidates, lines, answer and its citations."""
-    kept = gated(spark, d).drop("pos")
-    f = S.select_facts(kept, found(spark, d), STEMS).withColumn("domain", F.lit(None).cast("string"))
-    lines = S.choose_lines(S.candidates(f, found(spark, d)))
-    cited = S.dedupe_citations(lines, "qid", "n", 5).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("citation", *E.KEY))).alias("citations"))
-    return S.render(lines, questions(spark, d)).join(cited, "qid", "left").select("qid", "answer", "n_lines", "confidence", F.coalesce(F.size("citations"), F.lit(0)).alias("n_citations"))
+_LIVE = "(contains(lq, 'market share') OR contains(lq, 'average cost') OR (contains(lq, 'failure rate') AND (contains(lq, 'current') OR regexp_matches(lq, '\\b20[0-9]{2}\\b'))) OR (contains(lq, 'who is') AND contains(lq, 'head of')) OR (contains(lq, 'how many') AND contains(lq, 'warning letter') AND contains(lq, 'last month')))"
+# The chain over the gate's facts, and over all facts of the questions that the gate leaves without any.
+_CHAIN = _CHOSEN.replace(_FACTS, f"{_GATE}, src AS (SELECT f.* FROM facts f JOIN gt USING (qid, pdf, pdf_index, chunk_id) UNION ALL SELECT * FROM facts WHERE qid NOT IN (SELECT qid FROM gt))").replace("FROM facts f WHERE NOT", "FROM src f WHERE NOT")
+_FULL = f"""{_CHAIN}, cd AS (SELECT *, row_number() OVER (PARTITION BY qid, pdf, pdf_index, chunk_id ORDER BY n) AS dd FROM chosen), nc AS (SELECT qid, least(5, count(*)) AS n_citations FROM cd WHERE dd = 1 GROUP BY qid),
+rn AS (SELECT qid, count(*) AS n, count(DISTINCT pdf) AS nd, avg(score) AS m, string_agg(n || ') ' || line || ' (' || pdf || ' | ' || (pdf_index + 1) || ' | ' || chunk_id || ')', chr(10) ORDER BY n) AS t FROM chosen WHERE qid NOT IN (SELECT qid FROM (SELECT qid, lower(trim(question)) AS lq FROM questions) WHERE {_LIVE}) GROUP BY qid)
+SELECT qid, coalesce('ANSWER:' || chr(10) || t || chr(10) || 'CONFIDENCE: ' || {_CONF}, '{S.REFUSAL}') AS answer, CAST(coalesce(n, 0) AS INT) AS n_lines, CASE WHEN n IS NOT NULL THEN {_CONF} END AS confidence, CAST(CASE WHEN n IS NULL THEN 0 ELSE n_citations END AS INT) AS n_citations, qid IN (SELECT qid FROM facts) AND qid NOT IN (SELECT qid FROM gt) AS from_all_facts FROM questions LEFT JOIN rn USING (qid) LEFT JOIN nc USING (qid)"""
 
+
+@query("answer", _FULL)
+def answer(spark, d):
+    """The whole chain: phase A's facts; those that the gate keeps, or all where it keeps none; sentences, candidates, lines,
+    answer and its citations. Questions without facts, about live data, with fewer than two lines or no citation are refused."""
+    f = facts(spark, d)
+    kept = gated(spark, d).select("qid", *E.KEY).distinct()
+    bare = f.join(kept.select("qid").distinct(), "qid", "left_anti")
+    source = f.join(kept, ["qid", *E.KEY], "left_semi").unionByName(bare)
+    chosen = S.select_facts(source, found(spark, d), STEMS).join(domains(spark, d), "qid")
+    lines = S.choose_lines(S.candidates(chosen, found(spark, d), passes))
+    lines = lines.join(questions(spark, d).where(~Q.live_data(F.col("question"))).select("qid"), "qid", "left_semi")
+    cited = S.dedupe_citations(lines, "qid", "n", 5).groupBy("qid").agg(F.count("*").cast("int").alias("n_citations"))
+    out = S.render(lines.join(cited.select("qid"), "qid", "left_semi"), questions(spark, d))
+    out = out.join(cited, "qid", "left").join(bare.select("qid").distinct().withColumn("_b", F.lit(True)), "qid", "left")
+    return out.select("qid", "answer", "n_lines", "confidence", F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.col("_b").isNotNull().alias("from_all_facts"))

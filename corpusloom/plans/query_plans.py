@@ -178,7 +178,7 @@ def path_match(spark, d):
     return paths.join(F.broadcast(rules), R.path_matches(F.col("path"), F.col("rule"))).select("path", "rule")
 
 
-@query("filename_overlap", f"{_Q}, t AS (SELECT qid, list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]{{2,}}')), lambda x: length(x) >= 3) AS qt FROM q), n AS (SELECT page_id, list_filter(list_distinct(regexp_extract_all(lower(url || ' ' || regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '[a-z0-9]{{2,}}')), lambda x: length(x) >= 3) AS nt FROM pages) SELECT qid, page_id, round(CAST(len(list_intersect(qt, nt)) AS DOUBLE) / len(qt), 6) AS overlap FROM t, n WHERE len(list_intersect(qt, nt)) > 1")
+@query("filename_overlap", f"{_Q}, t AS (SELECT qid, list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]{{2,}}')), lambda x: length(x) >= 3) AS qt FROM q), n AS (SELECT page_id, list_filter(list_distinct(regexp_extract_all(lower(url || ' ' || regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '[a-z0-9]{{2,}}')), lambda x: length(x) >= 3) AS nt FROM pages) SELECT qid, page_id, round(CAST(len(list_intersect(qt, nt)) AS DOUBLE) / len(qt), 6) AS overlap FROM t, n WHERE len(list_intersect(qt, nt)) > 0")
 def filename_overlap(spark, d):
     from corpusloom.operators import routing as R
 

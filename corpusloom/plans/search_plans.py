@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom import config as C
 from corpusloom.config import DEFAULT
 from corpusloom.functions import query as Q
 from corpusloom.operators import index as I
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import routing as G
 from corpusloom.plans.fixtures import LEXICON, QUESTIONS_SQL, SIGNALS, STOP_WORDS, questions, quoted, sql_list, stored
+from corpusloom.operators import chunking as K
+from corpusloom.functions import text as T
 from corpusloom.plans.page_plans import chunk_sql, chunk_table
-from corpusloom.plans.query_plans import ACR, APR, BROAD, OOS, SYN, VALID, _s_domain, s_normalize, s_word
+from corpusloom.plans.query_plans import _ANCHORS, _BROAD as _BROAD_Q, _WIDE, ACR, ANCH, APR, BROAD, OOS, SYN, TOPIC_WORDS, TRIG, VALID, _s_domain, s_count, s_distinct, s_expand, s_normalize, s_word
 from corpusloom.plans.registry import query
 from corpusloom.plans.text_plans import s_any, s_collapsed
 
@@ -40,9 +43,23 @@ def build_postings(spark, d):
     return I.weights(tf, I.vocabulary(tf, c.agg(F.count("*").alias("n"))), R.KEY)
 
 
+SPACES = {"word": lambda t: word_terms(t), "char": lambda t: I.char_terms(t)}
+VARIANT = ["qid", "variant_no"]
+TOPICS = {k: (words, C.TOPICS[k][1]) for k, words in TOPIC_WORDS.items()}
+
+
+def asks(spark, d):
+    """(qid, variant_no, q_aug, scope): all forms in which a question is searched, itself first and the one with its anchors last."""
+    q = F.col("question")
+    found = Q.variants(q, ("of", "and", "the"), SYN, ACR, broad(q))
+    terms = Q.anchors(q, TRIG, ANCH)
+    anchored = F.when(F.size(terms) > 0, F.array(T.normalize_query(F.concat_ws(" ", T.normalize_query(q), F.array_join(terms, " "))))).otherwise(F.array().cast("array<string>"))
+    return questions(spark, d).select("qid", F.posexplode(F.array_distinct(F.concat(found, anchored))).alias("variant_no", "q_aug"), scope().alias("scope"))
+
+
 def asked(spark, d):
-    """Questions with their scope; the text searched is the question itself."""
-    return questions(spark, d).select("qid", F.col("question").alias("q_aug"), scope().alias("scope"))
+    """Questions with their scope; the text searched is the normalised question."""
+    return asks(spark, d).where("variant_no = 0").drop("variant_no")
 
 
 def word_terms(text):
@@ -68,12 +85,16 @@ def s_space(name: str, terms) -> str:
     return f"""{n}_t AS (SELECT file, pdf_index, chunk_id, unnest({terms('text')}) AS term FROM chunks), {n}_tf AS (SELECT file, pdf_index, chunk_id, term, count(*) AS tf FROM {n}_t GROUP BY ALL),
 {n}_v AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM chunks)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM {n}_tf GROUP BY term),
 {n}_d AS (SELECT file, pdf_index, chunk_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY file, pdf_index, chunk_id)) AS weight FROM {n}_tf JOIN {n}_v USING (term)),
-{n}_qt AS (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({terms('question')}) AS term FROM questions) GROUP BY ALL),
-{n}_q AS (SELECT qid, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY qid)) AS weight FROM {n}_qt JOIN {n}_v USING (term)),
-{n}_s AS (SELECT qid, file, pdf_index, chunk_id, sum(q.weight * d.weight) AS sim FROM {n}_q q JOIN {n}_d d USING (term) GROUP BY ALL)"""
+{n}_qt AS (SELECT qid, variant_no, term, count(*) AS tf FROM (SELECT qid, variant_no, unnest({terms('q')}) AS term FROM asks) GROUP BY ALL),
+{n}_q AS (SELECT qid, variant_no, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY qid, variant_no)) AS weight FROM {n}_qt JOIN {n}_v USING (term)),
+{n}_s AS (SELECT qid, variant_no, file, pdf_index, chunk_id, sum(q.weight * d.weight) AS sim FROM {n}_q q JOIN {n}_d d USING (term) GROUP BY ALL)"""
 
 
-_BASE = f"WITH RECURSIVE {CH}, {QUESTIONS_SQL}"
+_ASKS = f"""qn AS (SELECT qid, question, {s_normalize('question')} AS s, trim(regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS a FROM questions),
+qe AS (SELECT qid, s, {s_distinct(s_expand())}[1:5] AS e, CASE WHEN {_BROAD_Q} THEN [{_WIDE}] ELSE [] END AS w, {_ANCHORS} AS l FROM qn),
+qv AS (SELECT qid, list_concat(list_concat(e, w), CASE WHEN len(l) > 0 THEN [{s_normalize("s || ' ' || array_to_string(" + s_distinct('l') + ", ' ')")}] ELSE [] END) AS every FROM qe),
+asks AS MATERIALIZED (SELECT qid, unnest(range(0, len(u))) AS variant_no, unnest(u) AS q FROM (SELECT qid, {s_distinct('every')} AS u FROM qv))"""
+_BASE = f"WITH RECURSIVE {CH.replace('chunks AS (', 'chunks AS MATERIALIZED (')}, {QUESTIONS_SQL}, {_ASKS}"
 _WORD, _CHAR = s_space("w", s_word_terms), s_space("c", s_char_terms)
 
 
@@ -81,12 +102,12 @@ def s_toks(x: str) -> str:
     return f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z]{{3,}}')), lambda t: NOT list_contains({sql_list(R.C.SEARCH_STOP)}, t))"
 
 
-_OVER = f"""qk AS (SELECT qid, unnest({s_toks('question')}) AS token, len({s_toks('question')}) AS n FROM questions), ckk AS (SELECT file, pdf_index, chunk_id, unnest({s_toks('text')}) AS token FROM chunks),
-ov AS (SELECT qid, file, pdf_index, chunk_id, CAST(count(*) AS DOUBLE) / any_value(n) AS overlap FROM qk JOIN ckk USING (token) GROUP BY ALL)"""
+_OVER = f"""qk AS (SELECT qid, variant_no, unnest({s_toks('q')}) AS token, len({s_toks('q')}) AS n FROM asks), ckk AS (SELECT file, pdf_index, chunk_id, unnest({s_toks('text')}) AS token FROM chunks),
+ov AS (SELECT qid, variant_no, file, pdf_index, chunk_id, CAST(count(*) AS DOUBLE) / any_value(n) AS overlap FROM qk JOIN ckk USING (token) GROUP BY ALL)"""
 
 
 def s_prior() -> str:
-    q, f, t = "lower(question)", "lower(file)", "lower(text)"
+    q, f, t = "lower(q)", "lower(file)", "lower(text)"
     parts = []
     for p in PROFILES:
         inner = [f"CASE WHEN authority = '{a}' THEN {b} ELSE 0 END" for a, b in p["authority"].items()]
@@ -116,38 +137,45 @@ def broad(q):
     return Q.broad_requirement(q, **BROAD)
 
 
-_BROAD = f"({s_word('nq', [BROAD['marker']])} AND {s_word('nq', BROAD['include'])} AND NOT {s_any('nq', BROAD['exclude'])})"
+_BROAD = f"({s_word('q', [BROAD['marker']])} AND {s_word('q', BROAD['include'])} AND NOT {s_any('q', BROAD['exclude'])})"
 _SCOPE = "['MIXED', 'FDA', 'EMA', 'SOPS', 'odd'][1 + qid % 5]"
 _ADMIT = f"(CASE {_SCOPE} WHEN 'FDA' THEN authority = 'FDA' WHEN 'EMA' THEN list_contains(['EMA', 'EU_GMP', 'PIC_S'], authority) WHEN 'SOPS' THEN authority = 'SOP' ELSE true END)"
-# Pairs with a chance: those that share a token; scored like all others.
-_SCORED = f"""{_OVER}, qs AS (SELECT qid, question, {s_normalize('question')} AS nq FROM questions),
-pr AS (SELECT qid, question, nq, ch.* FROM qs JOIN (SELECT DISTINCT qid, file, pdf_index, chunk_id FROM ov WHERE overlap >= 0.2) o USING (qid) JOIN chunks ch USING (file, pdf_index, chunk_id)),
-sc AS (SELECT qid, file, pdf_index, chunk_id, authority, text, {_SCOPE} AS scope, {_ADMIT} AS admitted, coalesce(w.sim, 0) AS sim_word, coalesce(c.sim, 0) AS sim_char, coalesce(ov.overlap, 0) AS overlap, {s_prior()} AS prior, CASE WHEN {_BROAD} THEN {s_hits('text')} ELSE 0 END AS hits FROM pr LEFT JOIN w_s w USING (qid, file, pdf_index, chunk_id) LEFT JOIN c_s c USING (qid, file, pdf_index, chunk_id) LEFT JOIN ov USING (qid, file, pdf_index, chunk_id)),
+# Every question with every chunk.
+_SCORED = f"""{_OVER}, ch AS MATERIALIZED (SELECT file, pdf_index, chunk_id, authority, text, {s_hits('text')} AS hit FROM chunks), qb AS (SELECT qid, variant_no, q, {_BROAD} AS broad FROM asks),
+sc AS (SELECT qid, variant_no, file, pdf_index, chunk_id, authority, {_SCOPE} AS scope, {_ADMIT} AS admitted, coalesce(w.sim, 0) AS sim_word, coalesce(c.sim, 0) AS sim_char, coalesce(ov.overlap, 0) AS overlap, {s_prior()} AS prior, CASE WHEN broad THEN hit ELSE 0 END AS hits FROM qb CROSS JOIN ch LEFT JOIN w_s w USING (qid, variant_no, file, pdf_index, chunk_id) LEFT JOIN c_s c USING (qid, variant_no, file, pdf_index, chunk_id) LEFT JOIN ov USING (qid, variant_no, file, pdf_index, chunk_id)),
 bs2 AS (SELECT *, 0.62 * sim_word + 0.28 * sim_char + 0.10 * overlap + prior AS base, CAST(CASE WHEN hits > 0 THEN least(0.015, hits * 0.005) ELSE 0 END AS DOUBLE) AS boost FROM sc),
-fs AS (SELECT *, base + boost AS final FROM bs2)"""
+fa AS MATERIALIZED (SELECT *, base + boost AS final FROM bs2), fs AS (SELECT * FROM fa WHERE variant_no = 0)"""
 _ALL = f"{_BASE}, {_WORD}, {_CHAR}, {_SCORED}"
 _RANKED = f"{_ALL}, el AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(final, 12) DESC, round(base, 12) DESC, file, pdf_index, chunk_id) AS INT) AS rank FROM fs WHERE admitted AND base >= 0.2), rk AS (SELECT * FROM el WHERE rank <= 8)"
 
 
-def scored(spark, d):
-    """All question x chunk rows whose base score is LEAST or more, with all scores."""
+def all_scored(spark, d):
+    """Rows of every search, of all forms of all questions, whose base score is LEAST or more."""
     return stored(spark, d, "scored", build_scored)
 
 
-def build_scored(spark, d):
-    return score_questions(spark, d, asked(spark, d), ["qid"])
+def scored(spark, d):
+    """all_scored of the questions themselves."""
+    return all_scored(spark, d).where("variant_no = 0")
 
 
-def score_questions(spark, d, q, by):
-    c, q = chunks(spark, d), q.withColumn("bits", R.switched_on(F.col("q_aug"), PROFILES, SOP_SIGNALS))
-    word = I.search_space(c, q, word_terms, R.KEY, by, "text", "q_aug")
-    char = I.search_space(c, q, I.char_terms, R.KEY, by, "text", "q_aug")
-    prior = R.switched_prior(F.col("bits"), F.col("authority"), F.col("file"), F.col("text"), PROFILES, toc=TOC)
-    hits = R.requirement_hits(F.col("text"), SIGNALS)
-    x = R.score_reaching(q, c, word, char, R.token_overlap(q, c, by=by), LEAST, prior, hits, broad(F.col("q_aug")), by)
+def vocabulary(spark, d):
+    """(space, term, df, idf) of both spaces over all chunks."""
+    c = chunks(spark, d)
+    return stored(spark, d, "vocabulary", lambda spark, d: I.space_vocabulary(I.space_counts(c, R.KEY, SPACES, "text"), c.agg(F.count("*").alias("n"))))
+
+
+def build_scored(spark, d):
+    q = asks(spark, d).withColumn("bits", R.switched_on(F.col("q_aug"), PROFILES, SOP_SIGNALS))
+    parts = R.prior_parts(F.col("authority"), F.col("file"), F.col("text"), PROFILES, TOC)
+    x = R.score_reaching(q, chunks(spark, d), SPACES, vocabulary(spark, d).select("space", "term", "idf"), LEAST, parts, R.requirement_hits(F.col("text"), SIGNALS), broad(F.col("q_aug")), VARIANT)
     return x.withColumn("admitted", R.in_scope(F.col("scope"), F.col("authority")))
 
 
+def with_text(spark, d, rows):
+    return rows.join(chunks(spark, d).select(*R.KEY, "text"), R.KEY)
+
+
 def ranked(spark, d, top_k=8):
     return R.rank(scored(spark, d).where("admitted"), ["qid"], top_k, DEFAULT.min_similarity)
 
@@ -187,24 +215,24 @@ def index_roundtrip(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("cosine_word", f"{_BASE}, {_WORD} SELECT qid, file, chunk_id, round(sim, 6) AS sim FROM w_s WHERE sim > 0.05")
+@query("cosine_word", f"{_BASE}, {_WORD} SELECT qid, file, chunk_id, round(sim, 6) AS sim FROM w_s WHERE variant_no = 0")
 def cosine_word(spark, d):
     s = I.search_space(chunks(spark, d), asked(spark, d), word_terms, R.KEY, ["qid"], "text", "q_aug")
     return s.select("qid", "file", "chunk_id", F.round("sim", 6).alias("sim"))
 
 
-@query("cosine_char", f"{_BASE}, {_CHAR} SELECT qid, file, chunk_id, round(sim, 6) AS sim FROM c_s WHERE sim > 0.3")
+@query("cosine_char", f"{_BASE}, {_CHAR} SELECT qid, file, chunk_id, round(sim, 6) AS sim FROM c_s WHERE variant_no = 0")
 def cosine_char(spark, d):
     s = I.search_space(chunks(spark, d), asked(spark, d), I.char_terms, R.KEY, ["qid"], "text", "q_aug")
     return s.select("qid", "file", "chunk_id", F.round("sim", 6).alias("sim"))
 
 
-@query("token_overlap", f"{_BASE}, {_OVER} SELECT qid, file, chunk_id, round(overlap, 6) AS overlap FROM ov")
+@query("token_overlap", f"{_BASE}, {_OVER} SELECT qid, file, chunk_id, round(overlap, 6) AS overlap FROM ov WHERE variant_no = 0")
 def token_overlap(spark, d):
     return R.token_overlap(asked(spark, d), chunks(spark, d)).select("qid", "file", "chunk_id", F.round("overlap", 6).alias("overlap"))
 
 
-@query("query_prior", f"{_BASE}, qs AS (SELECT qid, question FROM questions WHERE qid % 4 = 0) SELECT qid, file, chunk_id, round({s_prior()}, 6) AS prior FROM qs, chunks")
+@query("query_prior", f"{_BASE}, qs AS (SELECT qid, q FROM asks WHERE variant_no = 0) SELECT qid, file, chunk_id, round({s_prior()}, 6) AS prior FROM qs, chunks")
 def query_prior(spark, d):
     q = asked(spark, d).select("qid", R.switched_on(F.col("q_aug"), PROFILES, SOP_SIGNALS).alias("bits"))
     prior = R.switched_prior(F.col("bits"), F.col("authority"), F.col("file"), F.col("text"), PROFILES, toc=TOC)
@@ -243,21 +271,6 @@ def rank_topk(spark, d):
     return ranked(spark, d).select("qid", "file", "chunk_id", "rank", F.round("final", 6).alias("final"))
 
 
-@query("empty_retrieval_stats", f"{_ALL} SELECT qid, count(*) AS total, count(*) FILTER (WHERE NOT admitted) AS scope_removed, count(*) FILTER (WHERE admitted AND NOT ends_with(file, '3')) AS docs_removed, count(*) FILTER (WHERE admitted AND ends_with(file, '3') AND base < 0.2) AS similarity_removed, count(*) FILTER (WHERE admitted AND ends_with(file, '3') AND base >= 0.2) AS eligible FROM fs GROUP BY qid")
-def empty_retrieval_stats(spark, d):
-    per = chunks(spark, d).groupBy("authority").agg(F.count("*").alias("n"), F.count_if(F.col("file").endswith("3")).alias("n_allowed"))
-    eligible = scored(spark, d).where(F.col("admitted") & F.col("file").endswith("3") & (F.col("base") >= 0.2)).groupBy("qid").agg(F.count("*").alias("eligible"))
-    return R.empty_totals(asked(spark, d).select("qid", "scope"), per, eligible, R.in_scope(F.col("scope"), F.col("authority")))
-
-
-@query("allowed_docs_filter", f"{_ALL} SELECT qid, file, chunk_id FROM fs WHERE CAST(substr(file, 5) AS INT) % 5 = qid % 5")
-def allowed_docs_filter(spark, d):
-    q = asked(spark, d).select("qid", (F.col("qid") % 5).alias("r"))
-    files = chunks(spark, d).select("file").distinct().withColumn("r", F.expr("cast(substring(file, 5) as int) % 5").cast("long"))
-    allowed = q.join(files, "r").select("qid", "file")
-    return chunks(spark, d).join(allowed, "file").select("qid", "file", "chunk_id")
-
-
 def selected(spark, d, top_k=8, items=5):
     """Ranked rows that the diversity step chose, with mmr_pos."""
     r = ranked(spark, d, top_k)
@@ -265,91 +278,151 @@ def selected(spark, d, top_k=8, items=5):
     return r.join(R.mmr(r, postings, ["qid"], items, DEFAULT.mmr_lambda), ["qid", *R.KEY])
 
 
-_MMR = f"""{_RANKED.replace('rank <= 8', 'rank <= 8')}, mt AS (SELECT qid, rank, final, term, weight FROM rk JOIN w_d USING (file, pdf_index, chunk_id)),
-ms AS (SELECT a.qid, a.rank AS i, b.rank AS j, sum(a.weight * b.weight) AS sim FROM mt a JOIN mt b ON a.qid = b.qid AND a.term = b.term AND a.rank <> b.rank GROUP BY ALL),
-mg AS (SELECT qid, 1 AS step, [1] AS chosen FROM rk WHERE rank = 1
-UNION ALL SELECT g.qid, g.step + 1, list_append(g.chosen, (SELECT x.rank FROM (SELECT r.rank, round(0.6 * r.final - 0.4 * max(coalesce(s.sim, 0)), 12) AS gain FROM rk r CROSS JOIN (SELECT unnest(g.chosen) AS j) u LEFT JOIN ms s ON s.qid = r.qid AND s.i = r.rank AND s.j = u.j WHERE r.qid = g.qid AND NOT list_contains(g.chosen, r.rank) GROUP BY r.rank, r.final) x ORDER BY gain DESC, rank LIMIT 1)) FROM mg g WHERE g.step < 5 AND g.step < (SELECT count(*) FROM rk WHERE qid = g.qid)),
-mf AS (SELECT qid, arg_max(chosen, step) AS chosen FROM mg GROUP BY qid),
-sel AS (SELECT rk.*, CAST(list_position(chosen, rank) AS INT) AS mmr_pos FROM rk JOIN mf USING (qid) WHERE list_contains(chosen, rank))"""
+def s_mmr(p: str, rows: str, items: int) -> str:
+    """CTE <p>m: the rows of <rows> (one search each, with rank and final) that the diversity step chose, with mmr_pos."""
+    return f"""{p}t AS MATERIALIZED (SELECT qid, variant_no, rank, final, term, weight FROM {rows} JOIN w_d USING (file, pdf_index, chunk_id)),
+{p}s AS MATERIALIZED (SELECT a.qid, a.variant_no, a.rank AS i, b.rank AS j, sum(a.weight * b.weight) AS sim FROM {p}t a JOIN {p}t b ON a.qid = b.qid AND a.variant_no = b.variant_no AND a.term = b.term AND a.rank <> b.rank GROUP BY ALL),
+{p}g AS (SELECT qid, variant_no, 1 AS step, [1] AS chosen FROM {rows} WHERE rank = 1
+UNION ALL SELECT g.qid, g.variant_no, g.step + 1, list_append(g.chosen, (SELECT x.rank FROM (SELECT r.rank, round(0.6 * r.final - 0.4 * max(coalesce(s.sim, 0)), 12) AS gain FROM {rows} r CROSS JOIN (SELECT unnest(g.chosen) AS j) u LEFT JOIN {p}s s ON s.qid = r.qid AND s.variant_no = r.variant_no AND s.i = r.rank AND s.j = u.j WHERE r.qid = g.qid AND r.variant_no = g.variant_no AND NOT list_contains(g.chosen, r.rank) GROUP BY r.rank, r.final) x ORDER BY gain DESC, rank LIMIT 1)) FROM {p}g g WHERE g.step < {items} AND g.step < (SELECT count(*) FROM {rows} WHERE qid = g.qid AND variant_no = g.variant_no)),
+{p}f AS (SELECT qid, variant_no, arg_max(chosen, step) AS chosen FROM {p}g GROUP BY ALL),
+{p}m AS (SELECT r.*, CAST(list_position(chosen, rank) AS INT) AS mmr_pos FROM {rows} r JOIN {p}f USING (qid, variant_no) WHERE list_contains(chosen, rank))"""
+
 
+_MMR = f"{_RANKED}, {s_mmr('m', 'rk', 5)}"
 
-@query("mmr_select", f"{_MMR} SELECT qid, file, chunk_id, mmr_pos FROM sel")
+
+@query("mmr_select", f"{_MMR} SELECT qid, file, chunk_id, mmr_pos FROM mm")
 def mmr_select(spark, d):
     return selected(spark, d).select("qid", "file", "chunk_id", "mmr_pos")
 
 
-@query("hybrid_search", f"{_MMR} SELECT qid, file, pdf_index, chunk_id, authority, round(base, 6) AS base, hits, round(final, 6) AS final, mmr_pos FROM sel")
+@query("hybrid_search", f"{_MMR} SELECT qid, file, pdf_index, chunk_id, authority, round(base, 6) AS base, hits, round(final, 6) AS final, mmr_pos FROM mm")
 def hybrid_search(spark, d):
     return selected(spark, d).select("qid", *R.KEY, "authority", F.round("base", 6).alias("base"), "hits", F.round("final", 6).alias("final"), "mmr_pos")
 
 
-_ROUTE = f"""{_BASE}, {_WORD}, dsim AS (SELECT qid, file AS doc, max(sim) AS sim FROM w_s GROUP BY ALL), th AS (SELECT qid, file AS doc, CAST(1 AS DOUBLE) AS hits FROM questions, (SELECT DISTINCT file FROM chunks) WHERE CAST(substr(file, 5) AS INT) % 97 = qid % 97),
-tp AS (SELECT qid, doc FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, doc) AS k FROM dsim WHERE sim > 0) WHERE k <= 5 UNION SELECT qid, doc FROM th),
-rs AS (SELECT qid, doc, 0.8 * coalesce(sim, 0) + 0.15 * coalesce(hits, 0) AS score FROM tp LEFT JOIN dsim USING (qid, doc) LEFT JOIN th USING (qid, doc))
-SELECT * FROM (SELECT qid, doc, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc) AS INT) AS rank FROM rs) WHERE rank <= 5 AND (score > 0 OR rank = 1)"""
+# Routing: profiles of documents against all forms of a question, topic rules and names.
+_ROUTE = f"""{_BASE}, pf AS MATERIALIZED (SELECT lower(authority) || '/' || file AS doc, file || ' ' || left(arg_min(text, pdf_index * 100000 + seq), 500) AS profile FROM chunks GROUP BY file, authority),
+r_tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest({s_word_terms('profile')}) AS term FROM pf) GROUP BY ALL), r_v AS (SELECT term, ln((1 + (SELECT count(*) FROM pf)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM r_tf GROUP BY term),
+r_d AS (SELECT doc, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc)) AS weight FROM r_tf JOIN r_v USING (term)),
+r_qt AS (SELECT qid, variant_no, term, count(*) AS tf FROM (SELECT qid, variant_no, unnest({s_word_terms('q')}) AS term FROM asks) GROUP BY ALL), r_q AS (SELECT qid, variant_no, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY qid, variant_no)) AS weight FROM r_qt JOIN r_v USING (term)),
+dsim AS (SELECT qid, doc, max(sim) AS sim FROM (SELECT qid, variant_no, doc, sum(q.weight * d.weight) AS sim FROM r_q q JOIN r_d d USING (term) GROUP BY ALL) GROUP BY ALL),
+qall AS (SELECT qid, string_agg(q, ' ' ORDER BY variant_no) AS qtext FROM asks GROUP BY qid),
+tm AS ({' UNION ALL '.join(f"SELECT qid, '{k}' AS topic FROM qall WHERE {s_count('qtext', words)} > 0" for k, (words, _) in TOPICS.items())}),
+ru AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {quoted(r)})" for k, (_, rules) in TOPICS.items() for r in rules)}) AS v(topic, rule)),
+th AS (SELECT qid, doc, count(*) AS hits FROM tm JOIN ru USING (topic) JOIN pf ON starts_with(doc, rule) OR (NOT ends_with(rule, '/') AND contains(doc, rule)) GROUP BY ALL),
+wd AS (SELECT qid, qtext, {s_word('qtext', [BROAD['marker']])} AND qid IN (SELECT qid FROM tm WHERE topic = 'process_validation') AS wide FROM qall),
+qtk AS (SELECT qid, list_filter(list_distinct(regexp_extract_all(lower(qtext), '[a-z0-9]{{2,}}')), lambda x: length(x) >= 3) AS qt FROM qall), dtk AS (SELECT doc, list_filter(list_distinct(regexp_extract_all(lower(doc), '[a-z0-9]{{2,}}')), lambda x: length(x) >= 3) AS dt FROM pf),
+no AS (SELECT qid, doc, CAST(len(list_intersect(qt, dt)) AS DOUBLE) / len(qt) AS overlap FROM qtk, dtk WHERE len(list_intersect(qt, dt)) > 0),
+tp AS (SELECT qid, doc FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 12) DESC, doc) AS k FROM dsim WHERE sim > 0) JOIN wd USING (qid) WHERE k <= CASE WHEN wide THEN 8 ELSE 5 END UNION SELECT qid, doc FROM th),
+rs AS (SELECT qid, doc, wide, 0.8 * coalesce(sim, 0) + 0.2 * coalesce(overlap, 0) + 0.15 * coalesce(hits, 0) + CASE WHEN wide THEN 0.12 * {s_count("regexp_replace(lower(doc), '[^a-z0-9]+', '', 'g')", C.DOC_HINTS)} ELSE 0 END AS score FROM tp LEFT JOIN dsim USING (qid, doc) LEFT JOIN no USING (qid, doc) LEFT JOIN th USING (qid, doc) JOIN wd USING (qid)),
+rt AS MATERIALIZED (SELECT qid, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc) AS INT) AS rank FROM rs) WHERE rank <= CASE WHEN wide THEN 8 ELSE 5 END AND (score > 0 OR rank = 1)), al AS (SELECT DISTINCT qid, regexp_extract(doc, '[^/]*$') AS file FROM rt)"""
+
+
+def routed(spark, d):
+    return stored(spark, d, "routed", build_routed)
+
+
+def build_routed(spark, d):
+    q = asks(spark, d)
+    path = F.concat(F.lower("authority"), F.lit("/"), F.col("file")).alias("doc")
+    profiles = K.profiles(chunks(spark, d)).select(path, "profile")
+    sim = I.search_space(profiles, q, word_terms, ["doc"], VARIANT, "profile", "q_aug").groupBy("qid", "doc").agg(F.max("sim").alias("sim"))
+    whole = q.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list(F.struct("variant_no", "q_aug")))["q_aug"], " ").alias("q"))
+    hits = G.topic_hits(whole, profiles.select("doc", F.col("doc").alias("path")), TOPICS)
+    overlap = G.name_overlap(whole, profiles.select("doc", F.col("doc").alias("name")), "qid", "q", "doc", "name").select("qid", "doc", "overlap")
+    wide = G.match_topics(whole, TOPICS).where("topic = 'process_validation'").join(whole.where(F.col("q").rlike(T.any_word([BROAD["marker"]]))), "qid", "left_semi")
+    plain = F.regexp_replace(F.lower("doc"), "[^a-z0-9]+", "")
+    hints = profiles.select("doc", T.count_terms(plain, C.DOC_HINTS).alias("n")).where("n > 0")
+    return G.route(sim, overlap, hits, wide, hints)
+
+
+def allowed(spark, d):
+    """(qid, file): file names, in lower case, of the documents that a question was routed to."""
+    return routed(spark, d).select("qid", F.regexp_extract(F.lower(F.btrim("doc")), "[^/]*$", 0).alias("file")).distinct()
+
+
+@query("route_docs", f"{_ROUTE} SELECT qid, doc, round(score, 6) AS score, rank FROM rt")
+def route_docs(spark, d):
+    return routed(spark, d).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
-@query("route_docs", _ROUTE)
-def route_docs(spark, d):
-    c, q = chunks(spark, d), asked(spark, d)
-    sim = I.search_space(c, q, word_terms, R.KEY, ["qid"], "text", "q_aug").groupBy("qid", F.col("file").alias("doc")).agg(F.max("sim").alias("sim"))
-    files = c.select(F.col("file").alias("doc")).distinct().withColumn("r", F.expr("cast(substring(doc, 5) as int) % 97").cast("long"))
-    hits = q.select("qid", (F.col("qid") % 97).alias("r")).join(files, "r").select("qid", "doc", F.lit(1.0).alias("hits"))
-    names = files.select("doc", F.col("doc").alias("name"))
-    overlap = G.name_overlap(q, names, "qid", "q_aug", "doc", "name").select("qid", "doc", "overlap")
-    return G.route(sim, overlap, hits).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
+@query("allowed_docs_filter", f"{_ROUTE} SELECT qid, file, chunk_id FROM al JOIN chunks USING (file)")
+def allowed_docs_filter(spark, d):
+    return chunks(spark, d).join(F.broadcast(allowed(spark, d)), "file").select("qid", "file", "chunk_id")
 
 
-# Orchestration: every variant of a question is searched; the SQL rescales the question's own rows instead.
-VARIANT = ["qid", "variant_no"]
-_POOL = f"{_RANKED}, vr AS (SELECT *, 0 AS variant_no FROM rk UNION ALL SELECT * REPLACE (final * 0.97 + hits * 0.01 AS final), 1 AS variant_no FROM el WHERE rank <= 12), mv AS (SELECT *, row_number() OVER (PARTITION BY qid, file, pdf_index, chunk_id ORDER BY final DESC, variant_no) AS k FROM vr), pool AS (SELECT * FROM (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY qid ORDER BY round(final, 12) DESC, file, pdf_index, chunk_id) AS pool_rank FROM mv WHERE k = 1) WHERE pool_rank <= 10)"
+_ALLOWED = f"{_ROUTE}, {_WORD}, {_CHAR}, {_SCORED}, fz AS MATERIALIZED (SELECT fa.*, al.file IS NOT NULL OR fa.qid NOT IN (SELECT qid FROM al) AS allowed FROM fa LEFT JOIN al USING (qid, file))"
 
 
-def asked_variants(spark, d):
-    """(qid, variant_no, q_aug, scope): every variant of every question, in the order of query_variants."""
-    q = F.col("q_aug")
-    found = Q.variants(q, ("of", "and", "the"), SYN, ACR, broad(q))
-    return asked(spark, d).select("qid", "scope", F.posexplode(found).alias("variant_no", "q_aug"))
+@query("empty_retrieval_stats", f"{_ALLOWED} SELECT qid, count(*) AS total, count(*) FILTER (WHERE NOT admitted) AS scope_removed, count(*) FILTER (WHERE admitted AND NOT allowed) AS docs_removed, count(*) FILTER (WHERE admitted AND allowed AND base < 0.2) AS similarity_removed, count(*) FILTER (WHERE admitted AND allowed AND base >= 0.2) AS eligible FROM fz WHERE variant_no = 0 GROUP BY qid")
+def empty_retrieval_stats(spark, d):
+    c, q, mine = chunks(spark, d), asked(spark, d), allowed(spark, d)
+    per = c.groupBy("authority").agg(F.count("*").alias("n"))
+    admitted = R.in_scope(F.col("scope"), F.col("authority"))
+    routed_n = c.groupBy("file", "authority").agg(F.count("*").alias("n")).join(F.broadcast(mine), "file").join(F.broadcast(q.select("qid", "scope")), "qid").where(admitted).groupBy("qid").agg(F.sum("n").alias("n_allowed"))
+    eligible = searched(spark, d).where("variant_no = 0 and admitted and allowed and base >= 0.2").groupBy("qid").agg(F.count("*").alias("eligible"))
+    return R.empty_totals(q.select("qid", "scope"), per, routed_n, mine.select("qid").distinct(), eligible, admitted)
+
+
+# Phase A: every form of a question is searched, in its routed documents first; what each search selects is merged.
+def s_pool(p: str, where: str, least: float) -> str:
+    return f"""{p}k AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, variant_no ORDER BY round(final, 12) DESC, round(base, 12) DESC, file, pdf_index, chunk_id) AS INT) AS rank FROM fz WHERE {where} AND base >= {least}) WHERE rank <= 12),
+{s_mmr(p, p + 'k', 8)}, {p} AS MATERIALIZED ({s_merge(f'SELECT qid, variant_no, file, pdf_index, chunk_id, authority, base, hits, final FROM {p}m')})"""
+
+
+def s_merge(rows: str) -> str:
+    return f"SELECT * FROM (SELECT * EXCLUDE (k), CAST(row_number() OVER (PARTITION BY qid ORDER BY round(final, 12) DESC, file, pdf_index, chunk_id) AS INT) AS pool_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, file, pdf_index, chunk_id ORDER BY round(final, 12) DESC, variant_no) AS k FROM ({rows})) WHERE k = 1) WHERE pool_rank <= 80"
+
+
+RETRIED = ("computerized_systems", "data_integrity", "deviations")
+_DOM = "dm AS (" + _s_domain().replace("WITH " + QUESTIONS_SQL + ",", "WITH", 1) + ")"
+_POOL = f"{_ALLOWED}, {s_pool('ra', 'admitted AND allowed', 0.2)}"
+_COLS = "qid, file, pdf_index, chunk_id, authority, base, hits, final"
+_RETRY = f"""{_POOL}, {_DOM}, {s_pool('op', 'admitted', 0.2)}, thin AS (SELECT qid FROM dm LEFT JOIN (SELECT qid, count(*) AS n FROM ra GROUP BY qid) USING (qid) WHERE coalesce(n, 0) < 3 AND domain IN {RETRIED}),
+r1 AS MATERIALIZED ({s_merge(f'SELECT variant_no, {_COLS} FROM ra UNION ALL SELECT variant_no + 1000, {_COLS} FROM op WHERE qid IN (SELECT qid FROM thin)')})"""
 
 
-def variant_scored(spark, d):
-    return stored(spark, d, "variant_scored", lambda spark, d: score_questions(spark, d, asked_variants(spark, d), VARIANT))
+def searched(spark, d):
+    """all_scored with `allowed`: whether the question was routed to the chunk's document, or to none."""
+    mine = allowed(spark, d)
+    x = all_scored(spark, d).join(F.broadcast(mine.withColumn("_a", F.lit(True))), ["qid", "file"], "left")
+    return x.join(F.broadcast(mine.select("qid").distinct().withColumn("_r", F.lit(True))), "qid", "left").withColumn("allowed", F.col("_a").isNotNull() | F.col("_r").isNull()).drop("_a", "_r")
 
 
-def pool_of(spark, d, found):
-    """What each variant's search selects of its best rows, merged."""
-    r = R.rank(found.where("admitted"), VARIANT, DEFAULT.pipeline_top_k, DEFAULT.min_similarity)
+def pool_of(spark, d, found, least=DEFAULT.min_similarity):
+    """What each search selects of its best rows, merged."""
+    r = R.rank(found, VARIANT, DEFAULT.pipeline_top_k, least)
     chosen = R.mmr(r, stored(spark, d, "postings", build_postings), VARIANT, DEFAULT.max_context, DEFAULT.mmr_lambda)
     return R.merge_variants(r.join(chosen, [*VARIANT, *R.KEY]), DEFAULT.pool)
 
 
 def pool(spark, d):
-    return stored(spark, d, "pool", lambda spark, d: pool_of(spark, d, variant_scored(spark, d)))
+    return stored(spark, d, "pool", lambda spark, d: pool_of(spark, d, searched(spark, d).where("admitted and allowed")))
 
 
-@query("merge_variants", f"{_POOL} SELECT qid, file, chunk_id, variant_no, round(final, 6) AS final, CAST(pool_rank AS INT) AS pool_rank FROM pool")
-def merge_variants(spark, d):
-    return pool(spark, d).select("qid", "file", "chunk_id", "variant_no", F.round("final", 6).alias("final"), "pool_rank")
+def retried(spark, d):
+    """The pool, joined by unrestricted rows where it is thin and the domain calls for it."""
+    cols = [*VARIANT, *R.KEY, "authority", "base", "hits", "final"]
+    build = lambda spark, d: R.relaxed_retry(pool(spark, d).select(cols), pool_of(spark, d, searched(spark, d).where("admitted")).select(cols), domains(spark, d), RETRIED)
+    return stored(spark, d, "retried", build)
 
 
-_DOM = "dm AS (" + _s_domain().replace("WITH " + QUESTIONS_SQL + ",", "WITH", 1) + ")"
+@query("merge_variants", f"{_POOL} SELECT qid, file, chunk_id, variant_no, round(final, 6) AS final, pool_rank FROM ra")
+def merge_variants(spark, d):
+    return pool(spark, d).select("qid", "file", "chunk_id", "variant_no", F.round("final", 6).alias("final"), "pool_rank")
 
 
 def domains(spark, d):
     return questions(spark, d).select("qid", Q.domain(F.col("question"), LEXICON, out_of_spec=OOS, apr=APR, validation=VALID).alias("domain"))
 
 
-@query("relaxed_retry", f"{_POOL}, {_DOM}, thin AS (SELECT qid FROM dm LEFT JOIN (SELECT qid, count(*) AS n FROM pool WHERE ends_with(file, '1') GROUP BY qid) USING (qid) WHERE coalesce(n, 0) < 3 AND domain IN ('computerized_systems', 'data_integrity', 'deviations')), un AS (SELECT qid, file, pdf_index, chunk_id, final FROM pool WHERE ends_with(file, '1') UNION SELECT qid, file, pdf_index, chunk_id, final FROM pool WHERE qid IN (SELECT qid FROM thin)) SELECT qid, file, chunk_id, round(final, 6) AS final FROM un")
+@query("relaxed_retry", f"{_RETRY} SELECT qid, file, chunk_id, round(final, 6) AS final FROM r1")
 def relaxed_retry(spark, d):
-    cols = ["qid", *R.KEY, "final", "variant_no"]
-    allowed = pool_of(spark, d, variant_scored(spark, d).where(F.col("file").endswith("1")))
-    keys = ("computerized_systems", "data_integrity", "deviations")
-    return R.relaxed_retry(allowed.select(cols), pool(spark, d).select(cols), domains(spark, d), keys).select("qid", "file", "chunk_id", F.round("final", 6).alias("final"))
+    return retried(spark, d).select("qid", "file", "chunk_id", F.round("final", 6).alias("final"))
 
 
 def _s_lex(kind: str, relaxed=R.C.RELAXED_DOMAINS) -> str:
-    from corpusloom.plans.query_plans import s_count
-
     out = []
     for name, lex in LEXICON.items():
         least = 2 if kind == "strict" else 1
@@ -360,46 +433,108 @@ def _s_lex(kind: str, relaxed=R.C.RELAXED_DOMAINS) -> str:
     return f"coalesce(CASE domain {' '.join(out)} END, false)"
 
 
-@query("domain_chunk_filter", f"{_POOL}, {_DOM}, fl AS (SELECT qid, file, chunk_id, {_s_lex('strict')} AS a, {_s_lex('loose')} AS b FROM pool JOIN dm USING (qid)), lv AS (SELECT *, CASE WHEN count(*) FILTER (WHERE a) OVER (PARTITION BY qid) >= 2 THEN 1 WHEN count(*) FILTER (WHERE b) OVER (PARTITION BY qid) >= 2 THEN 2 ELSE 0 END AS level FROM fl) SELECT qid, file, chunk_id, level FROM lv WHERE level = 0 OR (level = 1 AND a) OR (level = 2 AND b)")
+def s_narrowed(p: str, rows: str) -> str:
+    """CTE <p>: rows of a pool that the domain's filter keeps, with level."""
+    return f"""{p}l AS (SELECT {_COLS}, pool_rank, {_s_lex('strict')} AS a, {_s_lex('loose')} AS b FROM {rows} JOIN dm USING (qid) JOIN (SELECT file, pdf_index, chunk_id, text FROM chunks) USING (file, pdf_index, chunk_id)),
+{p}v AS (SELECT *, CASE WHEN count(*) FILTER (WHERE a) OVER (PARTITION BY qid) >= 2 THEN 1 WHEN count(*) FILTER (WHERE b) OVER (PARTITION BY qid) >= 2 THEN 2 ELSE 0 END AS level FROM {p}l), {p} AS MATERIALIZED (SELECT * FROM {p}v WHERE level = 0 OR (level = 1 AND a) OR (level = 2 AND b))"""
+
+
+_NARROW = f"{_RETRY}, {s_narrowed('d1', 'r1')}"
+
+
+def narrowed(spark, d, rows):
+    x = R.domain_filter(with_text(spark, d, rows).join(domains(spark, d), "qid"), LEXICON)
+    return x.select("qid", *R.KEY, "authority", "base", F.col("hits").cast("int").alias("hits"), "final", "pool_rank", "level")
+
+
+@query("domain_chunk_filter", f"{_NARROW} SELECT qid, file, chunk_id, level FROM d1")
 def domain_chunk_filter(spark, d):
-    return R.domain_filter(pool(spark, d).join(domains(spark, d), "qid"), LEXICON).select("qid", "file", "chunk_id", "level")
+    return narrowed(spark, d, retried(spark, d)).select("qid", "file", "chunk_id", "level")
+
+
+_MIXED = f"{_NARROW}, {s_pool('mi', 'true', 0.2)}, {s_narrowed('d2', 'mi')}, sr AS MATERIALIZED (SELECT *, false AS retried FROM d1 UNION ALL SELECT *, true FROM d2 WHERE qid NOT IN (SELECT qid FROM d1))"
+
+
+def mixed(spark, d):
+    def build(spark, d):
+        return R.scope_retry(narrowed(spark, d, retried(spark, d)), narrowed(spark, d, pool_of(spark, d, searched(spark, d))), questions(spark, d))
+
+    return stored(spark, d, "mixed", build)
 
 
-@query("scope_retry", f"{_ALL}, f1 AS (SELECT qid, file, chunk_id FROM fs WHERE admitted AND base >= 0.3), f2 AS (SELECT qid, file, chunk_id FROM fs WHERE base >= 0.3) SELECT *, false AS retried FROM f1 UNION ALL SELECT *, true FROM f2 WHERE qid NOT IN (SELECT qid FROM f1)")
+@query("scope_retry", f"{_MIXED} SELECT qid, file, chunk_id, retried FROM sr")
 def scope_retry(spark, d):
-    s = scored(spark, d).where("base >= 0.3").select("qid", "file", "chunk_id", "admitted")
-    return R.scope_retry(s.where("admitted").drop("admitted"), s.drop("admitted"), questions(spark, d))
+    return mixed(spark, d).select("qid", "file", "chunk_id", "retried")
 
 
-_FB = "regexp_replace(lower(file || left(text, 60)), '[^a-z0-9]+', '', 'g')"
+_FB = "regexp_replace(lower(file), '[^a-z0-9]+', '', 'g')"
 _FQ = f"list_filter(list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z]{{3,}}')), lambda t: NOT list_contains({sql_list(R.C.TOKEN_STOP)}, t)), lambda t: length(t) >= 4)"
+_FALLBACK = f"{_MIXED}, {s_pool('fb', 'admitted AND allowed', 0.18)}, {s_narrowed('d3', 'fb')}, ft AS (SELECT *, coalesce(len(list_filter({_FQ}, lambda w: contains({_FB}, w))) > 0, false) AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pool_rank) AS k FROM d3) JOIN questions USING (qid) WHERE k = 1)"
 
 
-@query("fallback_accept", f"{_ALL}, t1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(final, 12) DESC, round(base, 12) DESC, file, pdf_index, chunk_id) AS k FROM fs WHERE base >= 0.18) SELECT qid, file, chunk_id, coalesce(len(list_filter({_FQ}, lambda w: contains({_FB}, w))) > 0, false) AS accepted FROM t1 JOIN questions USING (qid) WHERE k = 1")
+def fallbacks(spark, d):
+    """(rows, first): what searches with the lower threshold give, and each question's first of them with `accepted`."""
+    from pyspark.sql import Window
+
+    rows = narrowed(spark, d, pool_of(spark, d, searched(spark, d).where("admitted and allowed"), DEFAULT.fallback_similarity))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("pool_rank"))).where("k = 1").drop("k")
+    first = first.join(questions(spark, d), "qid").withColumn("accepted", (F.col("final") >= DEFAULT.fallback_similarity) & R.fallback_match(F.col("question"), F.col("file")))
+    return rows, first
+
+
+@query("fallback_accept", f"{_FALLBACK} SELECT qid, file, chunk_id, accepted FROM ft")
 def fallback_accept(spark, d):
-    top = R.rank(scored(spark, d), ["qid"], 1, DEFAULT.fallback_similarity)
-    name = F.concat("file", F.substring("text", 1, 60))
-    return top.select("qid", "file", "chunk_id", R.fallback_match(F.col("q_aug"), name).alias("accepted"))
+    return fallbacks(spark, d)[1].select("qid", "file", "chunk_id", "accepted")
 
 
-@query("authority_balance")
-def authority_balance(spark, d):
-    rows = pool(spark, d).select("qid", *R.KEY, "authority", "base", "final", F.col("hits").cast("int").alias("hits"))
-    return R.balance(rows, 5).select("qid", "file", "chunk_id", "authority", F.round("final", 6).alias("final"))
+# Balance. A row's place in the refill is the number of rows that go before it, which is the sorted order wherever that exists.
+_BEFORE = "CASE WHEN round(abs(s.base - r.base), 12) <= 0.02 AND s.hits <> r.hits THEN s.hits > r.hits ELSE (-s.final, -s.base, s.file, s.pdf_index, s.chunk_id) < (-r.final, -r.base, r.file, r.pdf_index, r.chunk_id) END"
+_BALANCE = f"""{_FALLBACK}, bi AS MATERIALIZED (SELECT qid, file, pdf_index, chunk_id, authority, round(base, 12) AS base, hits, round(final, 12) AS final, retried, false AS fallback FROM sr UNION ALL SELECT qid, file, pdf_index, chunk_id, authority, round(base, 12), hits, round(final, 12), false, true FROM d3 WHERE qid NOT IN (SELECT qid FROM sr) AND qid IN (SELECT qid FROM ft WHERE accepted)),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, file, pdf_index, chunk_id) AS o, row_number() OVER (PARTITION BY qid, authority ORDER BY final DESC, file, pdf_index, chunk_id) AS slot, greatest(0.2, first_value(base) OVER (PARTITION BY qid ORDER BY final DESC, file, pdf_index, chunk_id) - 0.22) AS bar FROM bi),
+b2 AS (SELECT *, first_value(base) OVER (PARTITION BY qid, authority ORDER BY slot) AS lead FROM b1), b3 AS (SELECT *, round(lead, 12) >= round(bar, 12) AS eligible FROM b2),
+b4 AS MATERIALIZED (SELECT *, count(DISTINCT authority) FILTER (WHERE eligible) OVER (PARTITION BY qid) AS n_eligible, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN eligible AND slot <= 3 THEN slot ELSE 99 END, lead DESC, authority) AS turn FROM b3),
+b5 AS (SELECT *, n_eligible >= 2 AND eligible AND slot <= 3 AND turn <= 8 AS seated FROM b4),
+b6 AS (SELECT *, (SELECT count(*) FROM b4 s WHERE s.qid = r.qid AND {_BEFORE}) AS place FROM b5 r),
+b7 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seated DESC, place) AS got FROM b6), bal AS MATERIALIZED (SELECT * FROM b7 WHERE CASE WHEN n_eligible < 2 THEN o <= 8 ELSE got <= 8 END)"""
 
 
-@query("authority_slots", f"{_POOL}, sl AS (SELECT *, row_number() OVER (PARTITION BY qid, authority ORDER BY final DESC, file, pdf_index, chunk_id) AS slot, greatest(0.2, first_value(base) OVER (PARTITION BY qid ORDER BY final DESC, file, pdf_index, chunk_id) - 0.22) AS bar FROM pool), ld AS (SELECT *, first_value(base) OVER (PARTITION BY qid, authority ORDER BY slot) AS lead_base FROM sl) SELECT qid, authority, CAST(count(*) FILTER (WHERE slot <= 3) AS BIGINT) AS slots, any_value(lead_base >= bar) AS eligible FROM ld GROUP BY qid, authority")
-def authority_slots(spark, d):
-    from pyspark.sql import Window
+def gathered(spark, d):
+    """Phase A before its balance, with `retried` and `fallback`."""
 
-    order = [F.desc("final"), *R.KEY]
-    mine, every = Window.partitionBy("qid", "authority").orderBy(*order), Window.partitionBy("qid").orderBy(*order)
-    x = pool(spark, d).withColumn("slot", F.row_number().over(mine)).withColumn("lead_base", F.first("base").over(mine)).withColumn("bar", F.greatest(F.lit(0.2), F.first("base").over(every) - 0.22))
-    return x.groupBy("qid", "authority").agg(F.count_if(F.col("slot") <= 3).alias("slots"), F.first(F.col("lead_base") >= F.col("bar")).alias("eligible"))
+    def build(spark, d):
+        rows, first = fallbacks(spark, d)
+        taken = rows.join(first.where("accepted").select("qid"), "qid", "left_semi").join(mixed(spark, d).select("qid").distinct(), "qid", "left_anti")
+        return mixed(spark, d).withColumn("fallback", F.lit(False)).unionByName(taken.withColumn("retried", F.lit(False)).withColumn("fallback", F.lit(True)))
 
+    return stored(spark, d, "gathered", build)
 
-@query("phase_a", f"{_POOL} SELECT qid, count(*) AS n_facts, round(max(final), 6) AS top_score, count(DISTINCT file) AS n_files, list_sort(list(DISTINCT authority)) AS authorities FROM pool GROUP BY qid")
-def phase_a(spark, d):
-    return pool(spark, d).groupBy("qid").agg(F.count("*").alias("n_facts"), F.round(F.max("final"), 6).alias("top_score"), F.countDistinct("file").alias("n_files"), F.array_sort(F.collect_set("authority")).alias("authorities"))
+
+def balanced(spark, d):
+    rows = gathered(spark, d).select("qid", *R.KEY, "authority", "base", "final", "hits")
+    return stored(spark, d, "balanced", lambda spark, d: R.balance(rows, DEFAULT.max_context))
 
 
+@query("authority_balance", f"{_BALANCE} SELECT qid, file, chunk_id, authority, round(final, 6) AS final FROM bal")
+def authority_balance(spark, d):
+    return balanced(spark, d).select("qid", "file", "chunk_id", "authority", F.round("final", 6).alias("final"))
+
+
+_SLOTS = "SELECT qid, authority, CAST(count(*) FILTER (WHERE slot <= 3) AS BIGINT) AS slots, any_value(eligible) AS eligible FROM b4 GROUP BY qid, authority"
+
+
+@query("authority_slots", f"{_BALANCE} {_SLOTS}")
+def authority_slots(spark, d):
+    return R.slots(gathered(spark, d))
+
+
+@query("phase_a", f"""{_BALANCE} SELECT qid, coalesce(n1, 0) AS pool_size, qid IN (SELECT qid FROM thin) AS relaxed, coalesce(n2, 0) AS gathered, coalesce(retried, false) AS retried, coalesce(fallback, false) AS fallback, coalesce(n_facts, 0) AS n_facts, top_score, n_files, authorities FROM questions LEFT JOIN (SELECT qid, count(*) AS n1 FROM ra GROUP BY qid) USING (qid)
+LEFT JOIN (SELECT qid, count(*) AS n2, bool_or(retried) AS retried, bool_or(fallback) AS fallback FROM bi GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS n_facts, round(max(final), 6) AS top_score, count(DISTINCT file) AS n_files, list_sort(list(DISTINCT authority)) AS authorities FROM bal GROUP BY qid) USING (qid)""")
+def phase_a(spark, d):
+    first = pool(spark, d).groupBy("qid").agg(F.count("*").alias("pool_size"))
+    thin = R.thin(pool(spark, d), domains(spark, d), RETRIED).withColumn("relaxed", F.lit(True))
+    second = gathered(spark, d).groupBy("qid").agg(F.count("*").alias("gathered"), F.bool_or("retried").alias("retried"), F.bool_or("fallback").alias("fallback"))
+    last = balanced(spark, d).groupBy("qid").agg(F.count("*").alias("n_facts"), F.round(F.max("final"), 6).alias("top_score"), F.countDistinct("file").alias("n_files"), F.array_sort(F.collect_set("authority")).alias("authorities"))
+    x = questions(spark, d).select("qid")
+    for part in (first, thin, second, last):
+        x = x.join(part, "qid", "left")
+    return x.fillna(0, ["pool_size", "gathered", "n_facts"]).fillna(False, ["relaxed", "retried", "fallback"])

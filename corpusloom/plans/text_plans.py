@@ -130,7 +130,7 @@ def hyphen_merge(spark, d):
     return P.merge_hyphenated(lines(spark, d).select("doc_id", "line_no", line.alias("line")), "doc_id", prefixes=PREFIXES).select("doc_id", "line_no", "line")
 
 
-_REPEAT = f"""WITH {LINES_SQL}, k AS (SELECT DISTINCT doc_id, page_no, left({s_key('line')}, 2) AS key FROM lines WHERE {s_key('line')} <> ''),
+_REPEAT = f"""WITH {LINES_SQL}, k AS (SELECT DISTINCT doc_id, page_no, {s_key('line')} AS key FROM lines WHERE {s_key('line')} <> ''),
 n AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM lines GROUP BY doc_id),
 f AS (SELECT doc_id, key, count(*) AS df FROM k GROUP BY doc_id, key)
 SELECT f.doc_id, f.key, f.df, n.pages FROM f JOIN n USING (doc_id) WHERE df >= greatest(2, CAST(ceil({C.DEFAULT.repeat_ratio} * pages) AS BIGINT))"""
@@ -247,7 +247,7 @@ def trim_sentence(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.trim_words(F.col("text"), 30, _TRIM_STOP).alias("sentence"))
 
 
-@query("capitalize_first", "SELECT doc_id, CASE WHEN regexp_matches(line, '\\p{L}') THEN regexp_extract(line, '(?s)^([^\\p{L}]*)', 1) || upper(regexp_extract(line, '(?s)^[^\\p{L}]*(\\p{L})', 1)) || regexp_extract(line, '(?s)^[^\\p{L}]*\\p{L}(.*)$', 1) ELSE line END AS line FROM (SELECT doc_id, '- ' || lower(left(text, 40)) AS line FROM documents)")
+@query("capitalize_first", "SELECT doc_id, CASE WHEN regexp_matches(line, '\\p{L}') THEN regexp_extract(line, '(?s)^([^\\p{L}]*)', 1) || upper(regexp_extract(line, '(?s)^[^\\p{L}]*(\\p{L})', 1)) || regexp_extract(line, '(?s)^[^\\p{L}]*\\p{L}(.*)$', 1) ELSE line END AS line FROM (SELECT doc_id, '- ' || lower(text) AS line FROM documents)")
 def capitalize_first(spark, d):
     line = F.concat(F.lit("- "), F.lower("text"))
     return table(spark, d, "documents").select("doc_id", T.capitalize_first(line).alias("line"))

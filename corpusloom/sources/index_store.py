@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all machines share; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder under spark.checkpoint.dir, which all machines share; where that is unset, the warehouse, or a temporary one on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        local = spark.sparkContext.master.startswith("local")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{where.rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
