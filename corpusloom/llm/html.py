@@ -1,8 +1,10 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing and threshold clustering.
 
-The standard library's parser streams a page once. Block-level tags end a line; each line keeps its text, its number of tags
-and the share of its text inside links. Elements that never hold an article's text (navigation, page headers and footers, asides,
-forms, scripts, notices, adverts, reader comments, by tag, role, class or id) are dropped as their events arrive. The ratio of text
+The standard library's parser streams a page once, and open elements are kept on a stack that also knows the ends that HTML
+implies (a paragraph before a block, a list item before its sibling, the head before the body). Block-level tags end a line; each
+line keeps its text, its number of tags and the share of its text inside links. Elements that never hold an article's text
+(navigation, page headers and footers, asides, forms, scripts, notices, adverts, reader comments, by tag, role, class or id) are
+dropped as their events arrive; a class counts by its whole name or its last word, so that `has-sidebar` is no sidebar. The ratio of text
 to tags per line is smoothed with a Gaussian over the neighbouring lines, and lines at or above the page's threshold form content
 regions. A region inside an article or main element grows to that element, so that short blocks at its ends stay; elsewhere it
 spans its first to its last chosen line, without the lines that are mostly links.
@@ -35,16 +37,46 @@ _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav"
     " navbar navigation newsletter notice notices popup promo related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Names that mean an article's own parts inside one.
+_OWN = frozenset("banner header login masthead".split())
+_NOT = frozenset("has is no not with without".split())
 _SCOPES = frozenset(("article", "main"))
 _PARTS = re.compile(r"[a-z]+")
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: A start tag ends the open elements of the first set, looked for up to one of the second.
+_P_ENDS = _BLOCKS - frozenset("body caption dd dt head html legend li option summary tbody td tfoot th thead title tr".split())
+_IMPLIED = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
+    "td": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "tr": (frozenset(("tr",)), frozenset(("table",))),
+    "thead": (frozenset(("thead", "tbody", "tfoot")), frozenset(("table",))),
+    "tbody": (frozenset(("thead", "tbody", "tfoot")), frozenset(("table",))),
+    "tfoot": (frozenset(("thead", "tbody", "tfoot")), frozenset(("table",))),
+}
+_P_LIMIT = frozenset("button caption object table td th".split())
+
+
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether a class or id has one of these names: a word of it as a whole, or at the end of a compound that doesn't negate it."""
+    for word in value.lower().split():
+        parts = _PARTS.findall(word)
+        if parts and (word in names or (_NOT.isdisjoint(parts) and (parts[-1] in names or (parts[0] in names and parts[-1] not in ("content", "body", "text"))))):
+            return True
+    return False
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    if tag in ("html", "body", "article", "main"):
+        return False
     for name, value in attrs:
         if name == "role" and value and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and value and not _NAMES.isdisjoint(_PARTS.findall(value.lower())):
-            return tag not in ("html", "body", "article", "main")
+        if name in ("class", "id") and value and _named(value, _NAMES - _OWN if inside else _NAMES):
+            return True
         if name == "hidden":
             return True
     return False
@@ -58,65 +90,91 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
-        self.skip, self.depth = "", 0  # the dropped element that is open, and how often its tag is nested
-        self.scopes: list[tuple[str, int]] = []
-        self.made = 0
-        self.in_link = False
+        self.open: list[tuple[str, bool, int]] = []  # tag, whether it drops its text, scope around its content or -1
+        self.dropping = self.links = self.made = 0
 
     def end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self.linked, self.scopes[-1][1] if self.scopes else -1))
+                self.lines.append((text, self.tags, self.linked, self.scope()))
             self.text = []
         self.tags = self.linked = 0
 
+    def scope(self) -> int:
+        return self.open[-1][2] if self.open else -1
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag, dropped, _ = self.open[-1]
+            if tag in _BLOCKS:
+                self.end_line()
+            self.open.pop()
+            self.dropping -= dropped
+            self.links -= tag == "a"
+
+    def close_implied(self, tags: frozenset[str], limit: frozenset[str]) -> None:
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.open[depth][0] in tags:
+                self.pop_to(depth)
+                return
+            if self.open[depth][0] in limit:
+                return
+
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            self.depth += tag == self.skip
-            return
-        if tag in _DROPPED or (tag == "header" and not self.scopes) or (attrs and _boilerplate(tag, attrs)):
-            self.end_line()
-            if tag not in _VOID:
-                self.skip, self.depth = tag, 1
+        if tag not in _IN_HEAD and tag != "head" and self.open and any(o[0] == "head" for o in self.open[:3]):
+            self.close_implied(frozenset(("head",)), frozenset())
+        if tag in _IMPLIED:
+            self.close_implied(*_IMPLIED[tag])
+        elif tag in _P_ENDS:
+            self.close_implied(frozenset(("p",)), _P_LIMIT)
+        if not self.dropping:
+            inside = self.scope() >= 0
+            dropped = tag in _DROPPED or (tag == "header" and not inside) or bool(attrs and _boilerplate(tag, attrs, inside))
+            if dropped or tag in _BLOCKS:
+                self.end_line()
+            elif tag == "br":
+                self.text.append(" ")
+            self.tags += not dropped
+        else:
+            dropped = False
+        if tag in _VOID:
             return
-        if tag in _BLOCKS:
-            self.end_line()
-            if tag in _SCOPES:
-                self.made += 1
-                self.scopes.append((tag, self.scopes[0][1] if self.scopes else self.made))
-        elif tag == "br":
-            self.text.append(" ")
-        elif tag == "a":
-            self.in_link = True
-        self.tags += 1
+        scope = self.scope()
+        if tag in _SCOPES and scope < 0:
+            self.made += 1
+            scope = self.made
+        self.open.append((tag, dropped, scope))
+        self.dropping += dropped
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
-        if tag in _VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
-            self.handle_endtag(tag)
+        depth = len(self.open)
+        self.handle_starttag(tag, attrs)
+        if self.open and len(self.open) > depth and (self.open[-1][1] or tag not in _BLOCKS):
+            self.pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag == self.skip:
-                self.depth -= 1
-                if not self.depth:
-                    self.skip = ""
+        if tag in ("html", "body"):
             return
-        if tag in _BLOCKS:
-            self.end_line()
-            if self.scopes and tag == self.scopes[-1][0]:
-                self.scopes.pop()
-        elif tag == "a":
-            self.in_link = False
-        self.tags += 1
+        block = tag in _BLOCKS or tag in _DROPPED
+        for depth in range(len(self.open) - 1, -1, -1):
+            name = self.open[depth][0]
+            if name == tag:
+                self.pop_to(depth)
+                break
+            if not block and name in _BLOCKS:
+                break
+        else:
+            if tag == "p" and not self.dropping:
+                self.end_line()
+        if not self.dropping:
+            self.tags += 1
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.dropping:
             self.text.append(data)
-            if self.in_link:
+            if self.links:
                 self.linked += len(data)
 
 
@@ -147,7 +205,7 @@ def main_text(html: str) -> str:
     ratio = smoothed([(len(t) - linked) / (tags or 1) for t, tags, linked, _ in lines])
     mean = sum(ratio) / len(ratio)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    least = min(mean, max(THRESHOLD * mean, mean - spread))
+    least = min(mean, max(THRESHOLD * mean, mean - spread)) - 1e-9 * mean
     chosen = [i for i, r in enumerate(ratio) if r >= least]
     scopes = {lines[i][3] for i in chosen} - {-1} or {x[3] for x in lines} - {-1}
     if scopes:
