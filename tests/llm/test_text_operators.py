@@ -202,6 +202,32 @@ def test_bpe_equals_the_library(spark):
         assert trip[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_runs_without_spaces_are_linear_and_equal(spark):
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, library = bpe.Encoder(bpe.MergeTable(path)), Tokenizer.from_file(path)
+    rng = random.Random(2)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(30_000)), "the" * 9000, "é" * 7000, "ab" * 5000 + " " + "中文字" * 2000):
+        assert enc(text) == library.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    assert len(enc("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(300_000)))) > 100_000
+    assert time.time() - began < 15
+
+
+def test_bpe_of_no_rows_null_ids_and_clashing_columns(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    schema = "doc_id long, text string, ids string, n_tokens string"
+    assert bpe.round_trip(spark.createDataFrame([], schema), path).collect() == []
+    got = bpe.round_trip(spark.createDataFrame([(None, None, "x", "y"), (None, "a b", "x", "y")], schema), path).collect()
+    assert sorted(r.n_tokens for r in got) == [0, 2] and {r.doc_id for r in got} == {None}
+
+
 def test_bpe_stream_emits_before_the_end():
     import public_tokenizers
 
@@ -250,6 +276,24 @@ def test_html_main_text():
     assert html.main_text("") == "" and html.main_text("<p>") == "" and html.main_text("just text") == "just text"
 
 
+def test_html_implied_ends_and_class_names_lose_no_text():
+    body = "<p>First para of the text.</p><p>Second</p>"
+    assert html.main_text("<html><head><title>T</title><meta charset=x>" + body) == "First para of the text.\n\nSecond"
+    assert html.main_text('<div class="content has-sidebar">' + body + "</div>") == "First para of the text.\n\nSecond"
+    assert html.main_text('<article><p>One</p><p class="notice">N<p>Second real para<p>Third</article>') == "One\n\nSecond real para\n\nThird"
+    assert html.main_text('<article><ul><li class="share">Share<li>Real item<li>x</ul><p>After</article>') == "Real item\n\nx\n\nAfter"
+    assert html.main_text('<article><div class="entry-header"><h1>Title</h1></div><p>Text of it.</p></article>') == "Title\n\nText of it."
+    assert html.main_text('<article><table><tr><td class="ad">Buy<td>Cell<tr><td>Next</table></article><div id="site-footer">F</div>') == "Cell\n\nNext"
+    assert html.main_text("<main>" + "<div>" * 3000 + "deep" + "<p>x " * 3000 + "</main>").startswith("deep\n\nx")
+
+
+def test_html_extract_of_no_pages_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text int, n_chars string")
+    assert html.extract(empty).collect() == [] and html.extract(empty).columns == ["page_id", "url", "text", "n_chars"]
+    one = spark.createDataFrame([(None, "u", "<p>a", 7, "x")], "page_id long, url string, html string, text int, n_chars string")
+    assert [tuple(r) for r in html.extract(one).collect()] == [(None, "u", "a", 1)]
+
+
 def test_html_extract_edges(spark):
     rows = [(1, "u", None), (2, None, "<p>a &unknown; b"), (2, None, "<p>a &unknown; b"), (3, "u", "<article><p>" + "é" * 9)]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
