@@ -2,29 +2,35 @@
 
 The forest is fitted on a bounded sample of the vectors (SAMPLE_ROWS, by hash) and every vector is indexed: a node splits by a
 random direction at the sample's median, and vectors within the spill margin of the split go to both sides. Vectors
-of equal label that share a leaf are compared in double precision; a pair counts at the first leaf that both share, so no
-pair is counted twice and none has to be sent anywhere. A leaf yields a row per vector: its links there, and the smallest
-vector that links inside the leaf connect it with. Equal vectors are one representative with a multiplicity.
+of equal label that share a leaf are compared in double precision, block by block; a pair counts at the first leaf that both share
+(leaves of linked vectors are looked up again in the forest), so no pair is counted twice and none has to be sent anywhere. A leaf
+yields a row per vector: its links there, and the smallest vector that links inside the leaf connect it with. Equal vectors are one
+representative with a multiplicity, so a common vector is one row.
+
+Leaves hold about LEAF_ROWS vectors up to SAMPLE_ROWS / SAMPLE_LEAF * LEAF_ROWS of them (33 million); beyond, they grow with the
+table, and so does the time of a leaf.
 
 Defined cases: a null label, and vectors that are null, empty, zero or hold null or non-finite components, link with
-nothing; vectors of different lengths never meet; a null vec_id keeps its row with no links and a null component.
+nothing; vectors of different lengths never meet; a null vec_id keeps its row with no links and a null component; rows of one vec_id count as
+one vector each time, share a component, and state the links of the row that has most; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize
 from corpusloom.llm.components import connected_components
 
-TREES = 8
-SAMPLE_ROWS = 8192
-#: Vectors of all labels that a leaf should hold; below the sample's resolution leaves grow with the table.
+TREES = 4
+SAMPLE_ROWS = 65536
+#: Vectors of all labels that a leaf should hold, and of the sample at least.
 LEAF_ROWS = 2048
-SAMPLE_LEAF = 32
+SAMPLE_LEAF = 4
 SPILL = 0.2
 _ROWS = 512
 
@@ -92,24 +98,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """Rows that can link: vec_id, label and a vector (doubles) with finite components, not all zero."""
-    v = F.col("embedding").cast("array<double>")
+    small = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    v = F.col("embedding") if small else F.col("embedding").cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.where("label is not null and embedding is not null and size(embedding) > 0").where(F.coalesce(good, F.lit(False))).select("vec_id", "label", v.alias("v"))
 
 
-def _leaf_links(group: pa.Table, threshold: float) -> pa.Table:
-    """Links inside one leaf of one label: (vec_id, links, low). Pairs that share an earlier leaf count there."""
+def _by_length(column: pa.ChunkedArray | pa.Array):
+    """(rows, unit vectors) of the lists of each length."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        part = lists if len(rows) == len(lists) else lists.take(pa.array(rows))
+        yield int(size), rows, unit(_matrix(part))
+
+
+def _leaf_links(group: pa.Table, threshold: float, forests: dict[int, Forest]) -> pa.Table:
+    """Links inside one leaf of one label: (rep, links, low). Pairs that share an earlier leaf count there."""
     leaf = group.column("leaf")[0].as_py()
-    group = group.combine_chunks()
     ids = group.column("rep").to_numpy()
     many = group.column("many").to_numpy()
-    lists = group.column("leaves").to_pylist()
-    wide = max(map(len, lists))
-    earlier = np.full((len(ids), wide), -1, np.int64)
-    for row, have in zip(earlier, lists, strict=True):
-        mine = [n for n in have if n < leaf]
-        row[: len(mine)] = mine
-    sizes = np.array([len(v) for v in group.column("v").to_pylist()])
     links = np.zeros(len(ids), np.int64)
     up = np.arange(len(ids))
 
@@ -119,24 +128,25 @@ def _leaf_links(group: pa.Table, threshold: float) -> pa.Table:
             x = up[x]
         return x
 
-    for size in np.unique(sizes):
-        rows = np.flatnonzero(sizes == size)
-        x = unit(np.array(group.column("v").take(pa.array(rows)).to_pylist(), np.float64))
+    for size, rows, x in _by_length(group.column("v")):
+        held: dict[int, frozenset] = {}
+
+        def earlier(some):
+            new = [k for k in np.unique(some).tolist() if k not in held]
+            for k, found in zip(new, forests[size].leaves(x[new]) if new else (), strict=True):  # noqa: B023
+                held[k] = frozenset(n for n in found if n < leaf)
+
         for at in range(0, len(rows), _ROWS):
-            a, b = np.nonzero(x[at : at + _ROWS] @ x.T >= threshold)
-            a += at
+            a, b = np.nonzero(x[at : at + _ROWS] @ x[at:].T >= threshold)
             keep = a < b
-            a, b = rows[a[keep]], rows[b[keep]]
-            for k in range(0, len(a), 1 << 16):
-                i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                met = np.zeros(len(i), bool)
-                for c in range(wide):
-                    own = earlier[i, c]
-                    met |= (own >= 0) & (earlier[j] == own[:, None]).any(axis=1)
-                i, j = i[~met], j[~met]
-                np.add.at(links, i, many[j])
-                np.add.at(links, j, many[i])
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = a[keep] + at, b[keep] + at
+            if len(a):
+                earlier(np.concatenate((a, b)))
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                if held[i].isdisjoint(held[j]):
+                    p, q = rows[i], rows[j]
+                    links[p] += many[q]
+                    links[q] += many[p]
                     r, s = root(p), root(q)
                     if r != s:
                         up[max(r, s)] = min(r, s)
@@ -147,38 +157,49 @@ def _leaf_links(group: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"rep": ids, "links": links, "low": lows}).filter(pa.array((links > 0) | (lows != ids)))
 
 
+class _Or(dict):
+    """Forests by length, with one for lengths that the sample lacks."""
+
+    def __init__(self, known: dict, other: Forest):
+        super().__init__(known)
+        self.other = other
+
+    def __missing__(self, _):
+        return self.other
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; recall is that of the forest, precision is exact."""
     valid = valid_vectors(vectors)
-    reps = materialize(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")))
+    reps = materialize(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")).where("rep is not null"))
     total = reps.count()
     every = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < F.lit(int(min(1.0, sample_rows / max(1, total)) * (1 << 20)))
-    sample = [r[0] for r in reps.where(every).select("v").limit(2 * sample_rows).collect()]
-    dims = {len(s) for s in sample}
-    forests = {d: Forest(unit(np.array([s for s in sample if len(s) == d])), total, trees, leaf_rows) for d in dims}
+    sample = reps.where(every).orderBy("rep", "label").select("v").limit(2 * sample_rows).toArrow().column("v")
+    forests = {d: Forest(x, total, trees, leaf_rows) for d, _, x in _by_length(sample)} if len(sample) else {}
 
     def place(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                v = part.column("v").to_pylist()
-                found = [[0]] * len(v)
-                for d, forest in forests.items():
-                    rows = [i for i, x in enumerate(v) if len(x) == d]
-                    if rows and forest.roots:
-                        for i, leaves in zip(rows, forest.leaves(unit(np.array([v[i] for i in rows]))), strict=True):
-                            found[i] = leaves
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "rep", "many", "v")), pa.array(found, pa.list_(pa.int64()))], ["label", "rep", "many", "v", "leaves"])
-
-    label_type = reps.schema["label"].dataType.simpleString()
-    placed = reps.select("label", "rep", "many", "v").mapInArrow(place, f"label {label_type}, rep long, many long, v array<double>, leaves array<long>")
-    dealt = placed.select("label", F.explode("leaves").alias("leaf"), "rep", "many", "v", "leaves")
-    found = materialize(dealt.groupBy("label", "leaf").applyInArrow(lambda t: _leaf_links(t, threshold), "rep long, links long, low long"))
+                of, leaf = [], []
+                for d, rows, x in _by_length(part.column("v")):
+                    # A length that the sample lacks has one leaf.
+                    placed = forests[d].leaves(x) if d in forests else [[0]] * len(rows)
+                    of.append(np.repeat(rows, [len(p) for p in placed]))
+                    leaf += [n for p in placed for n in p]
+                of = pa.array(np.concatenate(of) if of else np.empty(0, np.int64))
+                columns = [part.column(c).take(of) for c in ("label", "rep", "many", "v")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(leaf, pa.int64())], ["label", "rep", "many", "v", "leaf"])
+
+    label_type, v_type = (reps.schema[c].dataType.simpleString() for c in ("label", "v"))
+    placed = reps.select("label", "rep", "many", "v").mapInArrow(place, f"label {label_type}, rep long, many long, v {v_type}, leaf long")
+    none = Forest(np.empty((0, 1)), 0, 0, 1)
+    found = materialize(placed.groupBy("label", "leaf").applyInArrow(lambda t: _leaf_links(t, threshold, _Or(forests, none)), "rep long, links long, low long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("outside"))
     copies = valid.join(reps, ["label", "v"]).select("vec_id", "rep", "many")
     copies = materialize(copies.join(links, "rep", "left").select("vec_id", "rep", (F.coalesce("outside", F.lit(0)) + F.col("many") - 1).alias("n_links")))
     edges = found.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(copies.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     comp = connected_components(edges).withColumnRenamed("node", "vec_id")
-    out = vectors.select("vec_id").join(copies.select("vec_id", "n_links").distinct(), "vec_id", "left").join(comp, "vec_id", "left")
+    out = vectors.select("vec_id").join(copies.groupBy("vec_id").agg(F.max("n_links").alias("n_links")), "vec_id", "left").join(comp, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -80,6 +80,35 @@ def test_embeddings_recall_and_precision(spark):
     assert (out.kept == (out.component_id == out.index)).all()
 
 
+def test_embeddings_recall_at_the_registered_parameters(spark, tmp_path):
+    """1,500 planted pairs just above the threshold among 21,500 vectors: at least nine in ten found, none linked falsely, and exact components."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(7)
+    x = embeddings.unit(rng.standard_normal((20_000, 64)))
+    y = rng.standard_normal((1500, 64))
+    y -= (y * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    x = np.concatenate([x, 0.934 * x[:1500] + np.sqrt(1 - 0.934**2) * embeddings.unit(y)]).astype(np.float32)
+    label = np.arange(len(x)) % 3
+    label[20_000:] = label[:1500]
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "label": label.astype(np.int32), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), str(tmp_path / "v.parquet"))
+    out = embeddings.near_duplicate_vectors(spark.read.parquet(str(tmp_path))).toPandas().set_index("vec_id").sort_index()
+    assert (out.n_links[20_000:] > 0).mean() >= 0.9 and (out.n_links[1500:20_000] == 0).all()
+    found = out.index[out.n_links > 0]
+    assert all(out.component_id[i] == (i if i < 20_000 else i - 20_000) for i in found)
+
+
+def test_embeddings_of_no_rows_repeated_ids_and_clashing_columns(spark):
+    schema = "vec_id long, embedding array<double>, label string, rep string, leaf int, many int, v string"
+    assert embeddings.near_duplicate_vectors(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [2.0, 0.001], "a"), (2, [0.0, 1.0], "a"), (3, [1.0, 0.0], "b"), (None, [1.0, 0.0], "a"), (4, [1.0, 0.0, 0.0], "a")]
+    out = embeddings.near_duplicate_vectors(spark.createDataFrame([(*r, "x", 1, 1, "y") for r in rows], schema)).collect()
+    assert len(out) == len(rows)
+    by = {r.vec_id: r for r in out}
+    assert by[1].component_id == by[2].component_id == 1 and by[3].n_links == by[4].n_links == 0 and by[1].n_links >= 2 and by[None].component_id is None
+
+
 def test_queries_and_pipeline_run(spark, small):
     import corpus_pipeline
     import __spark_entry__ as entry
