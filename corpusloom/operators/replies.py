@@ -66,3 +66,9 @@ def validate_synthesis(reply: DataFrame, facts: DataFrame, most: int = 6, words:
     mine = F.array_intersect(topic_tokens(F.col("question")), F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]{3,}"), 0))
     hit = F.size(F.array_distinct(F.flatten(F.collect_list(mine).over(Window.partitionBy("qid")))))
     return x.withColumn("_h", hit).where(F.col("_h") >= least_keywords).drop("_u", "_k", "_h")
+
+
+def normalize_confidence(value: Column) -> Column:
+    """High or Medium where a reply says so in any case, else Low."""
+    s = F.lower(F.btrim(F.coalesce(value, F.lit(""))))
+    return F.when(s == "high", "High").when(s == "medium", "Medium").otherwise("Low")
