@@ -30,6 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import fresh
 from corpusloom.llm.words import as_bytes, common_runs, hash_words, member, mix, rolling, slices
 
 WINDOW = 13
@@ -204,8 +205,10 @@ def _shared(anchors: DataFrame) -> DataFrame:
 
 def _contexts(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     """(h, doc_id, at, words): the windows of each shared anchor as words from `at` on; words decided here have none."""
-    per_doc = shared.withColumn("k", F.col("at").bitwiseAND(F.lit(0x7FFF))).groupBy("doc_id", "k").agg(F.collect_list(F.struct("h", "at")).alias("spots"))
-    joined = keyed.join(per_doc, ["doc_id", "k"], "left").select("doc_id", "k", "text", "spots")
+    spots_of = fresh(keyed, "spots")
+    per_doc = shared.withColumn("k", F.col("at").bitwiseAND(F.lit(0x7FFF))).groupBy("doc_id", "k").agg(F.collect_list(F.struct("h", "at")).alias(spots_of))
+    # All columns of `keyed` go along, so that this exchange of the texts is the one that takes the spans later.
+    joined = keyed.join(per_doc, ["doc_id", "k"], "left")
 
     def run(batches):
         sent: dict[bytes, int] = {}  # contexts that this task has sent, and their smallest doc_id; bounded
@@ -213,7 +216,7 @@ def _contexts(keyed: DataFrame, shared: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], []]
             ids = part.column("doc_id").to_pylist()
             by_doc = _spread(np.array([0 if i is None else i for i in ids], np.int64)).tolist()
-            for doc_id, own, k, text, spots in zip(ids, by_doc, part.column("k").to_pylist(), as_bytes(part.column("text")), part.column("spots").to_pylist(), strict=True):
+            for doc_id, own, k, text, spots in zip(ids, by_doc, part.column("k").to_pylist(), as_bytes(part.column("text")), part.column(spots_of).to_pylist(), strict=True):
                 words = text.split() if spots else ()
                 decided = []
                 for s in spots or ():
@@ -281,9 +284,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """docs with `k` (15 bits of the text's hash, which tell rows of one doc_id apart) and `spans`: the repeated (start, size) in words, null where there are none."""
     more = [c for c in docs.columns if c not in ("doc_id", "text", "k", "spans")]
     whole = docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 15)).alias("k"), "text", *more)
-    keyed = whole.select("doc_id", "k", "text")
-    anchors = _anchors(keyed, common_runs(docs.select("doc_id", "text"), ANCHOR))
-    spans = _spans(_contexts(keyed, _shared(anchors)))
+    anchors = _anchors(whole, common_runs(docs.select("doc_id", "text"), ANCHOR))
+    spans = _spans(_contexts(whole, _shared(anchors)))
     per_doc = spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     return whole.join(per_doc, ["doc_id", "k"], "left").select("doc_id", "k", "text", *more, "spans")
 
