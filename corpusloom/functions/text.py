@@ -64,6 +64,13 @@ def clean_title(raw: Column) -> Column:
     return F.when((s == "") | s.rlike(TITLE_DROP) | (F.length(s) < 6) | (letters(s) < 4), F.lit("")).otherwise(s)
 
 
+def citation_title(metadata: Column, first_page: Column, name: Column) -> Column:
+    """The first usable of a document's own title, its first page's best line and its name without extension; else its name."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^./]*$", ""), "[_-]", " ")
+    usable = [F.nullif(clean_title(F.coalesce(x, F.lit(""))), F.lit("")) for x in (metadata, first_page, stem)]
+    return F.coalesce(*usable, name)
+
+
 def words(s: Column) -> Column:
     return F.filter(F.split(s, BLANK), lambda w: w != "")
 

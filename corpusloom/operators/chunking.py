@@ -105,6 +105,14 @@ def integrity_report(counts: DataFrame) -> DataFrame:
     )
 
 
+def validated(counts: DataFrame) -> DataFrame:
+    """integrity_report's row; no documents, or documents without chunks, end the job with an error that says how many."""
+    report = integrity_report(counts)
+    ok = F.when(F.col("total_docs") == 0, F.raise_error(F.lit("no documents expected")))
+    ok = ok.when(F.col("zero_docs") > 0, F.raise_error(F.concat(F.col("zero_docs").cast("string"), F.lit(" documents without chunks"))))
+    return report.withColumn("total_docs", ok.otherwise(F.col("total_docs")))
+
+
 def profiles(chunks: DataFrame, most: int = 500) -> DataFrame:
     """(file, authority, profile): the name and the first chunk's beginning."""
     first = F.min_by("text", F.struct("pdf_index", "seq"))

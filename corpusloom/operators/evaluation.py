@@ -78,6 +78,13 @@ def invalid_verdicts(existing: DataFrame, valid: Sequence[str] = VERDICTS) -> Da
     return existing.where(~F.coalesce(F.col("verdict").isin(*valid), F.lit(False)))
 
 
+def strict_verdicts(existing: DataFrame, valid: Sequence[str] = VERDICTS) -> DataFrame:
+    """The rows again; a verdict that is none of the valid ones ends the job with an error that names its id."""
+    v = F.lower(F.btrim(F.coalesce("verdict", F.lit(""))))
+    wrong = F.concat(F.lit("invalid verdict for id="), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    return existing.withColumn("verdict", F.when(v.isin(*valid), v).otherwise(F.raise_error(wrong)))
+
+
 def scorecard(joined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts and percentages of verdicts (id, verdict, notes), in all or by columns."""
     counts = [F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS]
@@ -91,6 +98,35 @@ def worst(joined: DataFrame, order: Sequence[Column], most: int = 10) -> DataFra
     return joined.orderBy(*order).limit(most)
 
 
+def scorecard_markdown(joined: DataFrame, stamp: str) -> DataFrame:
+    """(part, pos, line): the report of judged results (id, domain, question, verdict, notes, cited_sources, domain_used, scope_retry).
+
+    Overall figures, a row per domain in order, and the ten worst, incorrect ones first. Written in order by `sources.files.write_report`.
+    """
+    pct = lambda n: F.when(F.col("total") > 0, F.format_string("%.1f%%", 100 * n / F.col("total"))).otherwise(F.lit("0.0%"))
+    good = F.col("strong_correct") + F.col("partial")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    n = lambda c: F.col(c).cast("string")
+    counts = [text(f"- {v}: ", n(v), " (", pct(F.col(v)), ")") for v in ("strong_correct", "partial", "incorrect", "correct_refusal", "unknown")]
+    head = [F.lit(x) for x in ("# Baseline Scorecard", "", f"Generated: {stamp}", "", "## Overall metrics")]
+    rest = [text("- strong+partial % (target >= 85%): ", pct(good)), text("- strong % (target >= 75%): ", pct(F.col("strong_correct"))), text("- hallucinations count (target = 0): ", n("hallucinations"))]
+    titles = ("", "## By-domain table", "", "| domain | total | strong | partial | incorrect | correct_refusal | strong% | strong+partial% | refusal% |", "|---|---:|---:|---:|---:|---:|---:|---:|---:|")
+    lines = F.array(*head, text("- total: ", n("total")), *counts, *rest, *[F.lit(x) for x in titles])
+    overall = scorecard(joined).select(F.lit(1).alias("part"), F.posexplode(lines).alias("pos", "line"))
+    row = lambda *cells: text("| ", *[c for cell in cells for c in (cell, " | ")][:-1], " |")
+    each = row(F.col("domain"), *[n(c) for c in ("total", "strong_correct", "partial", "incorrect", "correct_refusal")], pct(F.col("strong_correct")), pct(good), pct(F.col("correct_refusal")))
+    nth = F.row_number().over(Window.orderBy("domain")) - 1  # one row per domain, already counted
+    domains = scorecard(joined.fillna("", ["domain"]), ["domain"]).select(F.lit(2).alias("part"), nth.alias("pos"), each.alias("line"))
+    spark = joined.sparkSession
+    titles = ["", "## Worst 10", "", "| id | domain | question | cited_sources | domain_filter_used | empty_scope_retry_used |", "|---|---|---|---|---|---|"]
+    above = spark.createDataFrame([(3, i, x) for i, x in enumerate(titles)], "part int, pos int, line string")
+    order = [F.when(F.col("verdict") == "incorrect", 0).otherwise(1), F.col("id").cast("string")]
+    ten = worst(joined.where("verdict in ('incorrect', 'partial')"), order)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "domain", "question", "cited_sources", "domain_used", "scope_retry")]
+    last = ten.select(F.lit(4).alias("part"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("pos"), row(*cells).alias("line"))
+    return overall.unionByName(domains).unionByName(above).unionByName(last)
+
+
 def partial_stats(partials: DataFrame, framework: Sequence[str], least: int = 2) -> DataFrame:
     """One row over partial results: counts, exact medians and the share of framework questions."""
     from corpusloom.functions import text as T

@@ -46,6 +46,13 @@ def repeated_lines(lines: DataFrame, doc: str, page: str, key: str, ratio: float
     return df.join(pages, doc).where(F.col("df") >= enough).select(doc, key, "df", "pages")
 
 
+def labels_trivial(labels: Column, pages: Column) -> Column:
+    """Whether an array of labels only numbers the pages from 1; true without labels or pages, false with fewer labels than pages."""
+    number = lambda s: F.nullif(F.regexp_extract(s, r"(?i)^\s*(?:page\s+)?0*([0-9]{1,6})\s*$", 1), F.lit("")).cast("int")
+    same = F.forall(F.transform(F.slice(labels, F.lit(1), pages), lambda s, i: F.coalesce(number(s) == i + 1, F.lit(False))), lambda x: x)
+    return F.when(labels.isNull() | (pages <= 0), F.lit(True)).when(F.size(labels) < pages, F.lit(False)).otherwise(same)
+
+
 def display_page(label: Column, index: Column) -> Column:
     """The printed label, else the page's number, else a question mark."""
     return F.coalesce(F.nullif(F.btrim(label), F.lit("")), F.when(index >= 0, (index + 1).cast("string")), F.lit("?"))

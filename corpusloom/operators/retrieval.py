@@ -286,8 +286,8 @@ def relaxed_retry(restricted: DataFrame, unrestricted: DataFrame, domains: DataF
     return merge_variants(restricted.drop("pool_rank").unionByName(extra.drop("pool_rank"), allowMissingColumns=True), cap)
 
 
-def domain_filter(pool: DataFrame, lexicon: Mapping[str, C.Lexicon], relaxed: Sequence[str] = C.RELAXED_DOMAINS, least: int = 2) -> DataFrame:
-    """pool (qid, domain, text ...) with `level`: 1 strict rows where enough survive, else 2 relaxed ones, else 0 for all rows."""
+def _levels(pool: DataFrame, lexicon: Mapping[str, C.Lexicon], relaxed: Sequence[str], least: int) -> DataFrame:
+    """pool (qid, domain, text ...) with _a and _b, whether the strict and the relaxed rule keep a row, and the `level` in force."""
     strict = loose = F.lit(False)
     for name, lex in lexicon.items():
         strong, secondary, negative = Q.lexicon_flags(F.col("text"), lex)
@@ -297,10 +297,21 @@ def domain_filter(pool: DataFrame, lexicon: Mapping[str, C.Lexicon], relaxed: Se
     x = pool.withColumn("_a", F.coalesce(strict, F.lit(False))).withColumn("_b", F.coalesce(strict | loose, F.lit(False)))
     w = Window.partitionBy("qid")
     level = F.when(F.sum(F.col("_a").cast("int")).over(w) >= least, 1).when(F.sum(F.col("_b").cast("int")).over(w) >= least, 2).otherwise(0)
-    x = x.withColumn("level", level)
+    return x.withColumn("level", level)
+
+
+def domain_filter(pool: DataFrame, lexicon: Mapping[str, C.Lexicon], relaxed: Sequence[str] = C.RELAXED_DOMAINS, least: int = 2) -> DataFrame:
+    """pool (qid, domain, text ...) with `level`: 1 strict rows where enough survive, else 2 relaxed ones, else 0 for all rows."""
+    x = _levels(pool, lexicon, relaxed, least)
     return x.where((F.col("level") == 0) | ((F.col("level") == 1) & F.col("_a")) | ((F.col("level") == 2) & F.col("_b"))).drop("_a", "_b")
 
 
+def filter_counts(pool: DataFrame, lexicon: Mapping[str, C.Lexicon], relaxed: Sequence[str] = C.RELAXED_DOMAINS, least: int = 2) -> DataFrame:
+    """(qid, level, chunks_before, after_level1, after_level2): what domain_filter does to each question's pool."""
+    x = _levels(pool, lexicon, relaxed, least)
+    return x.groupBy("qid").agg(F.max("level").alias("level"), F.count("*").alias("chunks_before"), F.count_if("_a").alias("after_level1"), F.count_if("_b").alias("after_level2"))
+
+
 def scope_retry(first: DataFrame, second: DataFrame, questions: DataFrame) -> DataFrame:
     """Rows of `first`; questions without any get those of `second` (the mixed scope), marked `retried`."""
     empty = questions.select("qid").join(first.select("qid").distinct(), "qid", "left_anti")

@@ -73,3 +73,9 @@ def route(similarity: DataFrame, overlap: DataFrame, topic_hits: DataFrame, wide
     pool = pool.withColumn("score", score)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), F.lower("doc")))
     return pool.withColumn("rank", rank).where((F.col("rank") <= most) & ((F.col("score") > 0) | (F.col("rank") == 1))).select("qid", "doc", "score", "rank")
+
+
+def path_map(files: DataFrame) -> DataFrame:
+    """(authority, name, path): of files (authority, folder, name, path) with the same authority and name, the first by folder, name and path, case aside."""
+    order = F.struct(F.lower("folder"), F.lower("name"), "path")
+    return files.groupBy("authority", "name").agg(F.min_by("path", order).alias("path"))

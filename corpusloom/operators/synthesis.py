@@ -44,27 +44,41 @@ def select_facts(facts: DataFrame, found: DataFrame, stems=C.REQUIREMENT_STEMS,
     return x.withColumn("fact_pos", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("fact_pos") <= most).drop("_req", "_d")
 
 
-def candidates(selected: DataFrame, found: DataFrame, domain_ok: Callable[[Column], Column] | None = None, most: int = 5, least_domain: int = 2) -> DataFrame:
-    """Numbered candidate sentences per question, with how many were required, in the domain, and whether the domain decided.
+def considered(selected: DataFrame, found: DataFrame, domain_ok: Callable[[Column], Column] | None = None, most: int = 5, least_domain: int = 2) -> DataFrame:
+    """The sentences that a question's candidates come from, with how many there are, were required and in the domain, and whether the domain decides.
 
     A fact gives two sentences, a lone fact three. Taking them in order stops at the first required one from the fifth on, or
-    before a fact that would begin past the fifth. Questions with a domain (column `domain`) use its sentences when two pass,
-    else all required ones; others use all.
+    before a fact that would begin past the fifth. Questions with a domain (column `domain`) use its sentences when two pass.
     """
     w = Window.partitionBy("qid")
     x = selected.withColumn("_facts", F.count("*").over(w)).join(found, ["qid", *KEY])
     x = x.where(F.col("pos") <= F.when(F.col("_facts") > 1, 2).otherwise(3))
-    order = w.orderBy("fact_pos", "pos")
-    x = x.withColumn("_i", F.row_number().over(order))
+    x = x.withColumn("_i", F.row_number().over(w.orderBy("fact_pos", "pos")))
     stop = F.min(F.when(F.col("required") & (F.col("_i") >= most), F.col("_i"))).over(w)
     first = F.min("_i").over(Window.partitionBy("qid", "fact_pos"))
     x = x.withColumn("_stop", stop).withColumn("_first", first).where((F.col("_stop").isNull() | (F.col("_i") <= F.col("_stop"))) & (F.col("_first") <= most))
     ok = domain_ok(F.col("sentence")) if domain_ok else F.lit(True)
     x = x.withColumn("_dom", F.col("required") & F.col("domain").isNotNull() & ok)
-    x = x.withColumn("n_required", F.count_if("required").over(w)).withColumn("n_domain", F.count_if("_dom").over(w))
-    x = x.withColumn("domain_used", F.col("domain").isNotNull() & (F.col("n_domain") >= least_domain))
+    x = x.withColumn("n_total", F.count("*").over(w)).withColumn("n_required", F.count_if("required").over(w)).withColumn("n_domain", F.count_if("_dom").over(w))
+    return x.withColumn("domain_used", F.col("domain").isNotNull() & (F.col("n_domain") >= least_domain))
+
+
+def domain_stats(sentences: DataFrame) -> DataFrame:
+    """(qid, n_total, n_required, n_domain, domain_used) of considered sentences."""
+    return sentences.groupBy("qid").agg(*[F.max(c).alias(c) for c in ("n_total", "n_required", "n_domain", "domain_used")])
+
+
+def candidates(selected: DataFrame, found: DataFrame, domain_ok: Callable[[Column], Column] | None = None, most: int = 5, least_domain: int = 2) -> DataFrame:
+    """Numbered candidate sentences per question among those considered: the domain's where it decides, all required ones where
+    it has too few, all where a question has no domain."""
+    return numbered(considered(selected, found, domain_ok, most, least_domain), most)
+
+
+def numbered(sentences: DataFrame, most: int = 5) -> DataFrame:
+    """The candidates among considered sentences."""
     use = F.when(F.col("domain").isNull(), F.lit(True)).when(F.col("domain_used"), F.col("_dom")).otherwise(F.col("required"))
-    x = x.where(use).withColumn("cand", F.row_number().over(order)).where(F.col("cand") <= most)
+    order = Window.partitionBy("qid").orderBy("fact_pos", "pos")
+    x = sentences.where(use).withColumn("cand", F.row_number().over(order)).where(F.col("cand") <= most)
     line = F.when(F.col("required"), F.concat(F.lit("Requirement: "), F.col("sentence"))).otherwise(F.col("sentence"))
     return x.select("qid", *KEY, "score", "cand", line.alias("line"), "n_required", "n_domain", "domain_used")
 

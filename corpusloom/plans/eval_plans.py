@@ -127,13 +127,15 @@ rr AS (SELECT cases.*, answer, n_lines AS n_citations, trim(answer) = '{REFUSAL}
 ev AS (SELECT *, list_concat(list_concat(CASE WHEN expected_not_found AND NOT refused THEN ['expected_refusal'] ELSE [] END, CASE WHEN NOT expected_not_found AND refused THEN ['unexpected_refusal'] ELSE [] END), list_concat(CASE WHEN NOT refused AND n_citations < min_citations THEN ['too_few_citations'] ELSE [] END, CASE WHEN refused THEN [] ELSE list_concat(list_transform(list_filter(must, lambda t: NOT contains(lower(answer), lower(t))), lambda t: 'missing:' || t), list_transform(list_filter(mustnot, lambda t: contains(lower(answer), lower(t))), lambda t: 'forbidden:' || t)) END)) AS reasons FROM rr)"""
 
 
-def evaluated(spark, d):
+def evaluated(spark, d, replies=None):
+    """Cases with their checks; `replies` (id, answer, n_citations) default to the answers from all facts."""
     cases = questions(spark, d).selectExpr(
         "qid as id", "qid % 5 = 0 as expected_not_found", "case qid % 3 when 0 then array('the', 'Requirement') when 1 then array('Confidence', 'zzz') else cast(array() as array<string>) end as must_include",
         "case qid % 4 when 0 then array('Tion') else cast(array() as array<string>) end as must_not_include", "case when qid % 2 = 0 then 1 else 4 end as min_citations",
     )
-    a = answers(spark, d).select(F.col("qid").alias("id"), "answer", F.col("n_lines").alias("n_citations"))
-    return V.run_eval(cases, a, REFUSAL)
+    if replies is None:
+        replies = answers(spark, d).select(F.col("qid").alias("id"), "answer", F.col("n_lines").alias("n_citations"))
+    return V.run_eval(cases, replies, REFUSAL)
 
 
 @query("run_eval", f"{_CASES} SELECT id, refused, len(reasons) = 0 AS ok, array_to_string(reasons, ';') AS reasons FROM ev")

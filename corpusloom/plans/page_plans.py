@@ -74,8 +74,10 @@ def inspect_page_labels(spark, d):
 
 @query("labels_trivial", f"WITH {_PAGES} SELECT doc_id, bool_and(coalesce(CAST(nullif(regexp_extract(label, '(?i)^\\s*(?:page\\s+)?0*([0-9]{{1,6}})\\s*$', 1), '') AS INT) = page_no + 1, false)) AS trivial FROM lab GROUP BY doc_id")
 def labels_trivial(spark, d):
-    n = F.nullif(F.regexp_extract("label", r"(?i)^\s*(?:page\s+)?0*([0-9]{1,6})\s*$", 1), F.lit("")).cast("int")
-    return labels(spark, d).groupBy("doc_id").agg(F.bool_and(F.coalesce(n == F.col("page_no") + 1, F.lit(False))).alias("trivial"))
+    rows = labels(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "label"))).alias("l"), F.max("page_no").alias("n"))
+    found = F.transform("l", lambda x: F.coalesce(x["label"], F.lit("")))
+    # A page without lines has no label: fewer labels than pages, which isn't trivial.
+    return rows.select("doc_id", P.labels_trivial(found, F.col("n") + 1).alias("trivial"))
 
 
 def blocks(spark, d):

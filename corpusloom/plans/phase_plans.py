@@ -230,17 +230,24 @@ rn AS (SELECT qid, count(*) AS n, count(DISTINCT pdf) AS nd, avg(score) AS m, st
 SELECT qid, coalesce('ANSWER:' || chr(10) || t || chr(10) || 'CONFIDENCE: ' || {_CONF}, '{S.REFUSAL}') AS answer, CAST(coalesce(n, 0) AS INT) AS n_lines, CASE WHEN n IS NOT NULL THEN {_CONF} END AS confidence, CAST(CASE WHEN n IS NULL THEN 0 ELSE n_citations END AS INT) AS n_citations, qid IN (SELECT qid FROM facts) AND qid NOT IN (SELECT qid FROM gt) AS from_all_facts FROM questions LEFT JOIN rn USING (qid) LEFT JOIN nc USING (qid)"""
 
 
-@query("answer", _FULL)
-def answer(spark, d):
-    """The whole chain: phase A's facts; those that the gate keeps, or all where it keeps none; sentences, candidates, lines,
-    answer and its citations. Questions without facts, about live data, with fewer than two lines or no citation are refused."""
+def answer_parts(spark, d):
+    """(bare, considered, lines) of the whole chain over phase A's facts: those that the gate keeps, or all of the questions in
+    `bare`, where it keeps none; questions about live data have neither sentences nor lines."""
     f = facts(spark, d)
     kept = gated(spark, d).select("qid", *E.KEY).distinct()
     bare = f.join(kept.select("qid").distinct(), "qid", "left_anti")
     source = f.join(kept, ["qid", *E.KEY], "left_semi").unionByName(bare)
     chosen = S.select_facts(source, found(spark, d), STEMS).join(domains(spark, d), "qid")
-    lines = S.choose_lines(S.candidates(chosen, found(spark, d), passes))
-    lines = lines.join(questions(spark, d).where(~Q.live_data(F.col("question"))).select("qid"), "qid", "left_semi")
+    asked = questions(spark, d).where(~Q.live_data(F.col("question"))).select("qid")
+    considered = S.considered(chosen.join(asked, "qid", "left_semi"), found(spark, d), passes)
+    return bare, considered, S.choose_lines(S.numbered(considered))
+
+
+@query("answer", _FULL)
+def answer(spark, d):
+    """The whole chain: facts, sentences, candidates, lines, answer and its citations. Questions without facts, about live data,
+    with fewer than two lines or no citation are refused."""
+    bare, _, lines = answer_parts(spark, d)
     cited = S.dedupe_citations(lines, "qid", "n", 5).groupBy("qid").agg(F.count("*").cast("int").alias("n_citations"))
     out = S.render(lines.join(cited.select("qid"), "qid", "left_semi"), questions(spark, d))
     out = out.join(cited, "qid", "left").join(bare.select("qid").distinct().withColumn("_b", F.lit(True)), "qid", "left")

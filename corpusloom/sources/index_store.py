@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +27,26 @@ def save(path: str, meta: Mapping[str, str], tables: Mapping[str, DataFrame]) ->
     spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def load_or_build(spark: SparkSession, path: str, meta: Mapping[str, str], build: Callable[[], Mapping[str, DataFrame]], force: bool = False) -> dict[str, DataFrame]:
+    """The tables at `path` where their metadata matches and every chunk_id of a table `chunks` names its row's page; else
+    build() is written there, by way of a new folder that `path`/current names, and read back."""
+    from corpusloom.operators.chunking import audit_ids
+    from corpusloom.sources.files import exists
+
+    if not force and exists(spark, f"{path}/current"):
+        where = spark.read.text(f"{path}/current").first()[0]
+        try:
+            tables = load(spark, f"{path}/{where}", meta)
+        except ValueError:
+            tables = None
+        if tables is not None and ("chunks" not in tables or audit_ids(tables["chunks"]).where("not consistent").isEmpty()):
+            return tables
+    where = uuid.uuid4().hex
+    save(f"{path}/{where}", meta, build())
+    spark.createDataFrame([(where,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    return load(spark, f"{path}/{where}", meta)
+
+
 def load(spark: SparkSession, path: str, meta: Mapping[str, str]) -> dict[str, DataFrame]:
     """The tables, or an error where the metadata differs."""
     have = {r["key"]: r["value"] for r in spark.read.schema("key string, value string").parquet(f"{path}/meta").collect()}

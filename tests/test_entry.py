@@ -22,7 +22,7 @@ def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["scan_corpus", "normalize_line", "chunk_documents", "detect_domain", "hybrid_search", "authority_balance", "answer", "validate_synthesis", "quote_dump", "run_eval"])
+@pytest.mark.parametrize("name", ["scan_corpus", "normalize_line", "chunk_documents", "detect_domain", "hybrid_search", "authority_balance", "answer", "validate_synthesis", "quote_dump", "run_eval", "file_fingerprint", "scorecard_markdown", "worst_reanswered"])
 def test_query_returns_rows(spark, small, name):
     df = QUERIES[name](spark, small)
     assert len(set(df.columns)) == len(df.columns) and df.count() > 0
