@@ -156,3 +156,35 @@ def test_pipeline_stages_by_brute_force(spark, small):
     total = sum(len(t.encode().split()) for t in want.values())
     assert abs(sum(len(r.text.encode().split()) for r in mixed.collect()) - 1.5 * total) < 30
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_chat_of_no_rows_and_clashing_columns(spark):
+    schema = "conv_id long, turn long, role string, text string, seq int, msg string, formatted string"
+    assert chat.read_back(chat.format_conversations(spark.createDataFrame([], schema))).collect() == []
+    rows = [(1, 0, "user", "hi", 9, "m", "f"), (1, 1, "assistant", None, 8, "m", "f"), (1, 1, "assistant", None, 8, "m", "f"), (2, None, None, "x" * 100_000, None, None, None)]
+    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, schema))).collect()}
+    assert [tuple(t) for t in back[1].turns] == [("user", "hi"), ("assistant", ""), ("assistant", "")]
+    assert [tuple(t) for t in back[2].turns] == [("", "x" * 100_000)] and back[2].loss_text == ""
+
+
+def test_pipeline_of_empty_and_odd_documents(spark, tmp_path):
+    """No documents give no tokens; nulls, repeated rows and columns with the operators' own names pass through all stages."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k string, spans int, score double, h long"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i : i + 30]), "en", "s", 100, "k", 1, 0.1, 2) for i in range(8)]
+    rows += [rows[0], (50, None, None, None, None, None, None, None, None), (51, "", "en", None, 0, None, None, None, None), (None, "no id at all", "en", "s", 12, None, None, None, None)]
+    for name, some in (("none", []), ("odd", rows)):
+        where = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(f"{where}/documents.parquet")
+        (labels if some else labels.limit(0)).write.parquet(f"{where}/labels.parquet")
+        out = p.run(spark, str(where))
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert some or out.collect() == []
+        out.collect()
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in p.STAGES[1:-1]:  # the classifier may well drop all of so few rows
+        kept = stage(spark, docs, "")
+        assert kept.columns == p.COLUMNS and 0 < kept.count()

@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import os
 import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, html, jaccard, media, mixing, quality, substring, warc
 from corpusloom.llm.words import hash_words
@@ -357,3 +359,46 @@ def test_media_member_is_retried(tmp_path, spark):
 
     info = zipfile.ZipFile(fs.open_input_file(span.path)).infolist()[0]
     assert media.from_wav(reader._member(Flaky(), span.path, info)).startswith(b"abc")
+
+
+def test_quality_held_out_accuracy_on_the_tables(spark):
+    """Area under the curve over the held-out labels of sf0.01, by ranks."""
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = quality.score(docs, quality.train(docs, labels)).where(quality.held_out(F.col("doc_id")))
+    rows = scored.join(labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 10 and len(bad) > 10
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) > 0.95
+
+
+def test_quality_of_no_rows_and_clashing_columns(spark):
+    schema = "doc_id long, text string, quality int, score double, x string"
+    rows = [(1, "a b", 5, 9.0, "x"), (1, "a b", 5, 9.0, "x"), (2, None, None, None, None), (3, "y" * 300_000, 1, 1.0, "z")]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    model = quality.train(docs.drop("quality"), labels)
+    out = quality.score(docs, model).collect()
+    assert sorted(r.doc_id for r in out) == [1, 1, 2, 3] and out[0].score == out[1].score
+    assert quality.score(none, quality.train(none.drop("quality"), labels)).collect() == []
+    assert quality.keep_good(docs, model, 0.0).count() == 4 and quality.keep_good(none, model).columns == none.columns
+
+
+def test_warc_of_no_pages_ties_and_clashing_columns(spark):
+    schema = "page_id long, url string, html string, record_id int, payload string, digest string, block int, made string"
+    assert warc.derivatives(warc.responses(spark.createDataFrame([], schema))).collect() == []
+    rows = [(1, "u", "<p>a</p>" * 20_000, 1, "p", "d", 1, "m"), (1, "u", "<p>a</p>" * 20_000, 1, "p", "d", 1, "m"), (None, None, "", None, None, None, None, None)]
+    out = warc.derivatives(warc.responses(spark.createDataFrame(rows, schema))).collect()
+    assert len(out) == 6 and len({tuple(r) for r in out}) == 4
+    assert {r.block for r in out if r.warc_type == "conversion"} == {"\n".join("a" * 20_000), ""}
+    odd = spark.createDataFrame([("r", "u", None, None, "x", 1, "t")], "record_id string, target_uri string, date string, http_headers string, payload string, warc_type int, title string")
+    assert {r.warc_type for r in warc.derivatives(odd).collect()} == {"metadata", "conversion"}
+
+
+def test_media_of_no_rows_and_clashing_columns(spark):
+    schema = "doc_id long, text string, media string, n_bytes string"
+    assert media.media_columns(spark.createDataFrame([], schema)).collect() == []
+    out = media.media_columns(spark.createDataFrame([(1, "a", "m", "n"), (1, "a", "m", "n"), (None, None, None, None)], schema)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in out) == [(0, 0), (1, 1), (1, 1)] and len({tuple(r) for r in out}) == 2
