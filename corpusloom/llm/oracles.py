@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import warc
+from corpusloom.llm import licenses, warc
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -60,6 +60,47 @@ c AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node)
 SELECT doc_id, n_shingles, component_id FROM n JOIN c USING (doc_id)
 """
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWER} AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL), m AS (SELECT lang, sum(c) AS m FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (coalesce(n, 0) + v) AS p
+FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)) // (any_value(m) + any_value(v)) AS q FROM c JOIN m USING (lang) JOIN v USING (lang) GROUP BY ALL),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def license_sql() -> str:
+    """The scan on the words themselves, without hashes."""
+    rows = ", ".join(f"({i}, '{label}', {str(base).lower()}, {[w.decode() for w in words]!r})" for i, (label, base, words) in enumerate(licenses.templates()))
+    grams = "unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS gram, unnest(range(0, len(ws) - 2))"
+    return rf"""
+WITH t(no, label, base, ws) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT rid, {grams} AS pos FROM d), tg AS (SELECT no, len(ws) AS size, {grams} AS spot FROM t),
+h AS (SELECT rid, no, size, pos - spot AS diag, spot FROM p JOIN tg USING (gram)),
+dg AS (SELECT rid, no, size, diag, count(*) AS n FROM h GROUP BY ALL),
+b AS (SELECT *, sum(new) OVER (PARTITION BY rid, no ORDER BY diag) AS block FROM (
+SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY rid, no ORDER BY diag) <= {licenses.MERGE} THEN 0 ELSE 1 END AS new FROM dg WHERE size >= {licenses.LONG} AND n > 1)),
+l AS (SELECT rid, no, count(DISTINCT spot + k) / any_value(h.size) AS share FROM h JOIN b USING (rid, no, diag) CROSS JOIN (VALUES (0), (1), (2)) x(k) GROUP BY rid, no, block),
+f AS (SELECT rid, no, diag, 1.0 AS share FROM dg WHERE size < {licenses.LONG} AND n = size - 2 UNION ALL SELECT rid, no, NULL, share FROM l WHERE share >= {licenses.LEAST}),
+r AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(diag) FILTER (WHERE base) AS first_word, max(diag) FILTER (WHERE base) AS last_word, max(share) AS score,
+string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE share >= {licenses.ACCEPT}) AS labels FROM f JOIN t USING (no) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN r USING (rid)
+"""
+
+
 ORACLE_SQL = {
     "op1_warc_derivatives": warc.oracle_sql(),
     "op2_chat_formatting": CHAT,
@@ -67,4 +108,6 @@ ORACLE_SQL = {
     "op4_mixing": MIXING,
     "op5_embedding_dedup": VECTORS,
     "op6_jaccard_join": JACCARD,
+    "op11_source_divergence": DIVERGENCE,
+    "op13_license_scan": license_sql(),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, embeddings, html, jaccard, media, mixing, oracles, quality, substring, warc
+from corpusloom.llm import bpe, chat, divergence, embeddings, html, jaccard, licenses, media, mixing, oracles, quality, substring, warc, whitening
 from corpusloom.llm.common import sha256, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,21 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    each = rows.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("i", "whitened"))
+    component = (F.col("i") + 1).cast("int")
+    return each.select("vec_id", component.alias("component"), "n", "deviation", "whitened", F.element_at("explained", component).alias("explained"), "identity_error")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_chat_formatting": op2_chat_formatting,
@@ -85,6 +100,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_html_extraction": op9_html_extraction,
     "op10_media_columns": op10_media_columns,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL
