@@ -81,7 +81,7 @@ def anchors(q: Column, table: Mapping[str, tuple[str, ...]] = C.TRIGGERS, terms:
     return F.array_distinct(F.flatten(F.array(*lists)))
 
 
-def domain(q: Column, lexicon: Mapping[str, C.Lexicon], priority=C.DOMAIN_PRIORITY, out_of_spec=C.OUT_OF_SPEC, apr=C.APR_PRIMARY, validation=C.VALIDATION_DOMAIN) -> Column:
+def domain(q: Column, lexicon: Mapping[str, C.Lexicon] = C.LEXICONS, priority=C.DOMAIN_PRIORITY, out_of_spec=C.OUT_OF_SPEC, apr=C.APR_PRIMARY, validation=C.VALIDATION_DOMAIN) -> Column:
     """The domain whose terms the question holds most (3 per strong, 1 per secondary), earlier ones first on ties.
 
     Out-of-specification terms settle on deviations; the review domain needs its own terms and none of those; validation

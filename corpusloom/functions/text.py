@@ -213,3 +213,19 @@ def normalize_query(q: Column) -> Column:
 
 def alnum_only(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number from 0 on with so many digits after the point, rounded as its exact binary value is, half to even.
+
+    x is split into two halves of its bits, so that its distance from the middle between two results is exact.
+    """
+    unit = 10**digits
+
+    def whole(v: Column) -> Column:
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        down = F.floor(v * float(unit))
+        past = (high * (2.0 * unit) - (2.0 * down + 1.0)) + (v - high) * (2.0 * unit)
+        return down + F.when((past > 0) | ((past == 0) & (down % 2 == 1)), 1).otherwise(0)
+
+    return let(let(x.cast("double"), whole), lambda n: F.format_string(f"%d.%0{digits}d", F.floor(n / unit), n % unit))

@@ -96,13 +96,31 @@ def audit_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("consistent", F.coalesce(page == F.greatest(F.lit(0), F.coalesce("pdf_index", "page")), F.lit(False)))
 
 
+def content_hash(lines: DataFrame) -> DataFrame:
+    """(content_hash): SHA-256 of the rows of `line` in order, a line break between them; nulls are left out.
+
+    The rows are sorted by range, in as many tasks as the sort has, and written; a digest can only be taken from first to last, so one task reads the ranges in turn
+    and hands its state on from batch to batch. It holds a batch at a time.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    def digest(batches):
+        state, first = hashlib.sha256(), True
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                state.update(line.encode() if first else b"\n" + line.encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["content_hash"])
+
+    return lines.where("line is not null").select("line").orderBy("line").coalesce(1).mapInArrow(digest, "content_hash string")
+
+
 def integrity_report(counts: DataFrame) -> DataFrame:
     """One row over (file, n): documents, chunks, documents without chunks, and a digest of the sorted counts."""
-    line = F.concat_ws(":", "file", "n")
-    return counts.agg(
-        F.count("*").alias("total_docs"), F.sum("n").alias("total_chunks"), F.count_if(F.col("n") == 0).alias("zero_docs"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("content_hash"),
-    )
+    totals = counts.agg(F.count("*").alias("total_docs"), F.sum("n").alias("total_chunks"), F.count_if(F.col("n") == 0).alias("zero_docs"))
+    return totals.crossJoin(content_hash(counts.select(F.concat_ws(":", "file", "n").alias("line"))))  # a row each
 
 
 def validated(counts: DataFrame) -> DataFrame:

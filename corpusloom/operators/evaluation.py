@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
 VERDICTS = ("unknown", "strong_correct", "partial", "incorrect", "correct_refusal")
 
 
@@ -26,18 +28,24 @@ def balance_reason(required: Column, eligible: Column, kept: Column) -> Column:
 
 
 def run_eval(cases: DataFrame, answers: DataFrame, refusal: str) -> DataFrame:
-    """cases (id, expected_not_found, must_include, must_not_include, min_citations) with outcome, reasons and ok."""
+    """cases (id, expected_not_found, must_include, must_not_include, min_citations) with refused, reasons, ok and outcome.
+
+    answers has (id, answer, n_citations) and may have `balance`, a reason of balance_reason. A case that expects a refusal
+    fails as a hallucination, one that doesn't by a refusal, its terms, too few citations or its balance.
+    """
     x = cases.join(answers, "id", "left").withColumn("answer", F.coalesce("answer", F.lit(refusal)))
     refused = F.btrim("answer") == refusal
     none = F.array().cast("array<string>")
-    reasons = F.concat(
-        F.when(F.col("expected_not_found") & ~refused, F.array(F.lit("expected_refusal"))).otherwise(none),
-        F.when(~F.col("expected_not_found") & refused, F.array(F.lit("unexpected_refusal"))).otherwise(none),
-        F.when(~refused & (F.coalesce("n_citations", F.lit(0)) < F.col("min_citations")), F.array(F.lit("too_few_citations"))).otherwise(none),
-        F.when(refused, none).otherwise(term_reasons(F.col("answer"), F.col("must_include"), F.col("must_not_include"))),
-    )
-    x = x.withColumn("refused", refused).withColumn("reasons", reasons)
-    return x.withColumn("ok", F.size("reasons") == 0)
+    cited = F.coalesce("n_citations", F.lit(0))
+    made_up = F.array(F.lit("hallucination_expected_refusal"), F.when(cited > 0, "hallucination_with_citations").otherwise("hallucination_without_citations"))
+    few = F.when(cited < F.col("min_citations"), F.array(F.lit("few_citations"))).otherwise(none)
+    lost = F.when(F.col("balance").isNotNull(), F.array("balance")).otherwise(none) if "balance" in x.columns else none
+    checks = F.concat(term_reasons(F.col("answer"), F.col("must_include"), F.col("must_not_include")), few, lost)
+    absent = F.col("expected_not_found")
+    reasons = F.when(absent & refused, none).when(absent, made_up).when(refused, F.array(F.lit("incorrect_refusal"))).otherwise(checks)
+    x = x.withColumn("refused", refused).withColumn("reasons", reasons).withColumn("ok", F.size("reasons") == 0)
+    failed = F.when(absent, "hallucination").when(refused, "incorrect_refusal").otherwise("pass")
+    return x.withColumn("outcome", F.when(F.col("ok"), F.when(absent, "correct_refusal").otherwise("answer_ok")).otherwise(failed))
 
 
 def rate(hit: Column, of: Column | None = None) -> Column:
@@ -56,6 +64,30 @@ def metrics(results: DataFrame, most_fallback: float = 0.15) -> DataFrame:
     )
 
 
+#: Fixed value: what a run says when the fallback gate fails.
+FALLBACK_ALERT = "Fallback retrieval triggered too often; check embeddings/index changes or similarity calibration."
+
+
+def result_document(results: DataFrame, integrity: DataFrame, most_fallback: float = 0.15) -> DataFrame:
+    """One row with the result document of a run, but for its cases: `index_integrity`, counts, `metrics`, `alerts` and `ci_fail`.
+
+    results are run_eval's rows with `fallback`; integrity is chunking.integrity_report's row.
+    """
+    absent, refused = F.col("expected_not_found"), F.col("refused")
+    fb = rate(F.col("fallback"), ~absent)
+    high = fb > most_fallback
+    measured = F.struct(
+        F.count_if(absent & refused).alias("correct_refusal"), F.count_if(~absent & refused).alias("incorrect_refusal"), F.count_if(absent & ~refused).alias("hallucination"),
+        F.count_if(F.col("fallback")).alias("phase_a_fallback_used_count"), rate(F.col("fallback")).alias("phase_a_fallback_used_rate"), fb.alias("fallback_used_rate_answerable"),
+    )
+    alerts = F.struct(F.lit(most_fallback).alias("fallback_used_rate_answerable_max"), high.alias("fallback_used_rate_answerable_exceeded"), F.when(high, F.lit(FALLBACK_ALERT)).otherwise(F.lit("")).alias("message"))
+    run = results.agg(
+        F.count("*").alias("count"), F.count_if("ok").alias("passed"), rate(F.col("ok")).alias("pass_rate"), measured.alias("metrics"), alerts.alias("alerts"), high.alias("ci_fail"), F.count_if(~F.col("ok")).alias("failures"),
+    )
+    checked = integrity.select(F.struct(F.col("total_docs").alias("total_documents"), "total_chunks", F.col("content_hash").alias("index_hash")).alias("index_integrity"))
+    return checked.crossJoin(run)  # a row each
+
+
 def cited_sources(citations: Column) -> Column:
     """Distinct doc:page of an array of (doc, page), in order of first appearance."""
     return F.array_join(F.array_distinct(F.transform(citations, lambda c: F.concat_ws(":", c["doc"], c["page"].cast("string")))), ";")
@@ -88,7 +120,7 @@ def strict_verdicts(existing: DataFrame, valid: Sequence[str] = VERDICTS) -> Dat
 def scorecard(joined: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts and percentages of verdicts (id, verdict, notes), in all or by columns."""
     counts = [F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS]
-    pct = lambda c: F.format_string("%.1f%%", 100 * c / F.col("total"))
+    pct = lambda c: F.concat(T.fixed(100.0 * c / F.col("total"), 1), F.lit("%"))
     x = joined.groupBy(*by).agg(F.count("*").alias("total"), *counts, F.count_if(F.lower("notes").contains("hallucination")).alias("hallucinations"))
     return x.withColumn("strong_pct", pct(F.col("strong_correct"))).withColumn("useful_pct", pct(F.col("strong_correct") + F.col("partial")))
 
@@ -103,7 +135,7 @@ def scorecard_markdown(joined: DataFrame, stamp: str) -> DataFrame:
 
     Overall figures, a row per domain in order, and the ten worst, incorrect ones first. Written in order by `sources.files.write_report`.
     """
-    pct = lambda n: F.when(F.col("total") > 0, F.format_string("%.1f%%", 100 * n / F.col("total"))).otherwise(F.lit("0.0%"))
+    pct = lambda n: F.when(F.col("total") > 0, F.concat(T.fixed(100.0 * n / F.col("total"), 1), F.lit("%"))).otherwise(F.lit("0.0%"))
     good = F.col("strong_correct") + F.col("partial")
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     n = lambda c: F.col(c).cast("string")
@@ -129,8 +161,6 @@ def scorecard_markdown(joined: DataFrame, stamp: str) -> DataFrame:
 
 def partial_stats(partials: DataFrame, framework: Sequence[str], least: int = 2) -> DataFrame:
     """One row over partial results: counts, exact medians and the share of framework questions."""
-    from corpusloom.functions import text as T
-
     asks = T.contains_any(F.lower("question"), tuple(framework))
     return partials.agg(
         F.count("*").alias("partials"), F.count_if("domain_filter_used").alias("filtered"), F.count_if(F.col("n_domain") >= least).alias("enough_domain"),

@@ -66,10 +66,22 @@ def space_counts(rows: DataFrame, key: list[str], spaces: Mapping[str, Callable[
     return x.groupBy(*key, "space", "term").agg(F.count("*").alias("tf"))
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.log((1 + n) / (1 + df)) + 1
+
+
 def space_vocabulary(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(space, term, df, idf); n_docs has one row, one column n."""
     df = tf.groupBy("space", "term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n_docs)).select("space", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.crossJoin(F.broadcast(n_docs)).select("space", "term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+
+
+def frequent(vocab: DataFrame, most: int = BROADCAST_ROWS) -> int | None:
+    """The document frequency from which on at most `most` terms remain, or None where all do."""
+    per = vocab.groupBy("df").agg(F.count("*").alias("n"))
+    over = per.select("df", F.sum("n").over(Window.orderBy(F.desc("df"))).alias("upto")).where(F.col("upto") > most)  # a row per frequency
+    highest = over.agg(F.max("df")).first()[0]
+    return None if highest is None else highest + 1
 
 
 def sized(side: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -80,7 +92,7 @@ def sized(side: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
 def vocabulary(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(term, df, idf); n_docs has one row, one column n."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.crossJoin(F.broadcast(n_docs)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def weights(tf: DataFrame, vocab: DataFrame, key: list[str]) -> DataFrame:

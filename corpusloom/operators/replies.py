@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType
 
 from corpusloom.functions import text as T
 from corpusloom.operators.evidence import topic_tokens
+from corpusloom.operators.matching import above
 
 
 def ask(rows: DataFrame, request: Callable[[str], str], prompt: str, schema: str) -> DataFrame:
@@ -38,13 +39,7 @@ def validate_facts(reply: DataFrame, source: DataFrame) -> DataFrame:
 
 @F.pandas_udf(BooleanType())
 def _dump(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
-
-    def over(x: str, y: str, t: float) -> bool:
-        m = SequenceMatcher(None, x, y)  # the quick ratios, by lengths and by letters, are upper bounds
-        return m.real_quick_ratio() > t and m.quick_ratio() > t and m.ratio() > t
-
-    return pd.Series([over(x, y, t) for x, y, t in zip(a, b, limit, strict=True)], dtype=bool)
+    return pd.Series([above(x, y, t) for x, y, t in zip(a, b, limit, strict=True)], dtype=bool)
 
 
 def is_quote_dump(a: Column, b: Column, limit: float = 0.80) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +45,7 @@ def requirement_boost(hits: Column, w: C.Weights = C.DEFAULT) -> Column:
     return F.when(hits > 0, F.least(F.lit(w.max_boost), hits * w.boost_per_hit)).otherwise(F.lit(0.0))
 
 
-def prior(q: Column, authority: Column, file: Column, text: Column, profiles: Sequence[Mapping], sop_signals=("internal sop", "our sop", "sop", "internal procedure", "work instruction"), toc: str = "table of contents") -> Column:
+def prior(q: Column, authority: Column, file: Column, text: Column, profiles: Sequence[Mapping] = C.PROFILES, sop_signals=("internal sop", "our sop", "sop", "internal procedure", "work instruction"), toc: str = "table of contents") -> Column:
     """Query-aware priors: boosts of every profile that the question's signals switch on, and small fixed ones."""
     return switched_prior(switched_on(q, profiles, sop_signals), authority, file, text, profiles, toc)
 
@@ -109,102 +108,178 @@ def score_pairs(pairs: DataFrame, word: DataFrame, char: DataFrame, overlap: Dat
     return x.withColumn("boost", requirement_boost(F.col("hits"), w)).withColumn("final", F.col("base") + F.col("boost"))
 
 
+#: The document frequency that tokens of questions count as having: more than any term.
+ASKED = 1 << 62
+
+
+def _vectors(chunks: DataFrame, spaces: Mapping, vocab: DataFrame, asked: DataFrame, kept) -> DataFrame:
+    """(KEY, word, char, terms): the lengths of each chunk's vectors over all terms, and its weights in the asked ones (space, term, tid, idf, df).
+
+    Terms are counted once. The most frequent ones, as many as may be broadcast, are weighted where they are counted; a chunk's other terms, few as most of its
+    terms are frequent, are joined with their part of the vocabulary by sorting.
+    """
+    known = vocab.join(asked.where("space <> 'token'").select("space", "term", "tid"), ["space", "term"], "left").select("space", "term", "idf", "df", "tid")
+    known = known.unionByName(asked.where("space = 'token'").select("space", "term", "idf", "df", "tid"))
+    least = I.frequent(known)
+    counted = I.space_counts(chunks.select(*KEY, "text"), KEY, {**spaces, "token": search_tokens}, "text")
+    raw = F.col("tf") * F.col("idf")
+    square = lambda space: F.coalesce(F.sum(F.when(F.col("space") == space, raw * raw)), F.lit(0.0)).alias(space)
+    mine = F.collect_list(F.when(F.col("tid").isNotNull(), F.struct("tid", F.when(F.col("space") == "token", 1.0).otherwise(raw).alias("w")))).alias("terms")
+    often = known.select("space", "term", "idf", "tid") if least is None else known.where(F.col("df") >= least).select("space", "term", "idf", "tid")
+    x = counted.join(F.broadcast(often), ["space", "term"], "inner" if least is None else "left")
+    wanted = F.col("idf").isNull() & ((F.col("space") != "token") | F.lit(least is not None and least > ASKED))
+    rest = F.collect_list(F.when(wanted, F.struct("space", "term", "tf"))).alias("rest")
+    x = x.groupBy(*KEY).agg(square("word"), square("char"), mine, *([] if least is None else [rest]))
+    if least is not None:
+        x = kept(x)
+        rare = x.select(*KEY, F.inline("rest")).join(known.where(F.col("df") < least).select("space", "term", "idf", "tid").hint("merge"), ["space", "term"])
+        rare = rare.groupBy(*KEY).agg(square("word"), square("char"), mine).select(*KEY, F.col("word").alias("_w"), F.col("char").alias("_c"), F.col("terms").alias("_t"))
+        x = x.drop("rest").join(rare, KEY, "left")
+        x = x.select(*KEY, (F.col("word") + F.coalesce("_w", F.lit(0.0))).alias("word"), (F.col("char") + F.coalesce("_c", F.lit(0.0))).alias("char"), F.concat("terms", F.coalesce("_t", F.array())).alias("terms"))
+    return x.select(*KEY, F.sqrt("word").alias("word"), F.sqrt("char").alias("char"), "terms")
+
+
 def score_reaching(
     questions: DataFrame, chunks: DataFrame, spaces: Mapping, vocab: DataFrame, least: float, parts: Column, hits: Column, broad: Column, by: Sequence[str] = ("qid",), w: C.Weights = C.DEFAULT,
-    block: int = 1024,
+    block: int = 1024, kept=None,
 ) -> DataFrame:
-    """Rows (questions' columns, KEY, authority, sim_word, sim_char, overlap, base, hits, boost, final) of every question with every chunk whose base
-    score reaches `least`.
+    """Rows (questions' columns but q_aug and bits, KEY, authority, sim_word, sim_char, overlap, base, hits, boost, final) of every question with every
+    chunk whose base score reaches `least`.
 
-    questions (by, q_aug, bits ...) are a stated set: blocks of them are collected with their term weights and sent to all chunks. spaces has the
-    term functions of `word` and `char`, vocab their (space, term, idf). A chunk's terms are weighted in one pass without a shuffle of
-    terms, cut to those asked for, and its scores with a block of questions are one sparse product, so no pair below `least` leaves its task.
+    questions (by, q_aug, bits ...) are a stated set, and chunks are many. Both become tables of blocks, a row each, and every two blocks are one
+    sparse product, so that no pair below `least` leaves its task. Chunks are counted and weighted once, whatever the number of questions, which are
+    never on the driver: their blocks are broadcast while they are few and read by every task beyond. spaces has the term functions of `word` and `char`, vocab their
+    (space, term, df, idf); kept writes a table and reads it back.
     """
-    asks = questions.withColumn("_tokens", search_tokens(F.col("q_aug"))).withColumn("_broad", broad).orderBy(*by)
-    asked = [r.asDict() for r in asks.toLocalIterator()]
-    weighted = I.space_counts(questions, [*by], spaces, "q_aug").join(vocab, ["space", "term"]).select(*by, "space", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "space")))
-    terms = weighted.select(*by, "space", "term", (F.col("w") / norm).alias("w")).toLocalIterator()
-    at = {tuple(a[c] for c in by): i for i, a in enumerate(asked)}
-    ids: dict[tuple[str, str], int] = {}
-    rows = [(ids.setdefault((r["space"], r["term"]), len(ids)), at[tuple(r[c] for c in by)], r["w"]) for r in terms]
-    rows += [(ids.setdefault(("token", t), len(ids)), i, 1.0 / len(a["_tokens"])) for i, a in enumerate(asked) for t in a["_tokens"]]
-
-    session = chunks.sparkSession
-    named = session.createDataFrame([(s, t, i) for (s, t), i in ids.items() if s != "token"], "space string, term string, tid int")
-    known = vocab.join(I.sized(named, len(ids)), ["space", "term"], "left").select("space", "term", "idf", "tid")
-    tf = I.space_counts(chunks.select(*KEY, "text"), KEY, spaces, "text").join(I.sized(known, vocab.count()), ["space", "term"])
-    raw = F.col("tf") * F.col("idf")
-    length = lambda space: F.sqrt(F.sum(F.when(F.col("space") == space, raw * raw)))
-    found = tf.groupBy(*KEY).agg(length("word").alias("word"), length("char").alias("char"), F.collect_list(F.when(F.col("tid").isNotNull(), F.struct("tid", raw.alias("w")))).alias("terms"))
-    tokens = F.array_intersect(search_tokens(F.col("text")), F.array(*[F.lit(t) for s, t in ids if s == "token"]).cast("array<string>"))
-    side = chunks.select(*KEY, "authority", parts.alias("parts"), hits.cast("int").alias("hits"), tokens.alias("tokens"))
-    x = side.join(found, KEY, "left")
-    kinds = np.array([("word", "char", "token").index(s) for s, _ in ids], np.int64)
-    tid, ask, weight = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    of_token = {t: i for (s, t), i in ids.items() if s == "token"}
-    out = None
-    for start in range(0, len(asked), block):
-        some = asked[start : start + block]
-        mine = (ask >= start) & (ask < start + block)
-        order = np.flatnonzero(mine)[np.argsort(tid[mine], kind="stable")]
-        ends = np.searchsorted(tid[order], np.arange(len(ids) + 1))
-        bits = np.array([[a["bits"] >> i & 1 for a in some] for i in range(32)], float)
-        scorer = _scorer(kinds, ends, ask[order] - start, weight[order], bits, np.array([bool(a["_broad"]) for a in some]), of_token, least, w)
-        key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*KEY, "authority").schema)
-        scored = x.mapInArrow(scorer, f"_ask int, {key}, sim_word double, sim_char double, overlap double, base double, hits int, boost double, final double")
-        names = session.createDataFrame([(i, *(a[c] for c in questions.columns)) for i, a in enumerate(some)], "_ask int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in questions.schema))
-        part = scored.join(F.broadcast(names), "_ask").drop("_ask", "bits")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _scorer(kinds, ends, ask, weight, bits, broad, of_token, least, w: C.Weights):
-    """Arrow function: scores of chunks with one block of questions, whose postings are ask and weight between a term's ends."""
     import pyarrow as pa
 
-    asks = len(broad)
-
-    def products(rows: int, row: np.ndarray, term: np.ndarray, value: np.ndarray, kind: int) -> np.ndarray:
-        many = ends[term + 1] - ends[term]
-        of = np.repeat(np.arange(len(term)), many)
-        at = ends[term][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        use = kinds[term[of]] == kind
-        of, at = of[use], at[use]
-        return np.bincount(row[of] * asks + ask[at], weights=value[of] * weight[at], minlength=rows * asks).astype(float).reshape(rows, asks)
+    if kept is None:
+        from corpusloom.sources.index_store import kept
+    asks = questions.withColumn("_broad", broad)
+    weighted = I.space_counts(questions, [*by], spaces, "q_aug").join(vocab, ["space", "term"]).select(*by, "space", "term", "idf", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "space")))
+    terms = weighted.withColumn("w", F.col("w") / norm)
+    tokens = asks.select(*by, search_tokens(F.col("q_aug")).alias("_t")).select(*by, F.lit("token").alias("space"), F.explode("_t").alias("term"), F.lit(1.0).alias("idf"), F.lit(ASKED).alias("df"), (F.lit(1.0) / F.size("_t")).alias("w"))
+    terms = kept(terms.unionByName(tokens))
+    # A term's number says its space, too.
+    kind = F.when(F.col("space") == "word", 0).when(F.col("space") == "char", 1).otherwise(2)
+    asked = kept(terms.groupBy("space", "term").agg(F.first("idf").alias("idf"), F.first("df").alias("df")).withColumn("tid", F.monotonically_increasing_id() * 4 + kind))
+    mine = terms.join(asked.select("space", "term", "tid"), ["space", "term"]).groupBy(*by).agg(F.collect_list(F.struct("tid", "w")).alias("terms"))
+    q = asks.join(mine, [*by], "left")
+    n = asks.count()
+    blocks = max(1, -(-n // block))
+    q = q.withColumn("_block", F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")).drop("q_aug")
+
+    def packed(t: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        return sink.getvalue().to_pybytes()
+
+    q_blocks = kept(q.groupBy("_block").applyInArrow(lambda t: pa.table({"no": t.column("_block").slice(0, 1), "asks": pa.array([packed(t)], pa.large_binary() if t.nbytes > 1 << 30 else pa.binary())}), "no int, asks binary"))
+    side = chunks.select(*KEY, "authority", parts.alias("parts"), hits.cast("int").alias("hits")).join(_vectors(chunks, spaces, vocab, asked, kept), KEY, "left")
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                yield pa.RecordBatch.from_arrays([pa.array([packed(pa.Table.from_batches([batch.slice(at, block)]))], pa.binary())], ["chunks"])
+
+    c_blocks = side.mapInArrow(pack, "chunks binary")
+    few = n * 4096 <= BROADCAST_BYTES
+    pairs = c_blocks.crossJoin(F.broadcast(q_blocks) if few else q_blocks)  # a row for every two blocks
+    named = [f for f in questions.schema if f.name not in ("q_aug", "bits")]
+    fields = [*named, *[chunks.schema[c] for c in (*KEY, "authority")]]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", sim_word double, sim_char double, overlap double, base double, hits int, boost double, final double"
+    return pairs.mapInArrow(_scorer([f.name for f in named], least, w), schema)
+
+
+#: Blocks of questions, at about 4 KB a question, are broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
+
+
+class _Asks:
+    """A block of questions as postings: the questions and weights of each term."""
+
+    def __init__(self, blob: bytes):
+        import pyarrow as pa
+
+        self.table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+        n = self.table.num_rows
+        row, tid, weight = _flat(self.table.column("terms"))
+        order = np.argsort(tid, kind="stable")
+        self.n, self.ask, self.weight = n, row[order], weight[order]
+        self.ids, first = np.unique(tid[order], return_index=True)
+        self.ends = np.r_[first, len(tid)]
+        bits = self.table.column("bits").to_numpy()
+        self.bits = np.array([bits >> i & 1 for i in range(32)], float)
+        self.broad = np.array([bool(x) for x in self.table.column("_broad").to_pylist()], bool)
+
+    def products(self, rows: int, row: np.ndarray, tid: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Dot products of the chunks' and the questions' vectors over the given terms."""
+        at = np.searchsorted(self.ids, tid)
+        hit = np.flatnonzero(at < len(self.ids))
+        hit = hit[self.ids[at[hit]] == tid[hit]]
+        many = self.ends[at[hit] + 1] - self.ends[at[hit]]
+        of = np.repeat(np.arange(len(hit)), many)
+        entry = self.ends[at[hit]][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        return np.bincount(row[hit][of] * self.n + self.ask[entry], weights=value[hit][of] * self.weight[entry], minlength=rows * self.n).astype(float).reshape(rows, self.n)
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tid, weight) of a column of lists of (tid, w)."""
+    import pyarrow.compute as pc
+
+    lists = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    tid, weight = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+    return np.repeat(np.arange(len(sizes)), sizes), tid.astype(np.int64), weight.astype(float)
+
+
+def _scorer(named: Sequence[str], least: float, w: C.Weights):
+    """Arrow function: the pairs of two blocks whose base score reaches `least`."""
+    import pyarrow as pa
 
     def run(batches):
+        held: dict[int, _Asks] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                n = part.num_rows
-                row, term, value = [], [], []
-                for i, found in enumerate(part.column("terms").to_pylist()):
-                    for t in found or ():
-                        row.append(i)
-                        term.append(t["tid"])
-                        value.append(t["w"])
-                row, term, value = np.array(row, np.int64), np.array(term, np.int64), np.array(value, float)
-                sims = []
-                for kind, name in enumerate(("word", "char")):
-                    length = np.array([x or 1.0 for x in part.column(name).to_pylist()])
-                    sims.append(products(n, row, term, value, kind) / length[:, None])
-                pairs = [(i, of_token[t]) for i, found in enumerate(part.column("tokens").to_pylist()) for t in found]
-                row, term = (np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-                overlap = products(n, row, term, np.ones(len(term)), 2)
-                parts = np.array(part.column("parts").to_pylist(), float)
-                prior = parts[:, :-1] @ bits[: parts.shape[1] - 1] + parts[:, -1:]
-                base = w.word * sims[0] + w.char * sims[1] + w.overlap * overlap + prior
-                i, j = np.nonzero(base >= least)
-                hits = np.where(broad[j], part.column("hits").to_numpy(zero_copy_only=False)[i], 0).astype(np.int32)
-                boost = np.where(hits > 0, np.minimum(w.max_boost, hits * w.boost_per_hit), 0.0)
-                key = [part.column(c).take(pa.array(i)) for c in (*KEY, "authority")]
-                numbers = [sims[0][i, j], sims[1][i, j], overlap[i, j], base[i, j], hits, boost, base[i, j] + boost]
-                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), *key, *map(pa.array, numbers)], ["_ask", *KEY, "authority", "sim_word", "sim_char", "overlap", "base", "hits", "boost", "final"])
+            for no, asks, blob in zip(batch.column("no").to_pylist(), batch.column("asks"), batch.column("chunks"), strict=True):
+                if no not in held:
+                    if len(held) == 4:
+                        held.pop(next(iter(held)))
+                    held[no] = _Asks(asks.as_py())
+                whole = pa.ipc.open_stream(blob.as_py()).read_all().combine_chunks()
+                for at in range(0, whole.num_rows, 128):
+                    yield from _product(held[no], whole.slice(at, 128), named, least, w)
 
     return run
 
 
+def _product(q: _Asks, part, named: Sequence[str], least: float, w: C.Weights):
+    import pyarrow as pa
+
+    n = part.num_rows
+    row, tid, value = _flat(part.column("terms"))
+    sims = []
+    for kind, name in enumerate(("word", "char")):
+        length = np.array([x or 1.0 for x in part.column(name).to_pylist()])
+        use = tid % 4 == kind
+        sims.append(q.products(n, row[use], tid[use], value[use]) / length[:, None])
+    use = tid % 4 == 2
+    overlap = q.products(n, row[use], tid[use], value[use])
+    parts = np.array(part.column("parts").to_pylist(), float)
+    prior = parts[:, :-1] @ q.bits[: parts.shape[1] - 1] + parts[:, -1:]
+    base = w.word * sims[0] + w.char * sims[1] + w.overlap * overlap + prior
+    i, j = np.nonzero(base >= least)
+    if not len(i):
+        return
+    hits = np.where(q.broad[j], part.column("hits").to_numpy()[i], 0).astype(np.int32)
+    boost = np.where(hits > 0, np.minimum(w.max_boost, hits * w.boost_per_hit), 0.0)
+    columns = [q.table.column(c).take(pa.array(j)) for c in named] + [part.column(c).take(pa.array(i)) for c in (*KEY, "authority")]
+    numbers = [sims[0][i, j], sims[1][i, j], overlap[i, j], base[i, j], hits, boost, base[i, j] + boost]
+    names = [*named, *KEY, "authority", "sim_word", "sim_char", "overlap", "base", "hits", "boost", "final"]
+    yield from pa.table([*columns, *map(pa.array, numbers)], names=names).combine_chunks().to_batches()
+
+
 def ranking(by: Sequence[str]):
     """Final score, then base score, then the key; scores count to twelve digits."""
     return Window.partitionBy(*by).orderBy(F.desc(F.round("final", 12)), F.desc(F.round("base", 12)), *KEY)
@@ -219,36 +294,31 @@ def rank(scored: DataFrame, by: Sequence[str], top_k: int, least: float | None =
 def mmr(ranked: DataFrame, postings: DataFrame, by: Sequence[str], items: int, lam: float = 0.60) -> DataFrame:
     """(by, KEY, mmr_pos): greedy choice of items by lam * final - (1 - lam) * largest cosine to those chosen.
 
-    ranked holds at most top_k rows per question with rank and final; postings (KEY, term, weight) is the word space. Only the
-    choice itself, over those few rows, is a grouped Python step.
+    ranked holds at most top_k rows per question with rank (from 1, without gaps) and final; postings (KEY, term, weight) is the word space. A
+    search's few rows are one array, and the choice is a fold over it; ties go to the smaller rank.
     """
     few = ranked.select(*by, *KEY, "rank", "final")
     terms = few.join(postings, KEY).select(*by, "rank", "term", "weight")
     other = terms.select(*by, F.col("rank").alias("other"), "term", F.col("weight").alias("w2"))
     pairs = terms.join(other, [*by, "term"]).where("rank < other").groupBy(*by, "rank", "other").agg(F.sum(F.col("weight") * F.col("w2")).alias("sim"))
-    near = pairs.groupBy(*by, "rank").agg(F.collect_list(F.struct("other", "sim")).alias("near"))
+    both = pairs.unionByName(pairs.select(*by, F.col("other").alias("rank"), F.col("rank").alias("other"), "sim"))
+    near = both.groupBy(*by, "rank").agg(F.collect_list(F.struct("other", "sim")).alias("near"))
     rows = few.join(near, [*by, "rank"], "left")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(*by, *KEY).schema) + ", mmr_pos int"
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("rank").reset_index(drop=True)
-        n = len(g)
-        at = {r: i for i, r in enumerate(g["rank"])}
-        sim = np.zeros((n, n))
-        for i, near_rows in enumerate(g["near"]):
-            for x in near_rows if near_rows is not None else ():
-                j = at[x["other"]]
-                sim[i, j] = sim[j, i] = x["sim"]
-        final = g["final"].to_numpy()
-        chosen, left = [], list(range(n))
-        while left and len(chosen) < items:
-            gain = [final[i] if not chosen else lam * final[i] - (1 - lam) * max(sim[i, j] for j in chosen) for i in left]
-            chosen.append(left.pop(int(np.argmax(np.round(gain, 12)))))
-        out = g.loc[chosen, [*by, *KEY]].copy()
-        out["mmr_pos"] = range(1, len(out) + 1)
-        return out
-
-    return rows.groupBy(*by).applyInPandas(choose, schema)
+    found = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "final", "near", F.struct(*KEY).alias("key")))).alias("found"))
+
+    def pick(chosen: Column) -> Column:
+        def gain(r: Column) -> Column:
+            sims = F.transform(F.filter(r["near"], lambda x: F.array_contains(chosen, x["other"])), lambda x: x["sim"])
+            far = lam * r["final"] - (1 - lam) * F.coalesce(F.array_max(sims), F.lit(0.0))
+            return F.round(F.when(F.size(chosen) == 0, r["final"]).otherwise(far), 12)
+
+        left = F.filter("found", lambda r: ~F.array_contains(chosen, r["rank"]))
+        return -F.array_max(F.transform(left, lambda r: F.struct(gain(r).alias("gain"), (-r["rank"]).alias("at"))))["at"]
+
+    steps = F.sequence(F.lit(1), F.least(F.lit(items), F.size("found")))
+    chosen = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, _: F.concat(acc, F.array(pick(acc))))
+    out = found.select(*by, "found", F.posexplode(chosen).alias("at", "rank")).select(*by, F.element_at("found", F.col("rank"))["key"].alias("key"), (F.col("at") + 1).alias("mmr_pos"))
+    return out.select(*by, "key.*", "mmr_pos")
 
 
 def empty_totals(questions: DataFrame, per: DataFrame, routed: DataFrame, restricted: DataFrame, eligible: DataFrame, admitted: Column) -> DataFrame:
@@ -266,11 +336,23 @@ def empty_totals(questions: DataFrame, per: DataFrame, routed: DataFrame, restri
     return x.select("qid", "total", "scope_removed", (left - kept).alias("docs_removed"), (kept - found).alias("similarity_removed"), found.alias("eligible"))
 
 
-def merge_variants(found: DataFrame, cap: int = 80) -> DataFrame:
+def merge_variants(found: DataFrame, cap: int = 80, by: Sequence[str] = ("qid",)) -> DataFrame:
     """Best row per question and chunk over all variants, the first variant on ties; at most `cap` rows per question."""
-    best = Window.partitionBy("qid", *KEY).orderBy(F.desc(F.round("final", 12)), "variant_no")
+    best = Window.partitionBy(*by, *KEY).orderBy(F.desc(F.round("final", 12)), "variant_no")
     x = found.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
-    return x.withColumn("pool_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("final", 12)), *KEY))).where(F.col("pool_rank") <= cap)
+    return x.withColumn("pool_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("final", 12)), *KEY))).where(F.col("pool_rank") <= cap)
+
+
+def pools(found: DataFrame, rules: Mapping[str, Column], postings: DataFrame, by: Sequence[str], w: C.Weights = C.DEFAULT) -> DataFrame:
+    """What every search selects of its best rows, merged over a question's forms, for several rules at once: the rows with `pool`, a rule's name.
+
+    found (by, KEY, base, final ...) holds a row once however many rules admit it; `by` ends in the form's number.
+    """
+    names = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    each = found.withColumn("pool", F.explode(names))
+    ranked = rank(each, ["pool", *by], w.pipeline_top_k)
+    chosen = mmr(ranked, postings, ["pool", *by], w.max_context, w.mmr_lambda)
+    return merge_variants(ranked.join(chosen, ["pool", *by, *KEY]), w.pool, ["pool", *by[:-1]])
 
 
 def thin(pool: DataFrame, domains: DataFrame, keys: Sequence[str], least: int = 3) -> DataFrame:
@@ -300,13 +382,13 @@ def _levels(pool: DataFrame, lexicon: Mapping[str, C.Lexicon], relaxed: Sequence
     return x.withColumn("level", level)
 
 
-def domain_filter(pool: DataFrame, lexicon: Mapping[str, C.Lexicon], relaxed: Sequence[str] = C.RELAXED_DOMAINS, least: int = 2) -> DataFrame:
+def domain_filter(pool: DataFrame, lexicon: Mapping[str, C.Lexicon] = C.LEXICONS, relaxed: Sequence[str] = C.RELAXED_DOMAINS, least: int = 2) -> DataFrame:
     """pool (qid, domain, text ...) with `level`: 1 strict rows where enough survive, else 2 relaxed ones, else 0 for all rows."""
     x = _levels(pool, lexicon, relaxed, least)
     return x.where((F.col("level") == 0) | ((F.col("level") == 1) & F.col("_a")) | ((F.col("level") == 2) & F.col("_b"))).drop("_a", "_b")
 
 
-def filter_counts(pool: DataFrame, lexicon: Mapping[str, C.Lexicon], relaxed: Sequence[str] = C.RELAXED_DOMAINS, least: int = 2) -> DataFrame:
+def filter_counts(pool: DataFrame, lexicon: Mapping[str, C.Lexicon] = C.LEXICONS, relaxed: Sequence[str] = C.RELAXED_DOMAINS, least: int = 2) -> DataFrame:
     """(qid, level, chunks_before, after_level1, after_level2): what domain_filter does to each question's pool."""
     x = _levels(pool, lexicon, relaxed, least)
     return x.groupBy("qid").agg(F.max("level").alias("level"), F.count("*").alias("chunks_before"), F.count_if("_a").alias("after_level1"), F.count_if("_b").alias("after_level2"))
@@ -338,38 +420,29 @@ def balance(pool: DataFrame, target: int = 8, w: C.Weights = C.DEFAULT) -> DataF
     """Rows of pool (qid, KEY, authority, base, final, hits) kept: up to per_authority rows of each authority whose leader
     reaches the floor, slot by slot; then refilled to `target`, with near-equal base scores ordered by requirement hits.
 
-    The refill order isn't transitive, so it is a sort with a comparator over a question's few rows.
+    The refill order isn't transitive, so a comparator can't sort by it (Java's sort may refuse to). A row's place in it is the number of rows of its question
+    that go before it, the sorted order wherever one exists; ties by score and key. A question's pool, an array here, has a cap.
     """
-    from functools import cmp_to_key
-
-    floor, slots, gap, least = w.floor_delta, w.per_authority, w.refill_gap, w.min_similarity
-    schema = pool.schema
-
-    def compare(a, b):
-        if round(abs(a.base - b.base), 12) <= gap and a.hits != b.hits:
-            return -1 if a.hits > b.hits else 1
-        for x, y in ((b.final, a.final), (b.base, a.base), ((a.file, a.pdf_index, a.chunk_id), (b.file, b.pdf_index, b.chunk_id))):
-            if x != y:
-                return -1 if x < y else 1
-        return 0
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(base=group["base"].round(12), final=group["final"].round(12))
-        g = group.assign(_s=-group["final"]).sort_values(["_s", *KEY]).drop(columns="_s").reset_index(drop=True)
-        rows = list(g.itertuples())
-        by: dict[str, list] = {}
-        for r in rows:
-            by.setdefault(r.authority, []).append(r)
-        bar = round(max(least, rows[0].base - floor), 12)
-        order = sorted((a for a in by if by[a][0].base >= bar), key=lambda a: (-by[a][0].base, a))
-        if len(order) < 2:
-            return g.head(target)
-        taken = [by[a][s].Index for s in range(slots) for a in order if s < len(by[a])][:target]
-        for r in sorted(rows, key=cmp_to_key(compare)):
-            if len(taken) >= target:
-                break
-            if r.Index not in taken:
-                taken.append(r.Index)
-        return g.loc[sorted(taken)]
-
-    return pool.groupBy("qid").applyInPandas(keep, schema)
+    mine = F.struct(*KEY, "authority", F.round("base", 12).alias("base"), F.round("final", 12).alias("final"), "hits")
+    every = pool.groupBy("qid").agg(F.collect_list(mine).alias("rows"))
+    behind = lambda r: F.struct(-r["final"], -r["base"], *[r[k] for k in KEY])
+
+    def before(s: Column, r: Column) -> Column:
+        near = (F.round(F.abs(s["base"] - r["base"]), 12) <= w.refill_gap) & (s["hits"] != r["hits"])
+        return F.when(near, s["hits"] > r["hits"]).otherwise(behind(s) < behind(r))
+
+    placed = F.transform("rows", lambda r: F.struct(r.alias("row"), F.size(F.filter("rows", lambda s: before(s, r))).alias("place")))
+    x = every.select("qid", F.inline(placed)).select("qid", "row.*", "place")
+    order = [F.desc("final"), *KEY]
+    of_question, of_authority = Window.partitionBy("qid"), Window.partitionBy("qid", "authority").orderBy(*order)
+    x = x.withColumn("_slot", F.row_number().over(of_authority)).withColumn("_lead", F.first("base").over(of_authority))
+    x = x.withColumn("_nth", F.row_number().over(of_question.orderBy(*order)))
+    bar = F.round(F.greatest(F.lit(w.min_similarity), F.first("base").over(of_question.orderBy(*order)) - w.floor_delta), 12)
+    x = x.withColumn("_able", F.round("_lead", 12) >= bar)
+    x = x.withColumn("_ables", F.size(F.collect_set(F.when(F.col("_able"), F.col("authority"))).over(of_question)))
+    seat = F.when(F.col("_able") & (F.col("_slot") <= w.per_authority), F.col("_slot"))
+    turn = F.row_number().over(of_question.orderBy(F.asc_nulls_last(seat), F.desc("_lead"), "authority"))
+    x = x.withColumn("_seated", (seat.isNotNull() & (turn <= target)).cast("int"))
+    got = F.row_number().over(of_question.orderBy(F.desc("_seated"), "place", *order))
+    x = x.withColumn("_got", F.when(F.col("_ables") < 2, F.col("_nth")).otherwise(got)).where(F.col("_got") <= target)
+    return x.select(*[F.col(f.name).cast(f.dataType) for f in pool.schema])

@@ -112,3 +112,18 @@ def dedupe_citations(citations: DataFrame, by: str, order: str, most: int) -> Da
     """The first of each cited chunk, in order, at most `most` per question, with `citation`."""
     x = citations.withColumn("_d", F.row_number().over(Window.partitionBy(by, *KEY).orderBy(order))).where("_d = 1")
     return x.withColumn("citation", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("citation") <= most).drop("_d")
+
+
+def body_lines(answer: Column) -> Column:
+    """The numbered sentences of a rendered answer without their number and source; none of a refusal."""
+    lines = F.filter(F.transform(F.split(answer, "\n"), lambda s: F.btrim(s)), lambda s: s.rlike(r"^\d+\)\s+"))
+    bare = F.transform(lines, lambda s: F.btrim(F.regexp_replace(F.btrim(F.regexp_replace(s, r"^\d+\)\s*", "")), r"\s+\([^)]+\)\s*$", "")))
+    return F.when(answer.startswith("ANSWER:"), bare).otherwise(F.array().cast("array<string>"))
+
+
+def cited_sentences(answers: DataFrame, cited: DataFrame, by: str = "qid") -> DataFrame:
+    """cited (by, citation ...) with `sentence`, the rendered line in the citation's place. Where a repeated citation was dropped, later lines
+    stand beside the citation that moved up, and a citation past the last line has an empty sentence; refusals have no rows."""
+    lines = answers.select(by, body_lines(F.col("answer")).alias("_l"), F.col("answer").startswith("ANSWER:").alias("_said")).where("_said").drop("_said")
+    x = cited.join(lines, by)
+    return x.withColumn("sentence", F.coalesce(F.get("_l", F.col("citation") - 1), F.lit(""))).drop("_l")

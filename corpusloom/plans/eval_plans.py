@@ -122,9 +122,19 @@ def short_sources(spark, d):
 
 _MUST = "CASE qid % 3 WHEN 0 THEN ['the', 'Requirement'] WHEN 1 THEN ['Confidence', 'zzz'] ELSE CAST([] AS VARCHAR[]) END"
 _NOT = "CASE qid % 4 WHEN 0 THEN ['Tion'] ELSE CAST([] AS VARCHAR[]) END"
+
+
+def s_reasons(cited: str) -> str:
+    """The reasons against a case; columns answer, refused, expected_not_found, must, mustnot and min_citations."""
+    terms = "list_transform(list_filter(must, lambda t: NOT contains(lower(answer), lower(t))), lambda t: 'missing:' || t) || list_transform(list_filter(mustnot, lambda t: contains(lower(answer), lower(t))), lambda t: 'forbidden:' || t)"
+    made_up = f"['hallucination_expected_refusal', CASE WHEN {cited} > 0 THEN 'hallucination_with_citations' ELSE 'hallucination_without_citations' END]"
+    few = f"CASE WHEN {cited} < min_citations THEN ['few_citations'] ELSE CAST([] AS VARCHAR[]) END"
+    return f"CASE WHEN expected_not_found AND refused THEN CAST([] AS VARCHAR[]) WHEN expected_not_found THEN {made_up} WHEN refused THEN ['incorrect_refusal'] ELSE {terms} || {few} END"
+
+
 _CASES = f"""{_ANSWER}, cases AS (SELECT qid AS id, qid % 5 = 0 AS expected_not_found, {_MUST} AS must, {_NOT} AS mustnot, CASE WHEN qid % 2 = 0 THEN 1 ELSE 4 END AS min_citations FROM questions),
 rr AS (SELECT cases.*, answer, n_lines AS n_citations, trim(answer) = '{REFUSAL}' AS refused FROM cases JOIN ans ON ans.qid = cases.id),
-ev AS (SELECT *, list_concat(list_concat(CASE WHEN expected_not_found AND NOT refused THEN ['expected_refusal'] ELSE [] END, CASE WHEN NOT expected_not_found AND refused THEN ['unexpected_refusal'] ELSE [] END), list_concat(CASE WHEN NOT refused AND n_citations < min_citations THEN ['too_few_citations'] ELSE [] END, CASE WHEN refused THEN [] ELSE list_concat(list_transform(list_filter(must, lambda t: NOT contains(lower(answer), lower(t))), lambda t: 'missing:' || t), list_transform(list_filter(mustnot, lambda t: contains(lower(answer), lower(t))), lambda t: 'forbidden:' || t)) END)) AS reasons FROM rr)"""
+ev AS (SELECT *, {s_reasons('n_citations')} AS reasons FROM rr)"""
 
 
 def evaluated(spark, d, replies=None):
@@ -138,9 +148,12 @@ def evaluated(spark, d, replies=None):
     return V.run_eval(cases, replies, REFUSAL)
 
 
-@query("run_eval", f"{_CASES} SELECT id, refused, len(reasons) = 0 AS ok, array_to_string(reasons, ';') AS reasons FROM ev")
+_OUTCOME = "CASE WHEN len(reasons) = 0 THEN CASE WHEN expected_not_found THEN 'correct_refusal' ELSE 'answer_ok' END WHEN expected_not_found THEN 'hallucination' WHEN refused THEN 'incorrect_refusal' ELSE 'pass' END"
+
+
+@query("run_eval", f"{_CASES} SELECT id, refused, len(reasons) = 0 AS ok, {_OUTCOME} AS outcome, array_to_string(reasons, ';') AS reasons FROM ev")
 def run_eval(spark, d):
-    return evaluated(spark, d).select("id", "refused", "ok", F.array_join("reasons", ";").alias("reasons"))
+    return evaluated(spark, d).select("id", "refused", "ok", "outcome", F.array_join("reasons", ";").alias("reasons"))
 
 
 @query("term_checks", f"{_CASES} SELECT id, array_to_string(list_concat(list_transform(list_filter(must, lambda t: NOT contains(lower(answer), lower(t))), lambda t: 'missing:' || t), list_transform(list_filter(mustnot, lambda t: contains(lower(answer), lower(t))), lambda t: 'forbidden:' || t)), ';') AS reasons FROM ev")
@@ -155,15 +168,6 @@ def eval_metrics(spark, d):
     return V.metrics(evaluated(spark, d).join(used, "id", "left").withColumn("fallback", F.coalesce("fallback", F.lit(False))))
 
 
-@query("failure_artifacts", f"{_CASES} SELECT id, 'failed_' || regexp_replace(CAST(id AS VARCHAR) || ' / q', '[^A-Za-z0-9._-]+', '_', 'g') AS file, len(reasons) AS n_reasons, reasons[1] AS first_reason FROM ev WHERE len(reasons) > 0")
-def failure_artifacts(spark, d):
-    x = evaluated(spark, d).where("not ok")
-    art = x.withColumn("artifact", F.to_json(F.struct("id", "answer", "reasons")))
-    name = F.concat(F.lit("failed_"), V.safe_id(F.concat(F.col("id").cast("string"), F.lit(" / q"))))
-    kept = F.from_json("artifact", "id long, answer string, reasons array<string>")["reasons"]
-    return art.select("id", name.alias("file"), F.size(kept).alias("n_reasons"), kept[0].alias("first_reason"))
-
-
 @query("balance_gate", f"""{_BALANCE}, sl AS ({_SLOTS}), b AS (SELECT qid, ['EU_GMP', 'FDA'] AS required, coalesce((SELECT list(authority) FROM sl WHERE sl.qid = questions.qid AND eligible), []) AS eligible, coalesce((SELECT list(DISTINCT authority) FROM bal WHERE bal.qid = questions.qid), []) AS kept FROM questions)
 SELECT qid, CASE WHEN len(list_filter(required, lambda r: NOT list_contains(eligible, r))) = 0 AND len(list_filter(required, lambda r: NOT list_contains(kept, r))) > 0 THEN 'phase_a_balance_missing:' || array_to_string(list_sort(list_filter(required, lambda r: NOT list_contains(kept, r))), ',') END AS reason FROM b""")
 def balance_gate(spark, d):

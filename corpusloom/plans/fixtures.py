@@ -1,7 +1,7 @@
 """How the query catalogue reads the test tables: lines, pages, chunks and questions, in Spark and in DuckDB SQL.
 
-A document is a file `doc_<id>`; its source gives its authority; five lines make a page; a benchmark passage's first twelve
-words are a question. Term lists are chosen from words that occur in the tables.
+A document is a file `doc_<id>`; its source gives its authority; five lines make a page; a whole benchmark passage is a
+question. Term lists are chosen from words that occur in the tables.
 """
 
 from __future__ import annotations
@@ -44,14 +44,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, file, authority, line_no, page_no, line)."""
+    return line_rows(documents(spark, sf_dir))
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
     split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return documents(spark, sf_dir).select("doc_id", "file", "authority", split).withColumn("page_no", F.floor(F.col("line_no") / PAGE_LINES).cast("int"))
+    return docs.select("doc_id", "file", "authority", split).withColumn("page_no", F.floor(F.col("line_no") / PAGE_LINES).cast("int"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, question)."""
-    first = F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 12), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), first.alias("question"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.regexp_replace("text", r"\s+", " ").alias("question"))
 
 
 def sql_list(values) -> str:
@@ -64,7 +67,7 @@ def quoted(s: str) -> str:
 
 DOCS_SQL = f"docs AS (SELECT *, 'doc_' || doc_id AS file, {sql_list(C.AUTHORITIES)}[1 + CAST(substr(source, 4) AS INT) % {len(C.AUTHORITIES)}] AS authority FROM documents)"
 LINES_SQL = f"{DOCS_SQL}, lines AS (SELECT *, CAST(line_no // {PAGE_LINES} AS INT) AS page_no FROM (SELECT doc_id, file, authority, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS line_no FROM docs))"
-QUESTIONS_SQL = r"questions AS (SELECT item_id AS qid, array_to_string(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')[1:12], ' ') AS question FROM benchmark)"
+QUESTIONS_SQL = r"questions AS (SELECT item_id AS qid, regexp_replace(text, '\s+', ' ', 'g') AS question FROM benchmark)"
 
 
 _STORED: dict[tuple, str] = {}

@@ -215,9 +215,9 @@ def dedupe_citations(spark, d):
     return S.dedupe_citations(lines_chosen(spark, d), "qid", "n", 5).select("qid", "pdf", "chunk_id", "citation")
 
 
-@query("format_facts", f"{_FACTS} SELECT qid, string_agg('- ' || {s_clean('quote')} || ' (' || pdf || ' | ' || (pdf_index + 1) || ' | ' || chunk_id || ') score=' || printf('%.4f', CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS DOUBLE)), chr(10) ORDER BY {_ORD}) AS facts FROM facts GROUP BY qid")
+@query("format_facts", f"{_FACTS} SELECT qid, string_agg('- ' || {s_clean('quote')} || ' (' || pdf || ' | ' || (pdf_index + 1) || ' | ' || chunk_id || ') score=' || printf('%.4f', score), chr(10) ORDER BY {_ORD}) AS facts FROM facts GROUP BY qid")
 def format_facts(spark, d):
-    line = F.format_string("- %s (%s | %s | %s) score=%.4f", T.clean_text(F.col("quote")), "pdf", (F.col("pdf_index") + 1).cast("string"), "chunk_id", "score")
+    line = F.format_string("- %s (%s | %s | %s) score=%s", T.clean_text(F.col("quote")), "pdf", (F.col("pdf_index") + 1).cast("string"), "chunk_id", T.fixed(F.col("score"), 4))
     rows = facts(spark, d).select("qid", F.struct(*[(-F.col("score")).alias("s"), *[F.col(k) for k in E.KEY]], line.alias("line")).alias("r"))
     return rows.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("r"))["line"], "\n").alias("facts"))
 

@@ -11,7 +11,7 @@ from corpusloom.operators import evaluation as V
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import routing as G
 from corpusloom.operators import synthesis as S
-from corpusloom.plans.eval_plans import _MUST, _NOT, evaluated
+from corpusloom.plans.eval_plans import _MUST, _NOT, evaluated, s_reasons
 from corpusloom.plans.fixtures import LEXICON, LINES_SQL, PREFIXES, QUESTIONS_SQL, documents, lines, questions, stored, table
 from corpusloom.plans.page_plans import _INTEGRITY, chunk_counts
 from corpusloom.plans.phase_plans import _FULL, _LIVE, answer, answer_parts
@@ -105,8 +105,8 @@ def baseline_cases(spark, d):
 
 # Verdicts of the cases follow from their checks: what is right as expected, refused wrongly, or answered in part.
 _VERDICTS = f"""{_RUN}, cases AS (SELECT qid AS id, qid % 5 = 0 AS expected_not_found, {_MUST} AS must, {_NOT} AS mustnot, CASE WHEN qid % 2 = 0 THEN 1 ELSE 4 END AS min_citations FROM questions),
-cx AS (SELECT id, answer, refusal, (CASE WHEN refusal <> expected_not_found THEN [CASE WHEN refusal THEN 'unexpected_refusal' ELSE 'expected_refusal' END] ELSE [] END) || (CASE WHEN NOT refusal AND citations_count < min_citations THEN ['too_few_citations'] ELSE [] END) || (CASE WHEN refusal THEN [] ELSE list_transform(list_filter(must, lambda t: NOT contains(lower(answer), lower(t))), lambda t: 'missing:' || t) || list_transform(list_filter(mustnot, lambda t: contains(lower(answer), lower(t))), lambda t: 'forbidden:' || t) END) AS reasons FROM br JOIN cases USING (id) JOIN an ON an.qid = id),
-vd AS MATERIALIZED (SELECT id, CASE WHEN len(reasons) = 0 AND refusal THEN 'correct_refusal' WHEN len(reasons) = 0 THEN 'strong_correct' WHEN refusal THEN 'incorrect' ELSE 'partial' END AS verdict, array_to_string(reasons, ';') AS notes FROM cx)"""
+cx AS (SELECT *, {s_reasons('citations_count')} AS reasons FROM (SELECT cases.*, answer, refusal AS refused, citations_count FROM br JOIN cases USING (id) JOIN an ON an.qid = id)),
+vd AS MATERIALIZED (SELECT id, CASE WHEN len(reasons) = 0 AND refused THEN 'correct_refusal' WHEN len(reasons) = 0 THEN 'strong_correct' WHEN refused THEN 'incorrect' ELSE 'partial' END AS verdict, array_to_string(reasons, ';') AS notes FROM cx)"""
 
 
 def case_verdicts(spark, d):

@@ -10,6 +10,7 @@ from corpusloom.functions import query as Q
 from corpusloom.operators import index as I
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import routing as G
+from corpusloom.operators import upkeep as U
 from corpusloom.plans.fixtures import LEXICON, QUESTIONS_SQL, SIGNALS, STOP_WORDS, questions, quoted, sql_list, stored
 from corpusloom.operators import chunking as K
 from corpusloom.functions import text as T
@@ -168,7 +169,7 @@ def vocabulary(spark, d):
 def build_scored(spark, d):
     q = asks(spark, d).withColumn("bits", R.switched_on(F.col("q_aug"), PROFILES, SOP_SIGNALS))
     parts = R.prior_parts(F.col("authority"), F.col("file"), F.col("text"), PROFILES, TOC)
-    x = R.score_reaching(q, chunks(spark, d), SPACES, vocabulary(spark, d).select("space", "term", "idf"), LEAST, parts, R.requirement_hits(F.col("text"), SIGNALS), broad(F.col("q_aug")), VARIANT)
+    x = R.score_reaching(q, chunks(spark, d), SPACES, vocabulary(spark, d), LEAST, parts, R.requirement_hits(F.col("text"), SIGNALS), broad(F.col("q_aug")), VARIANT)
     return x.withColumn("admitted", R.in_scope(F.col("scope"), F.col("authority")))
 
 
@@ -201,8 +202,9 @@ def tfidf_postings(spark, d):
     return I.weights(tf, I.vocabulary(tf, c.agg(F.count("*").alias("n"))), R.KEY).select("file", "chunk_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("index_roundtrip", f"{_BASE}, {_WORD} SELECT 'chunks' AS name, count(*) AS n FROM chunks UNION ALL SELECT 'postings', count(*) FROM w_tf UNION ALL SELECT 'vocabulary', count(*) FROM w_v")
+@query("index_roundtrip", f"{_BASE}, {_WORD} SELECT file, pdf_index, chunk_id, term, tf, df, round(idf, 6) AS idf, text FROM w_tf JOIN w_v USING (term) JOIN (SELECT file, pdf_index, chunk_id, text FROM chunks) USING (file, pdf_index, chunk_id)")
 def index_roundtrip(spark, d):
+    """The rows of an index's three tables, joined after they were saved and loaded."""
     from corpusloom.sources import index_store
 
     c = chunks(spark, d)
@@ -210,9 +212,68 @@ def index_roundtrip(spark, d):
     meta = {"version": "1", "chunk_chars": "1000"}
     path = index_store.scratch(spark)
     index_store.save(path, meta, {"chunks": c, "postings": tf, "vocabulary": I.vocabulary(tf, c.agg(F.count("*").alias("n")))})
-    tables = index_store.load(spark, path, meta)
-    parts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in tables.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    t = index_store.load(spark, path, meta)
+    x = t["postings"].join(t["vocabulary"], "term").join(t["chunks"].select(*R.KEY, "text"), R.KEY)
+    return x.select(*R.KEY, "term", "tf", "df", F.round("idf", 6).alias("idf"), "text")
+
+
+def older(spark, d):
+    """An older state of the corpus: every third document without its last line, some not yet there, and one beside every fifth that is no longer."""
+    from corpusloom.plans.fixtures import documents
+
+    x = documents(spark, d)
+    cut = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\n?[^\n]*\z", "")).otherwise(F.col("text"))
+    kept = x.where("doc_id % 7 <> 3 or doc_id is null").withColumn("text", cut)
+    gone = x.where("doc_id % 5 = 0").withColumn("doc_id", -1 - F.col("doc_id")).withColumn("file", F.concat(F.lit("old_"), F.col("file")))
+    return kept.unionByName(gone)
+
+
+def upkeep_files(docs):
+    return U.manifest(docs, "text", "authority")
+
+
+def _chunks_of(docs):
+    """Chunks of some documents, as chunk_table makes them of all."""
+    from corpusloom.plans.fixtures import PREFIXES, line_rows
+
+    blocks = K.build_blocks(line_rows(docs), ["doc_id", "page_no"], "line_no", PREFIXES)
+    return K.chunk(blocks, ["doc_id", "page_no"], 1000, 220).join(docs.select("doc_id", "file", "authority"), "doc_id")
+
+
+@query("index_changes", r"SELECT file, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' WHEN o = n THEN 'same' ELSE 'changed' END AS status FROM (SELECT 'doc_' || doc_id AS file, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '\n?[^\n]*\z', '') ELSE text END AS o FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT 'old_doc_' || doc_id, text FROM documents WHERE doc_id % 5 = 0) FULL JOIN (SELECT 'doc_' || doc_id AS file, text AS n FROM documents) USING (file)")
+def index_changes(spark, d):
+    from corpusloom.plans.fixtures import documents
+
+    return U.changes(upkeep_files(older(spark, d)), upkeep_files(documents(spark, d)))
+
+
+def refreshed(spark, d):
+    """The older state's index, saved, loaded and brought up to date."""
+    from corpusloom.plans.fixtures import documents
+    from corpusloom.sources import index_store
+
+    now = documents(spark, d)
+    before = older(spark, d)
+
+    def build():
+        c = _chunks_of(before)
+        tf = I.space_counts(c.select(*R.KEY, "text"), R.KEY, {"word": SPACES["word"]}, "text")
+        return {"chunks": c, "postings": tf, "vocabulary": I.space_vocabulary(tf, c.agg(F.count("*").alias("n"))), "manifest": upkeep_files(before)}
+
+    path, meta = index_store.scratch(spark), {"version": "1", "spaces": "word"}
+    old = index_store.load_or_build(spark, path, meta, build)
+    new = upkeep_files(now)
+    changed = U.changes(old["manifest"], new)
+    tables = U.refresh(old, changed, lambda files: _chunks_of(now.join(files, "file", "left_semi")), {"word": SPACES["word"]})
+    return index_store.load_or_build(spark, path, meta, lambda: tables | {"manifest": new}, force=True)
+
+
+@query("index_refresh", f"{_BASE}, {_WORD} SELECT file, pdf_index, chunk_id, term, tf, df, round(idf, 6) AS idf, text FROM w_tf JOIN w_v USING (term) JOIN (SELECT file, pdf_index, chunk_id, text FROM chunks) USING (file, pdf_index, chunk_id)")
+def index_refresh(spark, d):
+    """The rows of the three tables of an older index brought up to date: those of a fresh one."""
+    t = refreshed(spark, d)
+    x = t["postings"].join(t["vocabulary"], ["space", "term"]).join(t["chunks"].select(*R.KEY, "text"), R.KEY)
+    return x.select(*R.KEY, "term", "tf", "df", F.round("idf", 6).alias("idf"), "text")
 
 
 @query("cosine_word", f"{_BASE}, {_WORD} SELECT qid, file, chunk_id, round(sim, 6) AS sim FROM w_s WHERE variant_no = 0")
@@ -390,21 +451,26 @@ def searched(spark, d):
     return x.join(F.broadcast(mine.select("qid").distinct().withColumn("_r", F.lit(True))), "qid", "left").withColumn("allowed", F.col("_a").isNotNull() | F.col("_r").isNull()).drop("_a", "_r")
 
 
-def pool_of(spark, d, found, least=DEFAULT.min_similarity):
-    """What each search selects of its best rows, merged."""
-    r = R.rank(found, VARIANT, DEFAULT.pipeline_top_k, least)
-    chosen = R.mmr(r, stored(spark, d, "postings", build_postings), VARIANT, DEFAULT.max_context, DEFAULT.mmr_lambda)
-    return R.merge_variants(r.join(chosen, [*VARIANT, *R.KEY]), DEFAULT.pool)
+def all_pools(spark, d):
+    """The pools of all four kinds of search, with `pool`."""
+    reached, lower = F.col("base") >= DEFAULT.min_similarity, F.col("base") >= DEFAULT.fallback_similarity
+    within = F.col("admitted") & F.col("allowed")
+    rules = {"routed": within & reached, "open": F.col("admitted") & reached, "mixed": reached, "fallback": within & lower}
+    return stored(spark, d, "pools", lambda spark, d: R.pools(searched(spark, d), rules, stored(spark, d, "postings", build_postings), VARIANT))
+
+
+def pool_of(spark, d, name):
+    return all_pools(spark, d).where(F.col("pool") == name).drop("pool")
 
 
 def pool(spark, d):
-    return stored(spark, d, "pool", lambda spark, d: pool_of(spark, d, searched(spark, d).where("admitted and allowed")))
+    return pool_of(spark, d, "routed")
 
 
 def retried(spark, d):
     """The pool, joined by unrestricted rows where it is thin and the domain calls for it."""
     cols = [*VARIANT, *R.KEY, "authority", "base", "hits", "final"]
-    build = lambda spark, d: R.relaxed_retry(pool(spark, d).select(cols), pool_of(spark, d, searched(spark, d).where("admitted")).select(cols), domains(spark, d), RETRIED)
+    build = lambda spark, d: R.relaxed_retry(pool(spark, d).select(cols), pool_of(spark, d, "open").select(cols), domains(spark, d), RETRIED)
     return stored(spark, d, "retried", build)
 
 
@@ -457,7 +523,7 @@ _MIXED = f"{_NARROW}, {s_pool('mi', 'true', 0.2)}, {s_narrowed('d2', 'mi')}, sr
 
 def mixed(spark, d):
     def build(spark, d):
-        return R.scope_retry(narrowed(spark, d, retried(spark, d)), narrowed(spark, d, pool_of(spark, d, searched(spark, d))), questions(spark, d))
+        return R.scope_retry(narrowed(spark, d, retried(spark, d)), narrowed(spark, d, pool_of(spark, d, "mixed")), questions(spark, d))
 
     return stored(spark, d, "mixed", build)
 
@@ -476,7 +542,7 @@ def fallbacks(spark, d):
     """(rows, first): what searches with the lower threshold give, and each question's first of them with `accepted`."""
     from pyspark.sql import Window
 
-    rows = narrowed(spark, d, pool_of(spark, d, searched(spark, d).where("admitted and allowed"), DEFAULT.fallback_similarity))
+    rows = narrowed(spark, d, pool_of(spark, d, "fallback"))
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("pool_rank"))).where("k = 1").drop("k")
     first = first.join(questions(spark, d), "qid").withColumn("accepted", (F.col("final") >= DEFAULT.fallback_similarity) & R.fallback_match(F.col("question"), F.col("file")))
     return rows, first

@@ -18,6 +18,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written under a new folder and read back from there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(path: str, meta: Mapping[str, str], tables: Mapping[str, DataFrame]) -> None:
     """Write all tables, then the metadata, so that an unfinished index never loads."""
     for name, df in tables.items():
