@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, n_words
+from corpusloom.llm.common import fresh, materialize, n_words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Rows that one interval of the key range holds on average.
@@ -94,15 +94,19 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
 def mix(docs: DataFrame, **plan) -> DataFrame:
     """The mixed rows: each document as often as whole passes take it, and its first words where a pass ends inside it.
 
-    All columns are kept; `text` is cut and `n_chars`, where there is one, follows it. Documents of no words are left out.
+    All columns are kept; `text` is cut and `n_chars`, where there is one, follows it. Documents of no words are left out. Rows of one doc_id, source and
+    size are planned alike, so each gives as many words; rows of one doc_id and other sizes are planned on their own.
     """
-    taken = plan_mix(docs, **plan).groupBy("doc_id", "source").agg(F.min("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    d, t = docs.alias("d"), taken.alias("t")
-    joined = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")))
-    rows = joined.select("d.*", "_taken", "_size").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
+    passes, size, words_taken = (fresh(docs, c) for c in ("pass", "size", "taken"))
+    key = [F.col("doc_id"), F.col("source"), F.col("size").alias(size)]
+    taken = plan_mix(docs, **plan).groupBy(*key).agg(F.max("taken").alias(words_taken)).where(F.col(words_taken) > 0)
+    d, t = docs.withColumn(size, n_words(F.col("text"))).alias("d"), taken.alias("t")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source")]
+    joined = d.join(t, same[0] & same[1] & (F.col(f"d.{size}") == F.col(f"t.{size}")))
+    rows = joined.select("d.*", words_taken).withColumn(passes, F.explode(F.sequence(F.lit(1), F.ceil(F.col(words_taken) / F.col(size)).cast("int"))))
+    left = F.col(words_taken) - (F.col(passes) - 1) * F.col(size)
     words = F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), left.cast("int"))
-    cut = left < F.col("_size")
+    cut = left < F.col(size)
     rows = rows.withColumn("text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))

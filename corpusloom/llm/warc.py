@@ -5,8 +5,10 @@ A response record is a row: record_id, target_uri, date, http_headers and payloa
 the response's identifier in WARC-Refers-To, its target and date, and the digest of its payload, and carry the digest of
 their own block. Identifiers are derived from the response's, so reruns give the same records.
 
-Defined cases: a null payload is empty and converts to an empty text; a null target or date leaves its header out; pages without a
-title have an empty one; repeated responses give repeated records.
+Defined cases: a null payload is empty and converts to an empty text; a null target or date leaves its header out, and a null is told from an empty
+value in identifiers; line breaks in a target are percent-encoded in headers; a `<` that begins no tag is text, and a script, style, title or comment that isn't closed
+ends with the page; pages without a title have an empty one; repeated responses give repeated records; very long payloads are read whole; an empty table gives no
+rows; columns but those named are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from corpusloom.llm.common import sha256
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 #: Expressions that Java's engine and RE2 read alike.
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<!--.*?-->"
+HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<title\b.*?(?:</title\s*>|\z)|<!--.*?(?:-->|\z)"
 BLOCK = r"(?i)</?(p|div|h[1-6]|li|ul|ol|dl|dt|dd|table|tr|td|th|section|article|main|header|footer|nav|aside|form|blockquote|pre|figure|figcaption|br|hr)\b[^>]*>"
-TAG = r"<[^>]*(>|$)"
+TAG = r"</?[A-Za-z][^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)"
 BLANK = "[ \\t\\r\\f\\x0B ]+"
 BREAK = r"[ \n]*\n[ \n]*"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
@@ -59,7 +61,7 @@ def plain_text(page: Column) -> Column:
 
 def urn(*parts: Column) -> Column:
     """A record identifier from the digest of its parts."""
-    h = F.md5(F.concat_ws("|", *parts))
+    h = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), p), F.lit("-")) for p in parts]))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -82,6 +84,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     payload = F.coalesce("payload", F.lit(""))
     src = records.withColumn("payload", payload).withColumn("digest", _labelled(payload))
     title = F.btrim(F.regexp_replace(_decoded(F.regexp_extract("payload", TITLE, 1)), "[ \\t\\r\\n\\f\\x0B]+", " "), F.lit(" "))
+    flat = lambda value: F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     fields = F.concat(
         line("title", title),
@@ -100,7 +103,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     maybe = lambda name, value: F.coalesce(line(name, value), F.lit(""))
     headers = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("own")), line("WARC-Refers-To", F.col("record_id")),
-        maybe("WARC-Target-URI", F.col("target_uri")), maybe("WARC-Date", F.col("date")), maybe("WARC-Refers-To-Target-URI", F.col("target_uri")), maybe("WARC-Refers-To-Date", F.col("date")),
+        maybe("WARC-Target-URI", flat(F.col("target_uri"))), maybe("WARC-Date", F.col("date")), maybe("WARC-Refers-To-Target-URI", flat(F.col("target_uri"))), maybe("WARC-Refers-To-Date", F.col("date")),
         line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Source-Payload-Digest", F.col("digest")), line("Content-Type", F.col("content_type")), line("Content-Length", F.col("size").cast("string")),
     )
     return out.select(F.col("own").alias("record_id"), "warc_type", F.col("record_id").alias("refers_to"), "target_uri", "date", "content_type", F.col("size").alias("content_length"), "block_digest", F.col("digest").alias("source_payload_digest"), headers.alias("headers"), "block")
@@ -143,18 +146,19 @@ def oracle_sql() -> str:
         line("source-payload-length", "CAST(strlen(payload) AS VARCHAR)"), line("source-payload-digest", "digest"),
         line("source-http-headers", f"replace(replace(http_headers, {q(CRLF * 2)}, ''), {q(CRLF)}, ' | ')"),
     ])
+    target = f"replace(replace(target_uri, {q(chr(13))}, '%0D'), {q(chr(10))}, '%0A')"
     head = q(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: ")
     headers = " || ".join([
         q(f"WARC/1.1{CRLF}"), line("WARC-Type", "warc_type"), line("WARC-Record-ID", "own"), line("WARC-Refers-To", "record_id"),
-        f"coalesce({line('WARC-Target-URI', 'target_uri')}, '')", f"coalesce({line('WARC-Date', 'date')}, '')", f"coalesce({line('WARC-Refers-To-Target-URI', 'target_uri')}, '')", f"coalesce({line('WARC-Refers-To-Date', 'date')}, '')",
+        f"coalesce({line('WARC-Target-URI', target)}, '')", f"coalesce({line('WARC-Date', 'date')}, '')", f"coalesce({line('WARC-Refers-To-Target-URI', target)}, '')", f"coalesce({line('WARC-Refers-To-Date', 'date')}, '')",
         line("WARC-Block-Digest", "block_digest"), line("WARC-Source-Payload-Digest", "digest"), line("Content-Type", "content_type"), line("Content-Length", "CAST(content_length AS VARCHAR)"),
     ])
     return f"""
-WITH p AS (SELECT md5(concat_ws('|', 'response', CAST(page_id AS VARCHAR), url)) AS h, url AS target_uri, '{DATE}' AS date, coalesce(html, '') AS payload FROM pages),
+WITH p AS (SELECT md5('=response|' || coalesce('=' || page_id, '-') || '|' || coalesce('=' || url, '-')) AS h, url AS target_uri, '{DATE}' AS date, coalesce(html, '') AS payload FROM pages),
 r AS (SELECT {urn_sql('h')} AS record_id, target_uri, date, payload, {head} || CAST(strlen(payload) AS VARCHAR) || {q(CRLF * 2)} AS http_headers, 'sha256:' || sha256(payload) AS digest FROM p),
 m AS (SELECT record_id, target_uri, date, digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {fields} AS block FROM r
 UNION ALL SELECT record_id, target_uri, date, digest, 'conversion', 'text/plain; charset=utf-8', {text} FROM r),
-d AS (SELECT *, md5(warc_type || '|' || record_id) AS h, CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM m),
+d AS (SELECT *, md5('=' || warc_type || '|=' || record_id) AS h, CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM m),
 o AS (SELECT *, {urn_sql('h')} AS own FROM d)
 SELECT own AS record_id, warc_type, record_id AS refers_to, target_uri, date, content_type, content_length, block_digest, digest AS source_payload_digest, {headers} AS headers, block FROM o
 """

@@ -188,3 +188,14 @@ def test_pipeline_of_empty_and_odd_documents(spark, tmp_path):
     for _, stage in p.STAGES[1:-1]:  # the classifier may well drop all of so few rows
         kept = stage(spark, docs, "")
         assert kept.columns == p.COLUMNS and 0 < kept.count()
+
+
+def test_long_conversations_are_linear_and_ties_have_an_order(spark):
+    n = 6000
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}: <#\\>") for i in range(n)] + [(2, 7, "assistant", "b"), (2, 7, "assistant", "a"), (2, 7, None, "c")]
+    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [t.text for t in back[1].turns] == [r[3] for r in rows[:n]] and back[1].loss_text == "".join(r[3] for r in rows[:n] if r[2] == "assistant")
+    assert [tuple(t) for t in back[2].turns] == [("", "c"), ("assistant", "a"), ("assistant", "b")] and back[2].loss_text == "ab"
+    events = [(3, i, i, "message", "user", str(i)) for i in range(n)] + [(3, n, n - 5, "regenerate", "user", "x")]
+    folded = chat.fold_events(spark.createDataFrame(events, EVENTS)).collect()
+    assert len(folded) == n - 4 and {r.msg: r.text for r in folded}[n - 5] == "x"

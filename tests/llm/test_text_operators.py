@@ -402,3 +402,55 @@ def test_media_of_no_rows_and_clashing_columns(spark):
     assert media.media_columns(spark.createDataFrame([], schema)).collect() == []
     out = media.media_columns(spark.createDataFrame([(1, "a", "m", "n"), (1, "a", "m", "n"), (None, None, None, None)], schema)).collect()
     assert sorted((r.doc_id or 0, r.n_bytes) for r in out) == [(0, 0), (1, 1), (1, 1)] and len({tuple(r) for r in out}) == 2
+
+
+LONG = "A long sentence of the article that goes on for a while, with words. " * 6
+
+
+def test_html_regions_come_from_ratios_and_keep_what_is_between_their_ends():
+    page = "<body><h2>Title</h2>" + f"<p>{LONG}</p>" * 6 + "<p>Short last.</p><p>ok</p></body>"
+    assert html.main_text(page).split("\n\n")[0] == "Title" and html.main_text(page).endswith("Short last.\n\nok")
+    assert html.main_text('<body><form id="aspnetForm"><h1>T</h1>' + f"<p>{LONG}</p>" * 4 + "</form></body>").startswith("T\n\nA long")
+    assert html.main_text('<article><p>One two.</p><section class="related-work"><p>Work.</p></section><p class="share-price">Price 3.</p><div class="related-posts">More</div></article>') == "One two.\n\nWork.\n\nPrice 3."
+    assert html.main_text("<p>Let <math><mi>x</mi></math> be <script>s()</script>real.</p>") == "Let x be real."
+    comments = f'<article><p>{LONG}</p></article><ol class="commentlist"><li>I agree</li></ol><div class="discussion"><p>{LONG}</p></div><article class="comment"><p>{LONG}</p></article>'
+    assert html.main_text(comments) == LONG.strip()
+    assert html.main_text(f'<article><p>{LONG}</p><section id="discussion"><p>We discuss.</p></section></article>').endswith("We discuss.")
+    # Without any mark, the block that holds most of the text is the article; links stay between text, and go in runs.
+    menu = "<ul>" + "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(8)) + "</ul>"
+    plain = f"<body>{menu}<div>Some advert text here.</div><div><h1>Head</h1><p>{LONG}</p><p><a href=y>A lone link</a></p><p>{LONG}</p><p>Tiny.</p></div><div>Foot</div></body>"
+    assert html.main_text(plain).split("\n\n") == ["Head", LONG.strip(), "A lone link", LONG.strip(), "Tiny."]
+
+
+def test_html_without_marks_is_the_same_text(small):
+    """The tables' pages with article elements as plain blocks and without class, id and role give the text that they give with them."""
+    import re
+
+    import pandas as pd
+
+    pages = [h for h in pd.read_parquet(f"{small}/pages.parquet").html if h]
+    same = 0
+    for h in pages:
+        bare = re.sub(r'\s(class|id|role)="[^"]*"', "", h.replace("<article", "<div").replace("</article", "</div"))
+        same += html.main_text(bare) == html.main_text(h)
+    assert same >= 0.9 * len(pages)  # the rest are articles no longer than the advert beside them
+
+
+def test_warc_text_after_a_bare_bracket_and_unclosed_elements(spark):
+    rows = [
+        (1, "u", "<p>if a < b then</p><p>second <3 block</p><p>third</p>"), (2, "u", "<p>seen</p><script>var x = 1; if (a) { b }"), (3, "u\r\nX-Bad: 1", "<p>a<!-- open <p>b"), (4, "u", "last <b"),
+        (None, "5", ""), (5, None, ""), (None, None, None),
+    ]
+    made = warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    text = {r.refers_to: r.block for r in made if r.warc_type == "conversion"}
+    assert sorted(text.values()) == sorted(["if a < b then\nsecond <3 block\nthird", "seen", "a", "last", "", "", ""]) and len(text) == 7
+    assert all("\nX-Bad" not in r.headers and r.headers.count("\r\n") == r.headers.count("\n") for r in made)
+
+
+def test_mix_keeps_the_planned_words_of_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f", "s", 0, 7), (1, "g h", "s", 0, 7), (None, "i j k", "s", 0, 7), (None, "l", "s", 0, 7), (2, "m n o p", "t", 0, 7), (3, None, "t", 0, 7), (4, "", None, 0, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _taken int, size int")
+    planned = mixing.plan_mix(docs).agg(F.sum("taken")).first()[0]
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and sum(len(r.text.split()) for r in mixed.collect()) == planned > 0
+    assert mixing.mix(docs.limit(0)).collect() == []
