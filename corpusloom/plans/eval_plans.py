@@ -1,4 +1,4 @@
-"""Evaluation and report queries; labelled documents stand for evaluated cases, questions for golden cases."""
+"""Evaluation queries; questions stand for golden cases."""
 
 from __future__ import annotations
 
@@ -14,112 +14,6 @@ from corpusloom.plans.phase_plans import _ANSWER, answers, lines_chosen
 from corpusloom.plans.registry import query
 from corpusloom.plans.search_plans import _BALANCE, _SLOTS, balanced, gathered
 
-# Results of cases: every document is one; its label gives the verdict.
-_RES = f"""WITH {DOCS_SQL}, res AS (SELECT 'ev' || doc_id AS id, lang AS domain, text AS question, CAST(n_chars % 17 AS INT) AS n_total, CAST(n_chars % 6 AS INT) AS n_domain, n_chars % 3 = 0 AS domain_filter_used, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE authority END AS domain_key FROM docs),
-old AS (SELECT 'ev' || doc_id AS id, CASE WHEN toxic = 1 THEN 'incorrect' WHEN doc_id % 11 = 0 THEN 'bogus' WHEN quality = 1 THEN 'strong_correct' ELSE 'partial' END AS verdict, CASE WHEN toxic = 1 THEN 'Hallucination seen' ELSE 'fine' END AS notes, doc_id AS row FROM labels UNION ALL SELECT 'ev' || doc_id, 'partial', 'second look', 1000000 + doc_id FROM labels WHERE doc_id % 4 = 1),
-lst AS (SELECT id, arg_max(verdict, row) AS verdict, arg_max(notes, row) AS notes FROM old GROUP BY id),
-ver AS (SELECT res.id, CASE WHEN list_contains({sql_list(V.VERDICTS)}, verdict) THEN verdict ELSE 'unknown' END AS verdict, coalesce(notes, '') AS notes FROM res LEFT JOIN lst USING (id))"""
-
-
-def results(spark, d):
-    return documents(spark, d).selectExpr(
-        "concat('ev', doc_id) as id", "lang as domain", "text as question", "cast(n_chars % 17 as int) as n_total", "cast(n_chars % 6 as int) as n_domain",
-        "n_chars % 3 = 0 as domain_filter_used", "case when n_chars % 5 = 0 then null else authority end as domain_key",
-    )
-
-
-def existing(spark, d):
-    x = table(spark, d, "labels").where("doc_id is not null")
-    verdict = "case when toxic = 1 then 'incorrect' when doc_id % 11 = 0 then 'bogus' when quality = 1 then 'strong_correct' else 'partial' end as verdict"
-    first = x.selectExpr("concat('ev', doc_id) as id", verdict, "case when toxic = 1 then 'Hallucination seen' else 'fine' end as notes", "doc_id as row")
-    return first.union(x.where("doc_id % 4 = 1").selectExpr("concat('ev', doc_id)", "'partial'", "'second look'", "1000000 + doc_id"))
-
-
-def verdicts(spark, d):
-    return V.init_verdicts(results(spark, d), existing(spark, d))
-
-
-def judged(spark, d):
-    return results(spark, d).join(verdicts(spark, d), "id")
-
-
-@query("init_verdicts", f"{_RES} SELECT * FROM ver")
-def init_verdicts(spark, d):
-    return verdicts(spark, d)
-
-
-@query("invalid_verdicts", f"{_RES} SELECT id, verdict FROM old WHERE NOT list_contains({sql_list(V.VERDICTS)}, verdict)")
-def invalid_verdicts(spark, d):
-    return V.invalid_verdicts(existing(spark, d)).select("id", "verdict")
-
-
-_COUNTS = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in V.VERDICTS)
-_CARD = f"count(*) AS total, {_COUNTS}, count(*) FILTER (WHERE contains(lower(notes), 'hallucination')) AS hallucinations, printf('%.1f%%', 100.0::DOUBLE * count(*) FILTER (WHERE verdict = 'strong_correct') / count(*)) AS strong_pct, printf('%.1f%%', 100.0::DOUBLE * count(*) FILTER (WHERE verdict IN ('strong_correct', 'partial')) / count(*)) AS useful_pct"
-
-
-@query("scorecard", f"{_RES} SELECT {_CARD} FROM ver JOIN res USING (id)")
-def scorecard(spark, d):
-    return V.scorecard(judged(spark, d))
-
-
-@query("scorecard_by_domain", f"{_RES} SELECT domain, {_CARD} FROM ver JOIN res USING (id) GROUP BY domain")
-def scorecard_by_domain(spark, d):
-    return V.scorecard(judged(spark, d), ["domain"])
-
-
-_PRIO = "CASE verdict WHEN 'incorrect' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END"
-
-
-@query("worst_cases", f"{_RES} SELECT id, domain, verdict FROM ver JOIN res USING (id) ORDER BY {_PRIO}, id LIMIT 10")
-def worst_cases(spark, d):
-    return V.worst(judged(spark, d), [F.expr(_PRIO), F.col("id")]).select("id", "domain", "verdict")
-
-
-@query("partials_by_domain", f"{_RES}, dm AS (SELECT unnest(['en', 'fr', 'de', 'es', 'it']) AS domain) SELECT domain, count(p.id) AS partials FROM dm LEFT JOIN (SELECT id, domain FROM res JOIN ver USING (id) WHERE verdict = 'partial') p USING (domain) GROUP BY domain")
-def partials_by_domain(spark, d):
-    fixed = spark.createDataFrame([(x,) for x in ("en", "fr", "de", "es", "it")], "domain string")
-    counts = judged(spark, d).where("verdict = 'partial'").groupBy("domain").agg(F.count("*").alias("partials"))
-    return F.broadcast(fixed).join(counts, "domain", "left").select("domain", F.coalesce("partials", F.lit(0)).alias("partials"))
-
-
-_FRAME = ("ndea", "thest", "eau")
-
-
-@query("partial_stats", f"{_RES}, p AS (SELECT * FROM res JOIN ver USING (id) WHERE verdict = 'partial') SELECT count(*) AS partials, count(*) FILTER (WHERE domain_filter_used) AS filtered, count(*) FILTER (WHERE n_domain >= 2) AS enough_domain, median(n_total) AS median_total, median(n_domain) AS median_domain, round(count(*) FILTER (WHERE {' OR '.join(f"contains(lower(question), '{t}')" for t in _FRAME)}) / CAST(count(*) AS DOUBLE), 6) AS framework_rate FROM p")
-def partial_stats(spark, d):
-    return V.partial_stats(judged(spark, d).where("verdict = 'partial'"), _FRAME)
-
-
-@query("domain_nonuse", f"{_RES} SELECT domain_key IS NULL AS no_domain, n_domain < 2 AS too_few, count(*) AS n FROM res JOIN ver USING (id) WHERE verdict = 'partial' AND NOT domain_filter_used GROUP BY ALL")
-def domain_nonuse(spark, d):
-    x = judged(spark, d).where("verdict = 'partial' and not domain_filter_used")
-    return x.groupBy(F.col("domain_key").isNull().alias("no_domain"), (F.col("n_domain") < 2).alias("too_few")).agg(F.count("*").alias("n"))
-
-
-@query("worst_partials", f"{_RES} SELECT id, n_domain, n_total FROM res JOIN ver USING (id) WHERE verdict = 'partial' ORDER BY n_domain, n_total, id LIMIT 10")
-def worst_partials(spark, d):
-    return V.worst(judged(spark, d).where("verdict = 'partial'"), [F.col("n_domain"), F.col("n_total"), F.col("id")]).select("id", "n_domain", "n_total")
-
-
-_CITES = f"""cit AS (SELECT doc_id % 100 AS id, list(struct_pack(doc := 'doc_' || (doc_id % 7), page := n_chars % 3) ORDER BY doc_id) AS c FROM documents GROUP BY 1),
-cs AS (SELECT id, list_transform(c, lambda x: x.doc || ':' || x.page) AS l FROM cit), cj AS (SELECT id, list_filter(l, lambda v, i: list_position(l, v) = i) AS u FROM cs)"""
-
-
-def citations(spark, d):
-    rows = documents(spark, d).select((F.col("doc_id") % 100).alias("id"), F.struct("doc_id", F.concat(F.lit("doc_"), F.col("doc_id") % 7).alias("doc"), (F.col("n_chars") % 3).alias("page")).alias("c"))
-    return rows.groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("c"))
-
-
-@query("cited_sources", f"WITH {_CITES} SELECT id, array_to_string(u, ';') AS sources FROM cj")
-def cited_sources(spark, d):
-    return citations(spark, d).select("id", V.cited_sources(F.col("c")).alias("sources"))
-
-
-@query("short_sources", f"WITH {_CITES} SELECT id, array_to_string(u[1:2], '; ') || CASE WHEN len(u) > 2 THEN '; ...' ELSE '' END AS sources FROM cj")
-def short_sources(spark, d):
-    return citations(spark, d).select("id", V.short_sources(V.cited_sources(F.col("c"))).alias("sources"))
-
-
 _MUST = "CASE qid % 3 WHEN 0 THEN ['the', 'Requirement'] WHEN 1 THEN ['Confidence', 'zzz'] ELSE CAST([] AS VARCHAR[]) END"
 _NOT = "CASE qid % 4 WHEN 0 THEN ['Tion'] ELSE CAST([] AS VARCHAR[]) END"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom import config as C
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking as K
 from corpusloom.operators import evaluation as V
@@ -12,7 +13,7 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import routing as G
 from corpusloom.operators import synthesis as S
 from corpusloom.plans.eval_plans import _MUST, _NOT, evaluated, s_reasons
-from corpusloom.plans.fixtures import LEXICON, LINES_SQL, PREFIXES, QUESTIONS_SQL, documents, lines, questions, stored, table
+from corpusloom.plans.fixtures import LEXICON, LINES_SQL, PREFIXES, QUESTIONS_SQL, documents, lines, questions, sql_list, stored, table
 from corpusloom.plans.page_plans import _INTEGRITY, chunk_counts
 from corpusloom.plans.phase_plans import _FULL, _LIVE, answer, answer_parts
 from corpusloom.plans.registry import query
@@ -30,12 +31,22 @@ cl AS (SELECT qid, pdf || ':' || (pdf_index + 1) AS c, row_number() OVER (PARTIT
 br AS MATERIALIZED (SELECT qid AS id, coalesce(domain, 'general') AS domain, question, answer = '{S.REFUSAL}' AS refusal, 'unknown' AS verdict, n_citations AS citations_count, CASE WHEN n_citations > 0 THEN cited ELSE '' END AS cited_sources, domain AS domain_key, coalesce(domain_used, false) AS domain_used, coalesce(n_total, 0) AS n_total, coalesce(n_required, 0) AS n_required, coalesce(n_domain, 0) AS n_domain, qid IN (SELECT qid FROM sr WHERE retried) AS scope_retry, '' AS notes FROM questions JOIN an USING (qid) JOIN dm USING (qid) LEFT JOIN st USING (qid) LEFT JOIN cs USING (qid))"""
 
 
+def _citation_lists(lines):
+    return S.dedupe_citations(lines, "qid", "n", 5).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("citation", F.col("pdf").alias("doc"), (F.col("pdf_index") + 1).alias("page")))).alias("c"))
+
+
+def citation_lists(spark, d):
+    """(id, c): the citations of the answers that have any."""
+    said = answer(spark, d).where("n_citations > 0").select("qid")
+    return _citation_lists(answer_parts(spark, d)[2]).join(said, "qid", "left_semi").withColumnRenamed("qid", "id")
+
+
 def baseline(spark, d):
     """A result row per question, from the answer and its trace."""
 
     def build(spark, d):
         _, considered, chosen = answer_parts(spark, d)
-        cited = S.dedupe_citations(chosen, "qid", "n", 5).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("citation", F.col("pdf").alias("doc"), (F.col("pdf_index") + 1).alias("page")))).alias("c"))
+        cited = _citation_lists(chosen)
         again = mixed(spark, d).where("retried").select("qid").distinct().withColumn("scope_retry", F.lit(True))
         x = questions(spark, d).join(answer(spark, d), "qid").join(domains(spark, d).withColumnRenamed("domain", "domain_key"), "qid")
         for part in (S.domain_stats(considered), cited, again):
@@ -204,3 +215,99 @@ def file_fingerprint(spark, d):
     """Path below the folder, size and time of every table's files."""
     x = files.fingerprint(spark, d, "*.parquet")
     return x.select(F.regexp_extract("path", "([^/]+[.]parquet(?:/.*)?)$", 1).alias("path"), "size", "modified")
+
+
+# Reports over the baseline run. Of its verdicts, the incorrect ones stand in the file under a name that isn't known, and cases with several
+# reasons against them were looked at twice.
+_RES = f"""{_VERDICTS}, res AS (SELECT CAST(id AS VARCHAR) AS id, domain, question, n_total, n_domain, domain_used AS domain_filter_used, domain_key FROM br),
+old AS (SELECT CAST(id AS VARCHAR) AS id, CASE WHEN verdict = 'incorrect' THEN 'wrong' ELSE verdict END AS verdict, notes, 1 AS row FROM vd UNION ALL SELECT CAST(id AS VARCHAR), 'incorrect', 'second look: hallucination', 2 FROM vd WHERE contains(notes, ';')),
+lst AS (SELECT id, arg_max(verdict, row) AS verdict, arg_max(notes, row) AS notes FROM old GROUP BY id),
+ver AS (SELECT res.id, CASE WHEN list_contains({list(V.VERDICTS)}, verdict) THEN verdict ELSE 'unknown' END AS verdict, coalesce(notes, '') AS notes FROM res LEFT JOIN lst USING (id))"""
+
+
+def results(spark, d):
+    return baseline(spark, d).select(F.col("id").cast("string").alias("id"), "domain", "question", "n_total", "n_domain", F.col("domain_used").alias("domain_filter_used"), "domain_key")
+
+
+def existing(spark, d):
+    """A verdict file: rows in the order in which they were written, later ones of an id in force."""
+    x = case_verdicts(spark, d).withColumn("id", F.col("id").cast("string"))
+    first = x.select("id", F.when(F.col("verdict") == "incorrect", "wrong").otherwise(F.col("verdict")).alias("verdict"), "notes", F.lit(1).alias("row"))
+    return first.unionByName(x.where(F.col("notes").contains(";")).select("id", F.lit("incorrect").alias("verdict"), F.lit("second look: hallucination").alias("notes"), F.lit(2).alias("row")))
+
+
+def verdicts(spark, d):
+    return V.init_verdicts(results(spark, d), existing(spark, d))
+
+
+def judged(spark, d):
+    return results(spark, d).join(verdicts(spark, d), "id")
+
+
+@query("init_verdicts", f"{_RES} SELECT * FROM ver")
+def init_verdicts(spark, d):
+    return verdicts(spark, d)
+
+
+@query("invalid_verdicts", f"{_RES} SELECT id, verdict FROM old WHERE NOT list_contains({sql_list(V.VERDICTS)}, verdict)")
+def invalid_verdicts(spark, d):
+    return V.invalid_verdicts(existing(spark, d)).select("id", "verdict")
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in V.VERDICTS)
+_CARD = f"count(*) AS total, {_COUNTS}, count(*) FILTER (WHERE contains(lower(notes), 'hallucination')) AS hallucinations, printf('%.1f%%', 100.0::DOUBLE * count(*) FILTER (WHERE verdict = 'strong_correct') / count(*)) AS strong_pct, printf('%.1f%%', 100.0::DOUBLE * count(*) FILTER (WHERE verdict IN ('strong_correct', 'partial')) / count(*)) AS useful_pct"
+
+
+@query("scorecard", f"{_RES} SELECT {_CARD} FROM ver JOIN res USING (id)")
+def scorecard(spark, d):
+    return V.scorecard(judged(spark, d))
+
+
+@query("scorecard_by_domain", f"{_RES} SELECT domain, {_CARD} FROM ver JOIN res USING (id) GROUP BY domain")
+def scorecard_by_domain(spark, d):
+    return V.scorecard(judged(spark, d), ["domain"])
+
+
+_PRIO = "CASE verdict WHEN 'incorrect' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END"
+
+
+@query("worst_cases", f"{_RES} SELECT id, domain, verdict FROM ver JOIN res USING (id) ORDER BY {_PRIO}, id LIMIT 10")
+def worst_cases(spark, d):
+    return V.worst(judged(spark, d), [F.expr(_PRIO), F.col("id")]).select("id", "domain", "verdict")
+
+
+@query("partials_by_domain", f"{_RES}, dk AS (SELECT unnest({list(C.DOMAIN_PRIORITY)}) AS domain) SELECT domain, count(p.id) AS partials FROM dk LEFT JOIN (SELECT id, domain FROM res JOIN ver USING (id) WHERE verdict = 'partial') p USING (domain) GROUP BY domain")
+def partials_by_domain(spark, d):
+    fixed = spark.createDataFrame([(x,) for x in C.DOMAIN_PRIORITY], "domain string")
+    counts = judged(spark, d).where("verdict = 'partial'").groupBy("domain").agg(F.count("*").alias("partials"))
+    return F.broadcast(fixed).join(counts, "domain", "left").select("domain", F.coalesce("partials", F.lit(0)).alias("partials"))
+
+
+_FRAME = ("ndea", "thest", "eau")
+
+
+@query("partial_stats", f"{_RES}, p AS (SELECT * FROM res JOIN ver USING (id) WHERE verdict = 'partial') SELECT count(*) AS partials, count(*) FILTER (WHERE domain_filter_used) AS filtered, count(*) FILTER (WHERE n_domain >= 2) AS enough_domain, median(n_total) AS median_total, median(n_domain) AS median_domain, round(count(*) FILTER (WHERE {' OR '.join(f"contains(lower(question), '{t}')" for t in _FRAME)}) / CAST(count(*) AS DOUBLE), 6) AS framework_rate FROM p")
+def partial_stats(spark, d):
+    return V.partial_stats(judged(spark, d).where("verdict = 'partial'"), _FRAME)
+
+
+@query("domain_nonuse", f"{_RES} SELECT domain_key IS NULL AS no_domain, n_domain < 2 AS too_few, count(*) AS n FROM res JOIN ver USING (id) WHERE verdict = 'partial' AND NOT domain_filter_used GROUP BY ALL")
+def domain_nonuse(spark, d):
+    x = judged(spark, d).where("verdict = 'partial' and not domain_filter_used")
+    return x.groupBy(F.col("domain_key").isNull().alias("no_domain"), (F.col("n_domain") < 2).alias("too_few")).agg(F.count("*").alias("n"))
+
+
+@query("worst_partials", f"{_RES} SELECT id, n_domain, n_total FROM res JOIN ver USING (id) WHERE verdict = 'partial' ORDER BY n_domain, n_total, id LIMIT 10")
+def worst_partials(spark, d):
+    return V.worst(judged(spark, d).where("verdict = 'partial'"), [F.col("n_domain"), F.col("n_total"), F.col("id")]).select("id", "n_domain", "n_total")
+
+
+@query("cited_sources", f"{_RUN} SELECT id, cited_sources AS sources FROM br WHERE citations_count > 0")
+def cited_sources(spark, d):
+    """The sources of each answer's citations, in order."""
+    return citation_lists(spark, d).select("id", V.cited_sources(F.col("c")).alias("sources"))
+
+
+@query("short_sources", f"{_RUN} SELECT id, array_to_string(string_split(cited_sources, ';')[1:2], '; ') || CASE WHEN len(string_split(cited_sources, ';')) > 2 THEN '; ...' ELSE '' END AS sources FROM br WHERE citations_count > 0")
+def short_sources(spark, d):
+    return citation_lists(spark, d).select("id", V.short_sources(V.cited_sources(F.col("c"))).alias("sources"))
