@@ -190,7 +190,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every document."""
     rows = templates()
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = materialize(candidates(diagonals(keyed, template_positions(docs.sparkSession, rows))))
+    found = materialize(diagonals(keyed, template_positions(docs.sparkSession, rows)))
+    spans = materialize(candidates(found))
     n = spans.select(F.sum(F.size("spans"))).first()[0] or 0
     # Keys may collide: a document then verifies the other one's candidates too, in vain.
     joined = keyed.join(F.broadcast(spans) if n <= BROADCAST_ROWS else spans, "key", "left")
