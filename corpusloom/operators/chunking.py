@@ -114,7 +114,8 @@ def content_hash(lines: DataFrame) -> DataFrame:
                 first = False
         yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["content_hash"])
 
-    return lines.where("line is not null").select("line").orderBy("line").coalesce(1).mapInArrow(digest, "content_hash string")
+    found = lines.where("line is not null").select("line").orderBy("line").coalesce(1).mapInArrow(digest, "content_hash string")
+    return found.agg(F.coalesce(F.max("content_hash"), F.lit(hashlib.sha256(b"").hexdigest())).alias("content_hash"))
 
 
 def integrity_report(counts: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def test_artifacts_are_json_documents(spark, tmp_path):
     assert found["id=a_1"] == {"question": "q", "tries": [{"least": 0.2, "why": None}, {"least": 0.18, "why": "x"}]}
     back = files.read_artifacts(spark, folder, rows.schema["payload"].dataType.simpleString())
     assert {r.id: r.payload for r in back.collect()} == {"a_1": rows.first().payload, "b": rows.collect()[1].payload}
-    next((tmp_path / "run 1" / "id=b").glob("*.txt")).write_text("{broken")
+    (tmp_path / "run 1" / "id=c").mkdir()
+    (tmp_path / "run 1" / "id=c" / "part.txt").write_text("{broken")
     with pytest.raises(Exception, match="MALFORMED"):
         files.read_artifacts(spark, folder, rows.schema["payload"].dataType.simpleString()).collect()
 
