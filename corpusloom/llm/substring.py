@@ -198,7 +198,8 @@ def _shared(anchors: DataFrame) -> DataFrame:
     """Anchors that occur in at least two documents, and all that is decided."""
     same = Window.partitionBy("h")
     decided = F.shiftright("at", 15).bitwiseAND(F.lit(0x1FFFFF)) > MOST
-    marked = anchors.withColumn("d", F.when(~decided, F.col("doc_id")))
+    # The window's argument would be made before its exchange and travel along; dealt first, it is made after it.
+    marked = anchors.repartition("h").withColumn("d", F.when(~decided, F.col("doc_id")))
     marked = marked.select("*", F.min("d").over(same).alias("lo"), F.max("d").over(same).alias("hi"))
     return marked.where(decided | (F.col("lo") < F.col("hi"))).drop("d", "lo", "hi")
 
