@@ -3,11 +3,13 @@
 A merge list has a sufficient lookahead: whether a merge happens at some place can only be changed by symbols further
 right through a chain of ever stronger merges, each of which begins inside the one before and ends beyond it. The
 longest such chain, found by one pass over the merges in rank order, bounds how many symbols past a token's end must
-be seen before that token is stable. The transducer buffers that many symbols plus a block, merges the buffer, emits
-the stable tokens and goes on behind the last of them, so its memory doesn't depend on the run's length.
+be seen before that token is stable. Most places need far less: where no merge of the list joins a token that ends with this symbol
+to one that begins with the next, a single symbol of lookahead settles all that is buffered. The transducer emits at each such place; where none comes, it
+buffers the list's lookahead plus a block, merges, emits the stable tokens and goes on behind the last of them, so its memory doesn't depend on the run's length.
 
-Text is cut at white space first (no token crosses it); every piece goes through the transducer, and repeated short ones are answered from
-a bounded memo in front of it. A buffer is merged from a heap, so time grows with n log n of a run without white space.
+Text is cut at white space first (no token crosses it), a block of text at a time; every piece goes through the transducer, and repeated short ones are
+answered from a bounded memo in front of it. Ids leave in chunks that digests and decoder take as they come, so beside the text itself (and, of a run without white space, its
+words) nothing grows with it. A buffer is merged from a heap, so time grows with n log n of what is buffered.
 
 Defined cases: null text is an empty text with no tokens; added tokens in a text become their ids; a symbol that the
 vocabulary lacks is dropped, as the library does where no unknown token is set; extra columns of the input are ignored.
@@ -30,6 +32,9 @@ from pyspark.sql import DataFrame
 _SPACE = "\t-\r \x85\xa0  -     　"
 _BLOCK = 256
 _MEMO = 400_000
+#: Characters of text that are cut into pieces at a time, and ids that a chunk is sent from on.
+_TEXT = 1 << 13
+_CHUNK = 4096
 #: Stands for a symbol outside the vocabulary; no merge has it.
 UNKNOWN = (1 << 20) - 1
 
@@ -59,6 +64,8 @@ class MergeTable:
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.lower, self.nfc = "Lowercase" in kinds, "NFC" in kinds
         self.decoder = (spec.get("decoder") or {}).get("type")
+        #: Pairs of symbols that some merge joins a token's end with the next one's beginning at.
+        self.crossed = {self.vocab[self._symbols(a)[-1]] << 20 | self.vocab[self._symbols(b)[0]] for a, b in pairs}
         self.lookahead = self._lookahead(pairs)
         #: Symbols that stay in the transducer's buffer when it emits.
         self.held = _BLOCK + self.lookahead
@@ -108,22 +115,28 @@ class MergeTable:
                 heappush(heap, r << 20 | h)
         return [t for t in ids if t >= 0]
 
-    def stream(self, ids: Iterable[int]) -> Iterator[int]:
-        """Tokens of one run of symbols, each emitted as soon as no later symbol can change it."""
+    def stream(self, ids: Iterable[int]) -> Iterator[list[int]]:
+        """Tokens of one run of symbols, in lists, each emitted as soon as no later symbol can change it."""
         buffer: list[int] = []
-        held = self.held
+        crossed, held, last = self.crossed, self.held, -1
         for s in ids:
+            if buffer and last << 20 | s not in crossed:
+                yield self.merge(buffer)
+                buffer = []
             buffer.append(s)
+            last = s
             if len(buffer) >= 2 * held:
-                stable, done = len(buffer) - self.lookahead, 0
+                stable, done, tokens = len(buffer) - self.lookahead, 0, []
                 for token in self.merge(list(buffer)):
                     n = self.length.get(token, 1)
                     if done + n > stable:
                         break
-                    yield token
+                    tokens.append(token)
                     done += n
+                yield tokens
                 buffer = buffer[done:]
-        yield from self.merge(buffer)
+        if buffer:
+            yield self.merge(buffer)
 
 
 class Encoder:
@@ -142,51 +155,82 @@ class Encoder:
         self.blank = regex.compile(f"[{_SPACE}]+")
         self.memo: dict[str, list[int]] = {}
         self.words: dict[str, list[int]] = {}
+        self.gap = regex.compile(f"[{_SPACE}]")
 
-    def word(self, piece: str) -> list[int]:
+    def word(self, piece: str) -> Iterator[list[int]]:
+        """Ids of a word, in lists."""
         known = self.words.get(piece)
         if known is not None:
-            return known
+            yield known
+            return
         chars = self.chars
         raw = piece.encode()
         symbols = [chars[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
-        ids = self.t.merge(symbols) if len(symbols) < 2 * self.t.held else list(self.t.stream(symbols))  # what never fills the buffer is its last flush
-        if UNKNOWN in ids:
-            ids = [i for i in ids if i != UNKNOWN]
-        if len(self.words) < _MEMO and len(piece) < 32:
-            self.words[piece] = ids
-        return ids
-
-    def piece(self, text: str) -> list[int]:
-        """Ids of a piece of text without white space."""
+        keep: list[int] | None = [] if len(piece) < 32 else None
+        for ids in self.t.stream(symbols):
+            if UNKNOWN in ids:
+                ids = [i for i in ids if i != UNKNOWN]
+            if keep is not None:
+                keep += ids
+            yield ids
+        if keep is not None and len(self.words) < _MEMO:
+            self.words[piece] = keep
+
+    def piece(self, text: str) -> Iterator[list[int]]:
+        """Ids of a piece of text without white space, in lists."""
         low = unicodedata.normalize("NFC", text) if self.t.nfc else text
         if self.t.lower:
             low = low.replace("Σ", "σ").lower()  # by character, without the final sigma
-        ids: list[int] = []
-        for m in self.cut.findall(low):
-            ids += self.word(m)
-        if len(self.memo) < _MEMO and len(text) < 32:
-            self.memo[text] = ids
-        return ids
+        keep: list[int] | None = [] if len(text) < 32 else None
+        for m in self.cut.finditer(low):
+            for ids in self.word(m[0]):
+                if keep is not None:
+                    keep += ids
+                yield ids
+        if keep is not None and len(self.memo) < _MEMO:
+            self.memo[text] = keep
+
+    def blocks(self, text: str) -> Iterator[str]:
+        """The text in blocks that end before white space."""
+        at = 0
+        while len(text) - at > _TEXT and (m := self.gap.search(text, at + _TEXT)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
 
-    def plain(self, text: str, ids: list[int]) -> None:
+    def plain(self, text: str) -> Iterator[list[int]]:
         memo, piece = self.memo.get, self.piece
-        parts = self.blank.split(text) if self.odd.search(text) else text.split()
-        for p in parts:
-            known = memo(p)
-            ids += piece(p) if known is None else known
-
-    def __call__(self, text: str) -> list[int]:
         ids: list[int] = []
+        for block in self.blocks(text):
+            for p in self.blank.split(block) if self.odd.search(block) else block.split():
+                known = memo(p)
+                if known is not None:
+                    ids += known
+                    continue
+                for some in piece(p):
+                    ids += some
+                    if len(ids) >= _CHUNK:
+                        yield ids
+                        ids = []
+            if len(ids) >= _CHUNK:
+                yield ids
+                ids = []
+        if ids:
+            yield ids
+
+    def chunks(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text, in chunks that come while it is read."""
         at = 0
         if self.special is not None and "<|" in text:
             for m in self.special.finditer(text):
-                self.plain(text[at : m.start()], ids)
-                ids.append(self.t.added[m[0]])
+                yield from self.plain(text[at : m.start()])
+                yield [self.t.added[m[0]]]
                 at = m.end()
-        self.plain(text[at:] if at else text, ids)
-        return ids
+        yield from self.plain(text[at:] if at else text)
+
+    def __call__(self, text: str) -> list[int]:
+        return [i for ids in self.chunks(text) for i in ids]
 
 
 class Decoder:
@@ -258,10 +302,10 @@ def decode(tokens: DataFrame, path: str, rows_at_once: int = 256, ids_at_once: i
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str, rows_at_once: int = 256, ids_at_once: int = 4096) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, rows_at_once: int = 256) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, decoded again and digested.
 
-    Both machines run in one Python worker, so ids and decoded texts never leave it; `encode` and `decode` return them.
+    Both machines run in one Python worker, chunk by chunk, so neither ids nor decoded texts are ever whole; `encode` and `decode` return them.
     """
 
     def run(batches):
@@ -271,13 +315,16 @@ def round_trip(docs: DataFrame, path: str, rows_at_once: int = 256, ids_at_once:
                 part = batch.slice(at, rows_at_once)
                 rows = []
                 for text in part.column("text").to_pylist():
-                    ids = enc(text or "")
-                    seen = hashlib.sha256()
-                    for i in range(0, len(ids), ids_at_once):
-                        seen.update(dec.feed(ids[i : i + ids_at_once]).encode())
+                    n, ids_seen, seen = 0, hashlib.sha256(), hashlib.sha256()
+                    for ids in enc.chunks(text or ""):
+                        if not ids:
+                            continue
+                        ids_seen.update(((" " if n else "") + " ".join(map(str, ids))).encode())
+                        seen.update(dec.feed(ids).encode())
+                        n += len(ids)
                     seen.update(dec.finish().encode())
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), seen.hexdigest()))
-                n, a, b = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    rows.append((n, ids_seen.hexdigest(), seen.hexdigest()))
+                many, a, b = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(many, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

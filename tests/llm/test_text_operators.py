@@ -247,7 +247,39 @@ def test_bpe_stream_emits_before_the_end():
     stream = table.stream(counted())
     head = next(stream)
     assert seen < len(ids)
-    assert [head, *stream] == table.merge(list(ids))
+    assert head and [*head, *(i for part in stream for i in part)] == table.merge(list(ids))
+
+
+def test_bpe_stream_settles_words_where_no_merge_crosses():
+    """Cut at every place that no merge crosses, words give the tokens of a merge over the whole."""
+    import public_tokenizers
+
+    table = bpe.MergeTable(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    alphabet = [table.vocab[c] for c in "abcdefghijklmnopqrstuvwxyz0123456789-.éß" if c in table.vocab]
+    many = 0
+    for _ in range(3000):
+        ids = [rng.choice(alphabet) for _ in range(rng.randint(1, 40))]
+        parts = list(table.stream(ids))
+        many += len(parts) > 1
+        assert [i for part in parts for i in part] == table.merge(list(ids))
+    assert many > 1000
+    assert list(table.stream([])) == []
+
+
+def test_bpe_long_texts_come_in_chunks():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, library = bpe.Encoder(bpe.MergeTable(path)), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aethinorsd.,é!2") for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    gaps = [" ", "\n", "\t", "\u3000", "\xa0", " <|endoftext|> ", "\x1c", "   "]
+    for text in ("".join(rng.choice(words) + rng.choice(gaps) for _ in range(40_000)), "x" * 70_000 + " " + "y1" * 70_000, " " * 200_000, "a " * 100_000):
+        chunks = list(enc.chunks(text))
+        assert [i for c in chunks for i in c] == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, chunks), default=0) < bpe._CHUNK + 4 * bpe._TEXT < len(text)
 
 
 def test_quality_learns_and_scores_all(spark):
