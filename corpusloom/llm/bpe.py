@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,13 +119,15 @@ class MergeTable:
     def stream(self, ids: Iterable[int]) -> Iterator[list[int]]:
         """Tokens of one run of symbols, in lists, each emitted as soon as no later symbol can change it."""
         buffer: list[int] = []
-        crossed, held, last = self.crossed, self.held, -1
-        for s in ids:
-            if buffer and last << 20 | s not in crossed:
-                yield self.merge(buffer)
-                buffer = []
-            buffer.append(s)
-            last = s
+        crossed, held = self.crossed, self.held
+        for some in batched(ids, _BLOCK):
+            fresh, at = max(1, len(buffer)), 0
+            buffer += some
+            for i in [i for i in range(fresh, len(buffer)) if buffer[i - 1] << 20 | buffer[i] not in crossed]:
+                yield self.merge(buffer[at:i])
+                at = i
+            if at:
+                del buffer[:at]
             if len(buffer) >= 2 * held:
                 stable, done, tokens = len(buffer) - self.lookahead, 0, []
                 for token in self.merge(list(buffer)):
@@ -157,39 +160,39 @@ class Encoder:
         self.words: dict[str, list[int]] = {}
         self.gap = regex.compile(f"[{_SPACE}]")
 
-    def word(self, piece: str) -> Iterator[list[int]]:
+    def word(self, piece: str) -> Iterable[list[int]]:
         """Ids of a word, in lists."""
         known = self.words.get(piece)
         if known is not None:
-            yield known
-            return
-        chars = self.chars
+            return (known,)
         raw = piece.encode()
+        chars = self.chars
         symbols = [chars[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
-        keep: list[int] | None = [] if len(piece) < 32 else None
-        for ids in self.t.stream(symbols):
-            if UNKNOWN in ids:
-                ids = [i for i in ids if i != UNKNOWN]
-            if keep is not None:
-                keep += ids
-            yield ids
-        if keep is not None and len(self.words) < _MEMO:
-            self.words[piece] = keep
-
-    def piece(self, text: str) -> Iterator[list[int]]:
+        lists = self.t.stream(symbols)
+        if UNKNOWN in symbols:
+            lists = ([i for i in ids if i != UNKNOWN] for ids in lists)
+        if len(piece) >= 32:
+            return lists
+        ids = [i for some in lists for i in some]
+        if len(self.words) < _MEMO:
+            self.words[piece] = ids
+        return (ids,)
+
+    def piece(self, text: str) -> Iterable[list[int]]:
         """Ids of a piece of text without white space, in lists."""
         low = unicodedata.normalize("NFC", text) if self.t.nfc else text
         if self.t.lower:
             low = low.replace("Σ", "σ").lower()  # by character, without the final sigma
-        keep: list[int] | None = [] if len(text) < 32 else None
-        for m in self.cut.finditer(low):
-            for ids in self.word(m[0]):
-                if keep is not None:
-                    keep += ids
-                yield ids
-        if keep is not None and len(self.memo) < _MEMO:
-            self.memo[text] = keep
+        if len(text) >= 32:
+            return (ids for m in self.cut.finditer(low) for ids in self.word(m[0]))
+        ids: list[int] = []
+        for w in self.cut.findall(low):
+            for some in self.word(w):
+                ids += some
+        if len(self.memo) < _MEMO:
+            self.memo[text] = ids
+        return (ids,)
 
     def blocks(self, text: str) -> Iterator[str]:
         """The text in blocks that end before white space."""
