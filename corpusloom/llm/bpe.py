@@ -4,7 +4,7 @@ A merge list has a sufficient lookahead: whether a merge happens at some place c
 right through a chain of ever stronger merges, each of which begins inside the one before and ends beyond it. The
 longest such chain, found by one pass over the merges in rank order, bounds how many symbols past a token's end must
 be seen before that token is stable. Most places need far less: where no merge of the list joins a token that ends with this symbol
-to one that begins with the next, a single symbol of lookahead settles all that is buffered. The transducer emits at each such place; where none comes, it
+to one that begins with the next, a single symbol of lookahead settles all that is buffered. The transducer reads a block at a time and emits at each such place; where none comes, it
 buffers the list's lookahead plus a block, merges, emits the stable tokens and goes on behind the last of them, so its memory doesn't depend on the run's length.
 
 Text is cut at white space first (no token crosses it), a block of text at a time; every piece goes through the transducer, and repeated short ones are
@@ -123,6 +123,8 @@ class MergeTable:
         for some in batched(ids, _BLOCK):
             fresh, at = max(1, len(buffer)), 0
             buffer += some
+            if len(some) < _BLOCK:
+                break  # the run ends here: what is buffered is its last flush
             for i in [i for i in range(fresh, len(buffer)) if buffer[i - 1] << 20 | buffer[i] not in crossed]:
                 yield self.merge(buffer[at:i])
                 at = i

@@ -251,19 +251,19 @@ def test_bpe_stream_emits_before_the_end():
 
 
 def test_bpe_stream_settles_words_where_no_merge_crosses():
-    """Cut at every place that no merge crosses, words give the tokens of a merge over the whole."""
+    """Cut at every place that no merge crosses, runs of several blocks give the tokens of a merge over the whole."""
     import public_tokenizers
 
     table = bpe.MergeTable(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(9)
     alphabet = [table.vocab[c] for c in "abcdefghijklmnopqrstuvwxyz0123456789-.éß" if c in table.vocab]
     many = 0
-    for _ in range(3000):
-        ids = [rng.choice(alphabet) for _ in range(rng.randint(1, 40))]
+    for _ in range(600):
+        ids = [rng.choice(alphabet) for _ in range(rng.randint(1, 1500))]
         parts = list(table.stream(ids))
         many += len(parts) > 1
         assert [i for part in parts for i in part] == table.merge(list(ids))
-    assert many > 1000
+    assert many > 300
     assert list(table.stream([])) == []
 
 
