@@ -23,7 +23,7 @@ def where(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["tfidf_postings", "tfidf_word", "token_overlap"])
+@pytest.mark.parametrize("name", ["tfidf_postings", "tfidf_word", "token_overlap", "index_roundtrip"])
 def test_rows_are_those_of_the_sql(spark, where, name):
     with duckdb.connect() as con:
         for table in ("documents", "benchmark"):
