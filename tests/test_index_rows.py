@@ -1,5 +1,7 @@
 """Index rows of chunks whose sentences begin with their own position, each against the SQL of the same query."""
 
+import time
+
 import duckdb
 import pytest
 
@@ -31,3 +33,16 @@ def test_rows_are_those_of_the_sql(spark, where, name):
         want = con.execute(ORACLE_SQL[name]).fetchall()
     got = QUERIES[name](spark, where).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len(want) > 3
+
+
+def test_changes_of_documents_with_a_very_long_line(spark, tmp_path):
+    """The last line is cut in time that grows with the text, not with the square of its lines."""
+    texts = ["b " * 150_000 + "\nlast", "one line", "", "a\n", "a\n\n", "x\ny", "\n", " \n "]
+    spark.createDataFrame([(3 * i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.execute(ORACLE_SQL["index_changes"]).fetchall()
+    began = time.monotonic()
+    got = QUERIES["index_changes"](spark, str(tmp_path)).collect()
+    assert time.monotonic() - began < 30
+    assert sorted(map(tuple, got)) == sorted(want) and {status for _, status in want} >= {"changed", "removed", "same"}
