@@ -46,3 +46,17 @@ def test_changes_of_documents_with_a_very_long_line(spark, tmp_path):
     got = QUERIES["index_changes"](spark, str(tmp_path)).collect()
     assert time.monotonic() - began < 30
     assert sorted(map(tuple, got)) == sorted(want) and {status for _, status in want} >= {"changed", "removed", "same"}
+
+
+def test_boosts_count_a_chunks_signals_once(spark, where):
+    """The rows are the SQL's, and no text is searched where rows are joined with the questions."""
+    with duckdb.connect() as con:
+        for table in ("documents", "benchmark"):
+            con.execute(f"create view {table} as select * from read_parquet('{where}/{table}.parquet/*.parquet')")
+        want = con.execute(ORACLE_SQL["requirement_boost"]).fetchall()
+    rows = QUERIES["requirement_boost"](spark, where)
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(want, key=repr) and len(want) > 3
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Join")
+    before, _, dealt = below.partition("Repartition")
+    assert "regexp" not in above + before and "regexp" in dealt.partition("Relation")[0]
