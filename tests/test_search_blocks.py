@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import index as I
@@ -51,7 +52,11 @@ def test_ranks_of_few_rows_are_those_of_all(spark):
     for k in (1, 5, 150):
         want = x.withColumn("rank", F.row_number().over(R.ranking(["qid"]))).where(F.col("rank") <= k)
         assert sorted(map(str, R.rank(x, ["qid"], k).collect())) == sorted(map(str, want.collect()))
-    assert R.promising(x, ["qid"], 5).count() < 300
+    few = R.promising(x, ["qid"], 5, {"every": F.lit(True), "low": F.col("final") < 0.3})
+    assert few.where(F.array_contains("_rules", "every")).count() < 300
+    low = Window.partitionBy("qid").orderBy(F.desc("final"))
+    best = x.where("final < 0.3").withColumn("k", F.row_number().over(low)).where("k <= 5").select("qid", "final")
+    assert best.exceptAll(few.where(F.array_contains("_rules", "low")).select("qid", "final")).count() == 0
 
 
 def test_best_similarities_are_those_of_all_forms(spark, texts):
