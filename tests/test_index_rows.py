@@ -35,6 +35,20 @@ def test_rows_are_those_of_the_sql(spark, where, name):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len(want) > 3
 
 
+def test_overlap_lowers_letter_by_letter(spark, tmp_path):
+    """A dotted capital is one small letter, in questions and in chunks, and cuts no word."""
+    docs = [(i, text, "en", f"src{i}", len(text)) for i, text in enumerate(["The İnstance of GMPİX is here.", "An instance, and gmpix.", "ΟΔΟΣ and K\u212aElvin say OİL."])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "İnstance GMPİX"), (2, "instance oil kkelvin"), (3, "ΣΑΣ oİl stance"), (4, None), (5, "")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with duckdb.connect() as con:
+        for table in ("documents", "benchmark"):
+            con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+        want = con.execute(ORACLE_SQL["token_overlap"]).fetchall()
+    got = QUERIES["token_overlap"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and (1, "doc_0", "p0_c1", 1.0) in want
+
+
 def test_changes_of_documents_with_a_very_long_line(spark, tmp_path):
     """The last line is cut in time that grows with the text, not with the square of its lines."""
     texts = ["b " * 150_000 + "\nlast", "one line", "", "a\n", "a\n\n", "x\ny", "\n", " \n "]
