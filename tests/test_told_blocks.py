@@ -75,3 +75,24 @@ def test_told_frequencies_are_those_of_all_rows(spark):
     df = {r.tid: r.df for r in B.asked_frequencies(told, 3).collect()}
     of = {r.term: df.get(r.tid) for r in asked if r.space == "word"}
     assert [of[int(k)] for k in B.string_keys(["shared", "only7", "nowhere"]).view(np.int64)] == [40, 1, None]
+
+
+def test_index_rows_of_blocks_are_those_of_the_joins(spark, monkeypatch):
+    """Rows of one key are one text, null keys are keys, and nothing but keys and counts is shuffled by term."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choices(["audit", "trail", "Straße", "a", "of"] + [f"rare{i}" for i in range(40)], k=12))
+    rows = [(f"f{i % 5}" if i % 7 else None, i, "c1" if i % 11 else None, text()) for i in range(90)] + [("e", 0, "c1", ""), ("e", 1, "c1", None)]
+    c = spark.createDataFrame(rows + rows[:20] + rows[-2:], "file string, pdf_index int, chunk_id string, text string")
+    q = spark.createDataFrame([(i, text()) for i in range(7)] + [(0, "audit again"), (None, "trail"), (8, None), (9, "zzz")], "qid long, q_aug string")
+    monkeypatch.setattr(I, "BLOCK", 32)
+    n = c.agg(F.count("*").alias("n"))
+    plain = lambda x: Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in x.collect())
+    for space, terms in SPACES.items():
+        tf = I.counts(c, R.KEY, terms(F.col("text")))
+        vocab = I.vocabulary(tf, n)
+        assert plain(R.block_vocabulary(c, terms)) == plain(vocab)
+        postings = R.block_postings(c, space, terms)
+        assert plain(postings) == plain(I.weights(tf, vocab, R.KEY).select(*R.KEY, "term", "weight"))
+        assert "hashpartitioning(term" not in postings._jdf.queryExecution().toString()
+        sims = plain(I.search_space(c, q, terms, R.KEY, ["qid"], "text", "q_aug"))
+        assert len(sims) > 100 and plain(R.cosines(q, c, space, terms, block=32)) == sims
